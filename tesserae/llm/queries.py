@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, decontaminate, quality, sharding, toxicity
+from tesserae.llm import bpe, decontaminate, quality, sharding, spotsigs, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text."""
+    return spotsigs.edited_fingerprints(_documents(spark, sf_dir))
+
+
 def tokenizer_path() -> str:
     """The installed vocabulary file that the queries take."""
     import public_tokenizers
@@ -56,6 +61,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_spotsigs": op2_spotsigs,
     "op3_bpe": op3_bpe,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
