@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, decontaminate, quality, sharding, spotsigs, toxicity
+from tesserae.llm import bpe, decontaminate, minhash, quality, sharding, spotsigs, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over 2-word shingles."""
+    return minhash.near_duplicates(_documents(spark, sf_dir), shingle=2, percent=80)
+
+
 def _held_out(n: int, remainder: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n == remainder
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_spotsigs": op2_spotsigs,
     "op3_bpe": op3_bpe,
+    "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
