@@ -70,6 +70,11 @@ def spelled(sigs: Column) -> Column:
     return F.array_join(sigs.cast("array<string>"), ",")
 
 
+def name(sigs: Column) -> Column:
+    """A digest that names a fingerprint: equal for equal sets only."""
+    return F.sha2(spelled(sigs).cast("binary"), 256)
+
+
 def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
     """Jaccard similarity of two sets, 0 where their sizes alone rule out ``at_least``; 1 if both are empty."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
@@ -88,7 +93,7 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str]) -> DataFrame:
     block = F.shiftright(key, BLOCK_BITS)
     tie = F.xxhash64(*[F.col(c) for c in columns])
     order = Window.partitionBy("block_").orderBy(key.desc(), tie.desc())
-    held = df.withColumn("block_", block).withColumns({"nth_": F.row_number().over(order), "after_": F.lead(F.struct(*columns)).over(order)})
+    held = df.withColumn("block_", block).withColumns({"first_": F.lag(F.lit(True)).over(order).isNull(), "after_": F.lead(F.struct(*columns)).over(order)})
 
     blocks = df.select(block.alias("block_")).groupBy("block_").count().select("block_", F.shiftright("block_", BLOCK_BITS).alias("super_"))
     supers = blocks.groupBy("super_").agg(F.max("block_").alias("top_"))  # a row for each 2^(2 BLOCK_BITS) ids
@@ -97,7 +102,7 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str]) -> DataFrame:
     within = Window.partitionBy("super_").orderBy(F.col("block_").desc())
     follows = blocks.withColumn("next_", F.lead("block_").over(within)).join(supers, "super_").select("block_", F.coalesce("next_", "beyond_").alias("next_"))
 
-    heads = held.filter("nth_ = 1").select(F.col("block_").alias("next_"), F.struct(*columns).alias("head_")).join(follows, "next_").select("block_", "head_")
+    heads = held.filter("first_").select(F.col("block_").alias("next_"), F.struct(*columns).alias("head_")).join(follows, "next_").select("block_", "head_")
     rest = [F.col(c) for c in df.columns]
     inner = held.filter("after_ is not null").select(*rest, *[F.col(f"after_.{c}").alias(name) for c, name in columns.items()])
     tails = held.filter("after_ is null").join(heads, "block_").select(*rest, *[F.col(f"head_.{c}").alias(name) for c, name in columns.items()])
@@ -107,6 +112,8 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str]) -> DataFrame:
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
+    Fingerprints are named by digests of their signatures; ``signatures`` gives the sets themselves.
+
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of the next
     document by descending id. A null text is empty; an empty table gives no rows; a single document is
     its own next. Other columns are dropped.
@@ -122,8 +129,8 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("id").alias(id_col),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        spelled(F.col("sigs")).alias("fingerprint"),
-        spelled(F.col("edited_sigs")).alias("edited_fingerprint"),
+        name(F.col("sigs")).alias("fingerprint"),
+        name(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
@@ -138,8 +145,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n - ceil(threshold * n) + 1 signatures in any common order. Null and wordless texts are in no class.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), signatures(F.col(f"`{text_col}`")).alias("sigs")).filter("size(sigs) > 0")
-    name = F.sha2(spelled(F.col("sigs")).cast("binary"), 256)
-    docs = docs.withColumn("name", name)
+    docs = docs.withColumn("name", name(F.col("sigs")))
     classes = docs.groupBy("name").agg(F.min("id").alias("class_id"), F.first("sigs").alias("sigs"))
     members = docs.select("id", "name").join(classes.select("name", "class_id"), "name").select(F.col("id").alias(id_col), "class_id")
     sigs = classes.select("class_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
