@@ -65,7 +65,7 @@ def shingle_sets(batch: pa.RecordBatch, text: str, size: int) -> tuple[np.ndarra
     for i, r in enumerate(short.tolist()):
         acc = np.uint64(n[r])
         for w in words[first[r] : first[r + 1]]:
-            acc = mix(np.array([acc * np.uint64(0x9E3779B97F4A7C15) + w], np.uint64))[0]
+            acc = mix(np.array([acc]) * np.uint64(0x9E3779B97F4A7C15) + w)[0]
         whole[i] = acc
     rows = np.concatenate([row[:total][inside], short])
     hashes = np.concatenate([runs[inside], whole])
@@ -85,7 +85,7 @@ def sketches(hashes: np.ndarray, first: np.ndarray, places: int = COORDINATES) -
     owner = np.repeat(np.arange(n), np.diff(first))
     live, left = hashes, owner
     for turn in range(places):
-        mixed = mix(live + np.uint64(turn + 1) * np.uint64(0xD6E8FEB86659FD93))
+        mixed = mix(live + np.uint64((turn + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
         key = (np.uint64(turn) << np.uint64(56)) | (mixed >> np.uint64(8))
         np.minimum.at(out, left * places + (mixed % np.uint64(places)).astype(np.int64), key)
         open_rows = (out.reshape(n, places) == none).any(axis=1)
@@ -96,7 +96,7 @@ def sketches(hashes: np.ndarray, first: np.ndarray, places: int = COORDINATES) -
     grid = out.reshape(n, places)
     for place in np.flatnonzero((grid[np.diff(first) > 0] == none).any(axis=0)).tolist() if len(live) else ():
         turn = places + place
-        key = (np.uint64(turn) << np.uint64(56)) | (mix(live + np.uint64(turn + 1) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(8))
+        key = (np.uint64(turn) << np.uint64(56)) | (mix(live + np.uint64((turn + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> np.uint64(8))
         least = np.full(n, none, np.uint64)
         np.minimum.at(least, left, key)
         grid[:, place] = np.minimum(grid[:, place], least)
