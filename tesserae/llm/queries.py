@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, decontaminate, minhash, quality, sharding, spotsigs, toxicity
+from tesserae.llm import bpe, decontaminate, minhash, pii, quality, sharding, spotsigs, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ",").cast("binary"), 256)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the rules' spans, and all spans."""
+    found = pii.find(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    rules = F.filter("pii", lambda s: s["rule"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("pii", lambda s, k=kind: s["rule"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(joined(rules).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("pii")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_spotsigs": op2_spotsigs,
@@ -72,6 +85,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
