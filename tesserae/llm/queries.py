@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, decontaminate, minhash, pii, quality, sharding, spotsigs, toxicity
+from tesserae.llm import bpe, decontaminate, minhash, pii, quality, sharding, spotsigs, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text in 400-byte strings that start elsewhere too."""
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir), length=400)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_spotsigs": op2_spotsigs,
@@ -86,6 +91,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
