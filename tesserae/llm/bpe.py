@@ -273,6 +273,21 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
     return _mapped(df, keep, text_col, path, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda e, texts: [pa.array(e.encode(texts), pa.list_(pa.int32()))], True)
 
 
+def tokenized(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, ids (array), n_tokens, and lossless: whether decoding the ids gives the text again.
+
+    Null and empty texts have no ids and count as lossless.
+    """
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
+
+    def columns(encoder: Encoder, texts: list[str]) -> list[pa.Array]:
+        ids = encoder.encode(texts)
+        same = [encoder.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)]
+
+    return _mapped(df, list(keep), text_col, path, fields, columns, True)
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
     """The other way: texts from arrays of ids; bytes that aren't UTF-8 become U+FFFD. A null array gives an empty text."""
     shipped = df.sparkSession.sparkContext.broadcast(Vocabulary(path))

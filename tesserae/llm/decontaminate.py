@@ -119,15 +119,18 @@ def _item_runs(items: DataFrame) -> DataFrame:
 
 
 def shared_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(counts, spans): doc_id and n_words of every row; and doc_id, item_id, start, stop (words) of shared spans.
+    """(counts, spans): id, t1, t2 and n_words of every row; and t1, t2, item_id, start, stop (words) of shared spans.
+
+    A text is known by the 128-bit hash (t1, t2) of itself, so ids may be null or repeat.
 
     The spans of a document and an item cover just the words inside occurrences of the item's windows
     (SPAN words in a row, or all of a shorter item); they can overlap and repeat. Null texts have no
-    words. Ids must be integers; repeated rows of one id count as one document only in the spans.
+    words.
     """
     spark = docs.sparkSession
     items = items.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text"))
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{doc_text}`").alias("text"))
+    text = F.coalesce(F.col(f"`{doc_text}`"), F.lit(""))
+    docs = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
     item_runs = checkpointed(_item_runs(items))
     # The filter and the lengths of short items: both of fixed size. Its bits are set where the hashes are, by aggregation.
     bits = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
@@ -138,7 +141,7 @@ def shared_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     short = sorted(-r.length for r in item_runs.filter("length < 0").select("length").distinct().collect())  # at most SPAN - 1 rows
     n_items = item_runs.count()
     shipped = spark.sparkContext.broadcast(table)
-    schema = T.StructType([_RUNS[0], T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType(_RUNS.fields[1:])))])
+    schema = T.StructType([*docs.schema.fields[:3], T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType(_RUNS.fields[1:])))])
     run_kind = pa.struct([("hash", pa.int64()), ("at", pa.int64()), ("length", pa.int32()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +168,10 @@ def shared_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
                 at = at[(at + n <= ends[: len(hashes)]) & seen(hashes)]
                 for k, r in zip(at.tolist(), (np.searchsorted(first, at, side="right") - 1).tolist(), strict=True):
                     found[r].append({"hash": int(hashes[k].view(np.int64)), "at": k - first[r], "length": -n, "left": [], "right": []})
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(first)), pa.array(found, pa.list_(run_kind))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "t1", "t2")), pa.array(np.diff(first)), pa.array(found, pa.list_(run_kind))], names=schema.names)
 
     scanned = checkpointed(docs.mapInArrow(run, schema))
-    runs = scanned.select("id", F.explode("runs").alias("r")).select("id", "r.*")
+    runs = scanned.select("t1", "t2", F.explode("runs").alias("r")).select("t1", "t2", "r.*")
     theirs = item_runs.select("hash", "length", F.col("id").alias("item"), F.col("left").alias("item_left"), F.col("right").alias("item_right"))
     if n_items <= BROADCAST_ROWS:
         theirs = F.broadcast(theirs)
@@ -179,29 +182,31 @@ def shared_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
         runs.join(theirs, ["hash", "length"])
         .withColumns({"before": reach("`left`", "item_left"), "after": reach("`right`", "item_right")})
         .filter(f"length < 0 or before + after >= {SPAN - GRAM}")
-        .select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.abs("length") + F.col("after")).alias("stop"))
+        .select("t1", "t2", F.col("item").alias("item_id"), (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.abs("length") + F.col("after")).alias("stop"))
     )
-    return scanned.select(F.col("id").alias("doc_id"), "n_words"), spans
-
+    return scanned.select("id", "t1", "t2", "n_words"), spans
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20) -> DataFrame:
-    """For each document: doc_id, n_words, n_hit, n_items, items (their ids as sorted strings), contaminated.
 
-    contaminated: some word is hit and n_hit * share >= n_words. Null and empty texts have no words and
-    are clean; with no items every document is. Repeated rows of one id each get the row of that id.
-    """
-    counts, spans = shared_spans(docs, items, doc_id, doc_text, item_id, item_text)
+def contaminated(counts: DataFrame, spans: DataFrame, share: int = 20) -> DataFrame:
+    """``counts`` with n_hit, n_items, items and contaminated, from the two results of ``shared_spans``."""
     spans = checkpointed(spans.distinct())
-    hit = spans.select("doc_id", F.explode(F.sequence("start", F.col("stop") - 1)).alias("word")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    held = (
-        spans.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
-    )
-    both = hit.join(held, "doc_id")
-    return counts.join(both, "doc_id", "left").select(
-        F.col("doc_id").alias(doc_id),
-        "n_words",
+    doc = ["t1", "t2"]
+    hit = spans.select(*doc, F.explode(F.sequence("start", F.col("stop") - 1)).alias("word")).distinct().groupBy(*doc).agg(F.count(F.lit(1)).alias("n_hit"))
+    held = spans.select(*doc, F.col("item_id").cast("string").alias("item")).distinct().groupBy(*doc).agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
+    return counts.join(hit.join(held, doc), doc, "left").select(
+        *counts.columns,
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.expr(f"coalesce(n_hit > 0 and {share} * n_hit >= n_words, false)").alias("contaminated"),
     )
+
+
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20) -> DataFrame:
+    """For each row: doc_id, n_words, n_hit, n_items, items (their ids as sorted strings), contaminated.
+
+    contaminated: some word is hit and n_hit * share >= n_words. Null and empty texts have no words and
+    are clean; with no items every document is. Rows of equal texts get equal results. Other columns are dropped.
+    """
+    found = contaminated(*shared_spans(docs, items, doc_id, doc_text, item_id, item_text), share)
+    return found.select(F.col("id").alias(doc_id), "n_words", "n_hit", "n_items", "items", "contaminated")

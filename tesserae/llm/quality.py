@@ -18,6 +18,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return nbsvm.train(docs, labels, "quality", FEATURES, sample_rows=sample_rows, cost=5.0)
 
 
-def score(docs: DataFrame, model: nbsvm.Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep`` and score of every document (higher: better)."""
-    return nbsvm.score(docs, model, keep=keep)
+def score(docs: DataFrame, model: nbsvm.Model, keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """doc_id, ``keep`` and ``out`` of every document (higher: better)."""
+    return nbsvm.score(docs, model, keep=keep, out=out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, decontaminate, minhash, pii, quality, sharding, spotsigs, suffix_dedup, toxicity
+from tesserae.llm import bpe, decontaminate, licenses, minhash, pii, quality, sharding, spotsigs, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate blocks of every whole text, and the licenses confirmed in them."""
+    found = licenses.scan(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_blocks"),
+        F.size(F.filter("licenses", lambda b: b["license"].isNotNull())).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("licenses", lambda b: b["license"]), lambda x: x.isNotNull()))), ",").alias("licenses"),
+        F.array_join(F.transform("licenses", lambda b: F.concat_ws(":", F.coalesce(b["license"], F.lit("?")), b["start"].cast("string"), b["end"].cast("string"))), ",").alias("blocks"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in 13-word windows of benchmark items."""
     found = decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -89,6 +101,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_licenses": op7_licenses,
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
