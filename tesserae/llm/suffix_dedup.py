@@ -16,9 +16,11 @@ Neighbouring strings mostly share the anchor: they make a run, which is one row.
 1. Rank the anchors; ranks that occur once drop out.
 2. Of each run left, rank all it covers. A run that repeats as a whole is repeated; one row has decided
    for all its strings.
-3. Where one anchor rank goes with several whole runs, one run of each kind is opened: each of its
-   strings is the pair of the half-length ranks at its start and at the offset that ends with it.
-   Pairs that occur twice are repeated.
+3. Where one anchor rank goes with several whole runs, one run of each kind is opened, first into bins
+   of strings at like distances from the anchor, which are ranked in the same two ways (what all strings
+   of the bin hold, and all that they cover), and then, where a bin is not decided so, string by string:
+   a string is the pair of the half-length ranks at its start and at the offset that ends with it.
+   Pairs that occur once drop out.
 
 A text is known by a 128-bit hash of itself, not by its id, so ids may be null or repeat.
 """
@@ -39,6 +41,8 @@ from tesserae.llm.common import SpanHash, checkpointed, mix, slices, text_bytes,
 LENGTH = 400
 #: Bits of the filters that narrow the later scans: 2 MB each at any size of the input.
 FILTER_BITS = 24
+#: Strings of an opened run that are ranked together before they are ranked one by one.
+BIN = 32
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -150,17 +154,17 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
             yield _record([keys[keep], f1, f2, t1, t2, low - offsets[row], high - offsets[row]], fields)
 
     runs = written(texts.mapInArrow(covered, fields), "runs")
-    classes = runs.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.min(F.struct("t1", "t2", "low", "high")).alias("r"))
+    classes = runs.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min(F.struct("t1", "low")).alias("r"))
     classes = checkpointed(classes)
-    whole = runs.join(classes.filter("n > 1").select("f1", "f2"), ["f1", "f2"], "left_semi").select("t1", "t2", "low", "high").distinct()
+    whole = runs.drop("key").join(classes.filter("n > 1").select("f1", "f2"), ["f1", "f2"], "left_semi").select("t1", "t2", "low", "high")
 
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("key")
-    opened = checkpointed(classes.join(several, "key", "left_semi").select("r.t1", "r.t2", "r.low", (F.col("n") == 1).alias("single")))
+    opened = checkpointed(classes.join(several, "key", "left_semi").select("r.t1", "r.low", "f1", (F.col("n") == 1).alias("single")))
     place = F.shiftrightunsigned(F.col("t1").bitwiseXOR(F.shiftleft(F.col("low"), 64 - FILTER_BITS)), 64 - FILTER_BITS)
     shipped_runs = _filter_table(opened, place)
-    pairs_type = T.StructType([*_longs("t1", "t2", "low").fields, T.StructField("pairs", T.ArrayType(_longs("x", "y")))])
+    context_type = T.StructType([*_longs("f1", "t1", "t2", "low", "anchor", "size").fields, T.StructField("context", T.BinaryType())])
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped_runs.value.view(np.uint64)
         shift = np.uint64(64 - FILTER_BITS)
         for part in slices(batches, "text"):
@@ -171,24 +175,76 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
             keep = np.flatnonzero(_bits((t1[runs.row].view(np.uint64) ^ (low << shift)) >> shift, table)) if len(low) else low.astype(np.int64)
             if not len(keep):
                 continue
-            size = runs.high[keep] - runs.low[keep] + 1
-            ends = np.cumsum(size)
-            at = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(runs.low[keep], size)
-            later = at + length - runs.half
-            x = runs.first.spans(at, at + runs.half)
-            y = SpanHash(data, 12).spans(later, later + runs.half)
-            both = pa.StructArray.from_arrays([pa.array(v.view(np.int64)) for v in (x, y)], names=["x", "y"])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), both)
-            row = runs.row[keep]
-            yield _record([t1[row], t2[row], low[keep], lists], pairs_type)
-
-    found = texts.mapInArrow(strings, pairs_type).join(opened, ["t1", "t2", "low"])  # drops what only the filter let through
-    found = written(found, "strings")
-    twice = found.select(F.explode("pairs").alias("p"), "single").select("p.x", "p.y", "single")
-    twice = twice.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.bool_or("single").alias("wanted")).filter("n > 1 and wanted").select("x", "y")
-    alone = found.filter("single").select("t1", "t2", "low", F.posexplode("pairs").alias("k", "p")).select("t1", "t2", (F.col("low") + F.col("k")).alias("low"), "p.x", "p.y")
-    edges = alone.join(twice, ["x", "y"], "left_semi").select("t1", "t2", "low", F.col("low").alias("high"))
-    return whole.unionByName(edges)
+            begin, last, row = runs.low[keep], runs.high[keep], runs.row[keep]
+            shape = (runs.anchor[keep] - begin).astype(np.uint64)
+            f1 = mix(runs.first.spans(begin, last + length) + shape)
+            raw = [data[i : j + length].tobytes() for i, j in zip(begin, last, strict=True)]
+            yield _record([f1, t1[row], t2[row], low[keep], runs.anchor[keep] - begin, last - begin + 1, pa.array(raw, pa.binary())], context_type)
+
+    # The join drops what only the filter let through; copies of a text give a run more than once, which does no harm.
+    found = texts.mapInArrow(contexts, context_type).join(opened, ["t1", "low", "f1"]).drop("f1")
+    found = written(found.withColumn("run", F.monotonically_increasing_id()), "contexts")
+    return whole.unionByName(_opened_spans(found, length))
+
+
+def _opened_spans(found: DataFrame, length: int) -> DataFrame:
+    """Of opened runs the spans of repeated strings, first by bins of BIN strings, then string by string."""
+    bin_fields = T.StructType([*_longs("run", "bin", "core", "g1", "g2", "from", "to").fields, T.StructField("single", T.BooleanType())])
+    half = (length + 1) // 2
+    width = min(BIN, max(1, length // 8))
+
+    def laid_out(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = text_bytes(part.column("context"))
+        return data, offsets[:-1], part.column("anchor").to_numpy(), part.column("size").to_numpy()
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings of one bin begin BIN * bin to BIN * (bin + 1) - 1 bytes before the anchor, whatever their run's ends are."""
+        for part in slices(batches, "context"):
+            data, at, anchor, size = laid_out(part)
+            low_bin, high_bin = (anchor - size + 1) // width, anchor // width
+            n = high_bin - low_bin + 1
+            row = np.repeat(np.arange(len(n)), n)
+            number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low_bin[row]
+            far = np.minimum(anchor[row], number * width + width - 1)  # of the bin's strings here, the farthest and nearest to the anchor
+            near = np.maximum(anchor[row] - size[row] + 1, number * width)
+            base = at[row] + anchor[row]
+            one, two = SpanHash(data, 11), SpanHash(data, 12)
+            core = mix(one.spans(base - number * width, base + length - (number * width + width - 1)) + number.astype(np.uint64))
+            shape = (far * 4096 + near).astype(np.uint64)
+            g1, g2 = (mix(h.spans(base - far, base + length - near) + shape) for h in (one, two))
+            run, single = part.column("run").to_numpy()[row], part.column("single").take(pa.array(row))
+            yield _record([run, number, core, g1, g2, anchor[row] - far, anchor[row] - near, single], bin_fields)
+
+    binned = written(found.select("run", "anchor", "size", "context", "single").mapInArrow(bins, bin_fields), "bins")
+    kinds = binned.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("core").alias("core"), F.min(F.struct("run", "from", "to", "single")).alias("r"), F.bool_or("single").alias("wanted"))
+    kinds = checkpointed(kinds)
+    whole = binned.filter("single").select("g1", "g2", "run", "from", "to").join(kinds.filter("n > 1 and wanted").select("g1", "g2"), ["g1", "g2"], "left_semi").select("run", "from", "to")
+    several = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or(F.expr("n = 1 and wanted")).alias("wanted")).filter("kinds > 1 and wanted").select("core")
+    opened = kinds.join(several, "core", "left_semi").select("r.run", F.struct("r.from", "r.to", F.expr("n = 1 and wanted").alias("single")).alias("b"))
+    opened = opened.groupBy("run").agg(F.collect_list("b").alias("bins"))  # at most the bins of one run
+    pair_fields = T.StructType([*_longs("x", "y", "run", "at").fields, T.StructField("single", T.BooleanType())])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pair of half-length ranks at each string's start and at the offset that ends with it."""
+        for part in slices(batches, "context"):
+            data, at, _, _ = laid_out(part)
+            lists = part.column("bins")
+            begin, end, single = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+            n = end - begin + 1
+            row, single = np.repeat(row, n), np.repeat(single, n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+            start = at[row] + place
+            x = SpanHash(data, 11).spans(start, start + half)
+            y = SpanHash(data, 12).spans(start + length - half, start + length)
+            yield _record([x, y, part.column("run").to_numpy()[row], place, pa.array(single)], pair_fields)
+
+    pairs = found.select("run", "anchor", "size", "context").join(opened, "run").mapInArrow(strings, pair_fields)
+    pairs = written(pairs, "pairs")
+    twice = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.bool_or("single").alias("wanted")).filter("n > 1 and wanted").select("x", "y")
+    edges = pairs.filter("single").join(twice, ["x", "y"], "left_semi").select("run", F.col("at").alias("from"), F.col("at").alias("to"))
+    spans = whole.unionByName(edges).join(found.select("run", "t1", "t2", F.col("low").alias("base")), "run")
+    return spans.select("t1", "t2", (F.col("base") + F.col("from")).alias("low"), (F.col("base") + F.col("to")).alias("high"))
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +263,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and short texts lose nothing (a null has no bytes). Texts that occur twice and have ``length``
     bytes or more lose everything. Repeated rows and ids give repeated rows. Other columns are dropped.
     """
-    spans = checkpointed(repeated_spans(df, text_col, length).groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high")).alias("spans")))  # bounded by the text
+    spans = checkpointed(repeated_spans(df, text_col, length).groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("spans")))  # bounded by the text
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = df.select(F.col(f"`{id_col}`").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     shipped = _filter_table(spans, _top(F.col("t1")))
