@@ -80,10 +80,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: counts and digest of the rules' spans, and all spans."""
     found = pii.find(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     rules = F.filter("pii", lambda s: s["rule"])
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["rule"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("pii", lambda s, k=kind: s["rule"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        *map(count, pii.KINDS),
         F.sha2(joined(rules).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
     )
