@@ -11,9 +11,11 @@ BAND places in a row make one band. Documents with an equal band are candidates:
 1. Documents of equal sets are one class from the start and go on as one.
 2. In each bucket of an equal band, every class is paired with the bucket's least class (a star, not
    all pairs). Pairs whose sketches are too far apart are dropped: at similarity 0.8 the bound LEAST
-   lies six standard deviations away. Each class is confirmed against its likeliest partner first.
-3. Confirmed links give components. Only where a bucket holds more than one component are the other
-   pairs across its components considered, with the same filter.
+   lies nearly five standard deviations away. Each class is confirmed against its likeliest partner first.
+3. Confirmed links give components, and the other stars that join two of them are confirmed.
+4. Only where a bucket still holds more than one component are others looked at: its members outside
+   its largest component are compared with all its members, in blocks, by their sketches and then by
+   their full sets. Only links come out of a block, one for each component that a member is linked to.
 
 Every link is confirmed on the full sets: they are made once more from the texts, for the classes in
 question, in their own scan, which a filter of fixed size narrows; texts are never shuffled.
@@ -35,7 +37,9 @@ from tesserae.llm.components import components
 COORDINATES = 96
 BAND = 4
 #: Equal places that two sketches must have to be compared in full, as a share of the similarity asked for.
-LEAST = 0.69
+LEAST = 0.76
+#: Members of a bucket that are compared in one step with those outside its largest component.
+BLOCK = 512
 #: Bits of the filter of ids in the second scan: 2 MB at any size of the input.
 FILTER_BITS = 24
 
@@ -161,10 +165,62 @@ def _alike(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     return sided.mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of ids those whose full sets have 100 * intersection >= percent * union."""
+def _across(full: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within a bucket.
+
+    full: (key, id) of buckets. Of a bucket of more than one component, the members outside its largest
+    are sent to each block of its members, so a bucket of any size is dealt out over many tasks. There
+    their sketches, and then their sets, are compared with the block's, and of each component in the
+    block one link is reported for each of them: more would join nothing else.
+    """
+    held = full.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    sizes = held.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    buckets = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "part")).alias("top"))
+    # In a bucket of two classes the star was the only pair.
+    buckets = buckets.filter("parts > 1 and members > 2").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.col("top.part").alias("top"))
+    held = checkpointed(held.join(buckets, "key"))
+    sets = _members(held, docs, size)
+    held = held.join(sets, "id").join(classes.select("id", "sketch", "bands"), "id")
+    place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    columns = ["key", "id", "part", "members", "sketch", "bands"]
+    members = held.select(*columns, F.lit(False).alias("asks"), place.alias("block"))
+    asking = held.filter("part <> top").select(*columns, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    least = int(LEAST * percent / 100 * COORDINATES)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, asks, ids, part = table.column("key")[0].as_py(), table.column("asks").to_numpy(), table.column("id").to_numpy(), table.column("part").to_numpy()
+        sketch = text_bytes(table.column("sketch"))[0].reshape(-1, COORDINATES)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES // BAND)
+        raw, offsets = text_bytes(table.column("members"))
+        shingle = np.unique(raw.view(np.uint64), return_inverse=True)[1]
+        first = offsets // 8
+        n = np.diff(first)
+        others = np.flatnonzero(~asks)
+        marked = np.zeros(len(shingle) + 1, bool)
+        rows = []
+        for i in np.flatnonzero(asks).tolist():
+            fit = others[(part[others] != part[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+            fit = fit[(sketch[fit] == sketch[i]).sum(axis=1) >= least]
+            fit = fit[bands[i][(bands[fit] == bands[i]).argmax(axis=1)] == key]  # each pair in the first bucket that it shares only
+            if not len(fit):
+                continue
+            own = shingle[first[i] : first[i + 1]]
+            marked[own] = True
+            shared = np.array([marked[shingle[first[j] : first[j + 1]]].sum() for j in fit])
+            marked[own] = False
+            fit = fit[100 * shared >= percent * (n[fit] + n[i] - shared)]
+            fit = fit[np.unique(part[fit], return_index=True)[1]]
+            rows += [(int(ids[i]), int(ids[j])) for j in fit]
+        return pa.table([pa.array([min(r) for r in rows], pa.int64()), pa.array([max(r) for r in rows], pa.int64())], names=["a", "b"])
+
+    return members.unionByName(asking).groupBy("key", "block").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _members(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, members): the full sets of the documents named by ``ids``, made anew from the texts."""
     spark = docs.sparkSession
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = ids.select("id").distinct()
     place = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     slots = needed.withColumn("place", place).selectExpr("shiftright(place, 6) as slot", "shiftleft(1L, cast(place & 63 as int)) as bit")
@@ -188,8 +244,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=schema.names)
 
     found = docs.filter("id is not null").withColumn("place", place).mapInArrow(sets, schema).join(needed, "id", "left_semi").dropDuplicates(["id"])
-    found = written(found, "sets")
-    sided = pairs.select("a", "b").join(found.select(F.col("id").alias("a"), F.col("members").alias("m_a")), "a").join(found.select(F.col("id").alias("b"), F.col("members").alias("m_b")), "b")
+    return written(found, "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of ids those whose full sets have 100 * intersection >= percent * union."""
+    sided = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("m_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("m_b")), "b")
     linked = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,24 +283,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = full.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     stars = checkpointed(_alike(stars, sketch, percent))
     best = stars.groupBy("b").agg(F.max(F.struct("equal", F.negative("a").alias("a"))).alias("best")).select(F.negative("best.a").alias("a"), "b")
-    links = checkpointed(_confirmed(checkpointed(best), docs, shingle, percent))
+    sets = _members(stars.select(F.explode(F.array("a", "b")).alias("id")), docs, shingle)
+    links = checkpointed(_confirmed(checkpointed(best), sets, percent))
     found = components(links)
 
-    # What the first links leave apart: stars that weren't confirmed yet, and pairs across the components of a bucket.
-    part = found.select("id", "component")
-    held = full.filter("id <> pivot").join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    mixed = held.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    held = checkpointed(held.join(mixed, "key", "left_semi"))
-    across = held.select("key", F.col("id").alias("a"), F.col("part").alias("part_a")).join(held.select("key", F.col("id").alias("b"), F.col("part").alias("part_b")), "key")
-    across = across.filter("a < b and part_a <> part_b").select("a", "b").distinct()
     apart = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
     for side in ("a", "b"):
-        apart = apart.join(part.select(F.col("id").alias(side), F.col("component").alias(f"part_{side}")), side, "left").withColumn(f"part_{side}", F.coalesce(f"part_{side}", side))
-    more = _alike(across, sketch, percent).select("a", "b").unionByName(apart.filter("part_a <> part_b").select("a", "b")).distinct()
-    more = checkpointed(more)
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(more, docs, shingle, percent))
-        found = components(links)
+        apart = apart.join(found.select(F.col("id").alias(side), F.col("component").alias(f"part_{side}")), side, "left").withColumn(f"part_{side}", F.coalesce(f"part_{side}", side))
+    for step in ("stars", "blocks"):
+        more = _confirmed(apart.filter("part_a <> part_b"), sets, percent) if step == "stars" else _across(full, found, classes, docs, shingle, percent)
+        more = checkpointed(more)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
     placed = classes.select("sig", "id").join(found, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
     return scanned.select("id", "n_shingles", "sig").join(placed, "sig", "left").select(
         F.col("id").alias(id_col),
