@@ -89,11 +89,11 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str]) -> DataFrame:
     first row of the next block that has rows. Only block numbers, not rows, are put in one global order.
     Null ids come last; rows of equal ids follow each other in a fixed order of their values.
     """
-    key = F.coalesce(F.col(id_col), F.lit(-(1 << 62)))
-    block = F.shiftright(key, BLOCK_BITS)
-    tie = F.xxhash64(*[F.col(c) for c in columns])
-    order = Window.partitionBy("block_").orderBy(key.desc(), tie.desc())
-    held = df.withColumn("block_", block).withColumns({"first_": F.lag(F.lit(True)).over(order).isNull(), "after_": F.lead(F.struct(*columns)).over(order)})
+    block = F.shiftright(F.coalesce(F.col(id_col), F.lit(-(1 << 62))), BLOCK_BITS)
+    # All three uses of ``held`` below read the same columns, so the rows are dealt out once.
+    order = Window.partitionBy("block_").orderBy(F.col(id_col).desc_nulls_last(), F.col("tie_").desc())
+    dealt = df.withColumns({"block_": block, "tie_": F.xxhash64(*[F.col(c) for c in columns])})
+    held = dealt.withColumns({"first_": F.lag(F.lit(True)).over(order).isNull(), "last_": F.lead(F.lit(True)).over(order).isNull(), **{f"after_{c}": F.lead(c).over(order) for c in columns}})
 
     blocks = df.select(block.alias("block_")).groupBy("block_").count().select("block_", F.shiftright("block_", BLOCK_BITS).alias("super_"))
     supers = blocks.groupBy("super_").agg(F.max("block_").alias("top_"))  # a row for each 2^(2 BLOCK_BITS) ids
@@ -104,8 +104,8 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str]) -> DataFrame:
 
     heads = held.filter("first_").select(F.col("block_").alias("next_"), F.struct(*columns).alias("head_")).join(follows, "next_").select("block_", "head_")
     rest = [F.col(c) for c in df.columns]
-    inner = held.filter("after_ is not null").select(*rest, *[F.col(f"after_.{c}").alias(name) for c, name in columns.items()])
-    tails = held.filter("after_ is null").join(heads, "block_").select(*rest, *[F.col(f"head_.{c}").alias(name) for c, name in columns.items()])
+    inner = held.filter("not last_").select(*rest, *[F.col(f"after_{c}").alias(name) for c, name in columns.items()])
+    tails = held.filter("last_").join(heads, "block_").select(*rest, *[F.col(f"head_.{c}").alias(name) for c, name in columns.items()])
     return inner.unionByName(tails)
 
 
