@@ -85,7 +85,7 @@ def features(memories: DataFrame, plans: DataFrame, now: int, local_model: bool
     posted = posting_hits(memories, plans, allowed)
     near = episode_neighbours(memories, plans, scored, posted, allowed)
     flagged = lambda df, name: df.withColumn(name, F.lit(True))
-    asked = plans.select("query", vector.local_embedding(F.col("text")).alias("asked_embedding"), t.strong_tokens(F.col("text")).alias("asked_tokens"), F.udf(ranking.is_broad, "boolean")("text").alias("broad"))
+    asked = plans.select("query", vector.local_embedding(F.col("text")).alias("asked_embedding"), t.strong_tokens(F.col("text")).alias("asked_tokens"), "broad")
     rows = rows.join(asked, "query").join(scored, ["query", "id"], "left").join(flagged(posted, "posted"), ["query", "id"], "left").join(flagged(near, "near"), ["query", "id"], "left")
     off = lambda c: F.coalesce(F.col(c), F.lit(False))
     rows = rows.withColumns(
