@@ -108,4 +108,36 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z in lower case, and no other letter: what the contracts of op4 and op8 ask for.
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash": rf"""with recursive words as (select doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from words),
+sizes as (select doc_id, len(s) as n from sets), laid as (select doc_id, unnest(s) as shingle from sets),
+links as (select a.doc_id as a, b.doc_id as b from laid a join laid b using (shingle) join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+ where a.doc_id <> b.doc_id and 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reached as (select doc_id as id, doc_id as seen from documents union select b, seen from reached join links on a = id),
+parts as (select id, min(seen) as component_id from reached group by id)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from sizes join parts on id = doc_id""",
+    "op8_decontamination": rf"""with words as (select doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as win from (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from items where len(w) > 0)),
+laid as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from words, (select distinct n from windows) where len(w) >= n)),
+hits as (select doc_id, item_id, i, n from laid join windows using (n, win)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+held as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+from words left join covered using (doc_id) left join held using (doc_id)""",
+    "op10_suffix_dedup": """with bytes as (select doc_id, hex(coalesce(text, '')) as x from documents),
+strings as (select doc_id, i, md5(substring(x, 2 * i + 1, 800)) as s from (select doc_id, x, unnest(range(0, greatest(0, len(x) // 2 - 399))) as i from bytes)),
+twice as (select s from strings group by s having count(*) > 1),
+starts as (select doc_id, i, coalesce(i > lag(i) over w + 400, true) as fresh from strings semi join twice using (s) window w as (partition by doc_id order by i)),
+numbered as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as run from starts),
+runs as (select doc_id, min(i) as low, max(i) + 400 as high from numbered group by doc_id, run),
+gaps as (select doc_id, 0 as a, min(low) as b from runs group by doc_id union all select doc_id, high, lead(low) over (partition by doc_id order by low) from runs),
+kept as (select doc_id, string_agg(substring(x, 2 * a + 1, 2 * (coalesce(b, len(x) // 2) - a)), '' order by a) as k from gaps join bytes using (doc_id) group by doc_id),
+sums as (select doc_id, sum(high - low)::bigint as n_removed, count(*) as n_spans from runs group by doc_id)
+select doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, x))) as kept_sha256
+from bytes left join sums using (doc_id) left join kept using (doc_id)""",
+}
