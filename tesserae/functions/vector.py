@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+import unicodedata
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tesserae.functions import text as t
+from tesserae.functions.regex import ascii_borders
+from tesserae.functions.text import CONCEPTS
 
 DIMENSIONS = 384
 #: How often a concept counts, against once for a word.
@@ -37,20 +45,41 @@ def fnv1a(value: Column) -> Column:
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c.cast("long")) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
 
 
-def embedding_tokens(text: Column) -> Column:
+_WORD, _HAN = re.compile("[a-z0-9]+"), re.compile("[㐀-鿿]")
+_RULES = [(name, re.compile(ascii_borders(pattern), re.I)) for name, pattern in CONCEPTS]
+
+
+def embedding_tokens(text: str) -> list[str]:
     """Words, trigrams of words of four or more letters, Han characters and pairs, and concepts, which count several times."""
-    trigrams = F.flatten(
-        F.transform(F.filter(t.words(text), lambda w: F.length(w) >= 4), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.concat(F.lit("g:"), F.substring(w, i, F.lit(3)))))
-    )
-    named = F.flatten(F.transform(t.concepts(text), lambda c: F.array_repeat(F.concat(F.lit("s:"), c), CONCEPT_WEIGHT)))
-    return F.concat(t.bm25_tokens(text), trigrams, named)
+    text = unicodedata.normalize("NFKC", text).lower()
+    words, han = _WORD.findall(text), _HAN.findall(text)
+    tokens = [f"w:{w}" for w in words] + [f"g:{w[i : i + 3]}" for w in words if len(w) >= 4 for i in range(len(w) - 2)]
+    tokens += [f"c:{c}" for c in han] + [f"b:{a}{b}" for a, b in itertools.pairwise(han)]
+    return tokens + [f"s:{name}" for name, p in _RULES if p.search(text) for _ in range(CONCEPT_WEIGHT)]
+
+
+def _fnv1a(token: str) -> int:
+    h = 2166136261
+    for c in token:
+        h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+    return h
 
 
 def local_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """A signed feature hash of the text's tokens, of length one (zero without tokens): no model and no network."""
-    hashes = F.transform(embedding_tokens(text), lambda v: fnv1a(v))
-    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    signed = F.transform(hashes, lambda h: F.struct((h % dimensions).alias("i"), F.when(h >= 2147483648, -1.0).otherwise(1.0).alias("s")))
-    # One pass over the tokens: a map of place to sum would be rebuilt per token, so tokens are sorted by place and each place sums its own.
-    raw = F.transform(places, lambda p: F.aggregate(F.filter(signed, lambda x: x["i"] == p), F.lit(0.0), lambda s, x: s + x["s"]))
-    return F.element_at(F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(0.0))), 1)
+
+    def embed(texts: pd.Series) -> pd.Series:
+        hashes: dict[str, int] = {}
+        out = []
+        for t in texts:
+            v = np.zeros(dimensions)
+            for token in embedding_tokens(t or ""):
+                h = hashes.get(token)
+                if h is None:
+                    h = hashes[token] = _fnv1a(token)
+                v[h % dimensions] += -1.0 if h >> 31 else 1.0
+            n = np.sqrt((v * v).sum())
+            out.append(v / n if n else v)
+        return pd.Series(out)
+
+    return F.pandas_udf(embed, T.ArrayType(T.DoubleType()))(text)

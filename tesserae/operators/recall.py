@@ -14,6 +14,7 @@ from tesserae.functions import scoring, vector
 from tesserae.functions import text as t
 from tesserae.operators import filters, lexical, ranking
 from tesserae.plans import planner
+from tesserae.session import settled
 
 #: Least lexical and semantic scores (hashed embeddings, other models), least final score, and the bounds of seeds and neighbours.
 MIN_LEXICAL, MIN_SEMANTIC, MIN_SEMANTIC_OTHER, SURE_SEMANTIC, MIN_SCORE = 0.08, 0.2, 0.32, 0.34, 0.12
@@ -81,7 +82,7 @@ def features(memories: DataFrame, plans: DataFrame, now: int, local_model: bool
         memories = memories.withColumn("embedding", vector.local_embedding(F.col("content")))
     rows = candidates(memories, plans, now, **policy)
     allowed = rows.select("query", "id")
-    scored = lexical_scores(memories, plans, allowed)
+    scored = settled(lexical_scores(memories, plans, allowed))  # also seeds of the episode route
     posted = posting_hits(memories, plans, allowed)
     near = episode_neighbours(memories, plans, scored, posted, allowed)
     flagged = lambda df, name: df.withColumn(name, F.lit(True))
@@ -146,13 +147,23 @@ def rank(feature_rows: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     routes = F.filter(
         F.array(*[F.when(inside & F.array_contains("routes", name), F.struct(F.lit(name).alias("route"), score.cast("double").alias("route_score"))) for name, (inside, score) in _route_scores().items()]), lambda r: r.isNotNull()
     )
-    laid = rows.select("query", "id", "content", "rank_window", F.coalesce("valid_from", "created_at").alias("start"), F.explode(routes).alias("r")).select("query", "id", "content", "rank_window", "start", "r.*")
+    kept = ["query", "id", "content", "importance", "confidence", "temporal", "recency"]
+    laid = rows.select(*kept, "rank_window", F.coalesce("valid_from", "created_at").alias("start"), F.explode(routes).alias("r")).select(*kept, "rank_window", "start", "r.*")
+    # All windows and the aggregation are by query: one shuffle.
+    whole = Window.partitionBy("query")
     order = Window.partitionBy("query", "route").orderBy(F.col("route_score").desc(), F.when(F.col("route") == "temporal", F.col("start")).desc(), "content", "id")
-    ranked = laid.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("rank_window")).select("query", "route", "id", "rank")
-    fused = ranking.reciprocal_rank_fusion(ranked).join(rows.select("query", "id", "content", "importance", "confidence", "temporal", "recency"), ["query", "id"])
-    score = scoring.fused_score(F.col("normalized"), F.col("agreement"), F.col("importance"), F.col("confidence"), F.col("temporal"), F.col("recency"))
+    ranked = laid.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("rank_window"))
+    ranked = ranked.withColumn("n_routes", F.size(F.collect_set("route").over(whole)))
+    fused = ranked.groupBy("query", "id").agg(
+        F.sum(1.0 / (ranking.RANK_CONSTANT + F.col("place"))).alias("raw"),
+        F.array_sort(F.collect_list("route")).alias("routes"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("route", "place")))).alias("route_ranks"),
+        *[F.first(c).alias(c) for c in ("content", "importance", "confidence", "temporal", "recency", "n_routes")],
+    )
+    normalized, agreement = F.col("raw") / F.max("raw").over(whole), F.size("routes") / F.greatest(F.lit(1), F.col("n_routes"))
+    score = scoring.fused_score(normalized, agreement, F.col("importance"), F.col("confidence"), F.col("temporal"), F.col("recency"))
     fused = fused.withColumn("score", F.round(score, 9)).filter(F.col("score") >= min_score)
-    final = Window.partitionBy("query").orderBy(F.col("score").desc(), F.size("routes").desc(), "content", "id")
+    final = whole.orderBy(F.col("score").desc(), F.size("routes").desc(), "content", "id")
     return fused.withColumn("rank", F.row_number().over(final)).select("query", "id", "content", "score", "routes", "route_ranks", "rank")
 
 
@@ -164,27 +175,29 @@ def rank_linear(feature_rows: DataFrame, min_score: float = MIN_SCORE) -> DataFr
     return rows.withColumn("rank", F.row_number().over(order)).select("query", "id", "content", "score", "rank")
 
 
+def _pool(memories: DataFrame, plans: DataFrame, now: int, fusion: str, **policy) -> DataFrame:
+    """query, id, content, score, rank of at most 100 diverse rows of each query, computed once."""
+    ranked = (rank if fusion == "rrf" else rank_linear)(features(memories, plans, now, **policy)).select("query", "id", "content", "score", "rank")
+    ranked = settled(ranked.filter("rank <= 600"))  # routes of at most 100 rows each
+    diverse = ranking.diverse_top(ranked.withColumn("tokens", t.bm25_tokens(F.col("content"))), 100)
+    return settled(diverse.select("query", "id", "position").join(ranked.drop("rank"), ["query", "id"]).withColumnRenamed("position", "rank"))
+
+
 def recall(memories: DataFrame, queries: DataFrame, now: int, top_k: int = 5, fusion: str = "rrf", **policy) -> DataFrame:
     """query, id, score, position of the first ``top_k`` (1 to 20) diverse rows of each query."""
     top_k = max(1, min(20, top_k))
-    plans = plan(queries, now)
-    ranked = (rank if fusion == "rrf" else rank_linear)(features(memories, plans, now, **policy))
-    diverse = ranking.diverse_top(ranked.withColumn("tokens", t.bm25_tokens(F.col("content"))), 100)
-    budget = plans.select("query", F.greatest(F.lit(top_k), F.least(F.lit(100), "candidate_budget")).alias("pool"))
-    pool = diverse.join(budget, "query").filter(F.col("position") <= F.least(F.col("pool"), F.lit(top_k)))
-    return pool.join(ranked.select("query", "id", "score"), ["query", "id"]).select("query", "id", "score", "position")
+    pool = _pool(memories, settled(plan(queries, now)), now, fusion, **policy)
+    return pool.filter(F.col("rank") <= top_k).select("query", "id", "score", F.col("rank").alias("position"))
 
 
 def recall_adaptive(memories: DataFrame, queries: DataFrame, now: int, **policy) -> tuple[DataFrame, DataFrame]:
     """(outcomes, injected): by query the stop reason, evaluated and batches; and the injected rows with citation and score."""
-    plans = plan(queries, now)
-    ranked = rank(features(memories, plans, now, **policy))
-    diverse = ranking.diverse_top(ranked.withColumn("tokens", t.bm25_tokens(F.col("content"))), 100).drop("rank")
-    pool = diverse.join(plans.select("query", "candidate_budget"), "query").filter(F.col("position") <= F.col("candidate_budget")).join(ranked.drop("rank"), ["query", "id"]).withColumnRenamed("position", "rank")
+    plans = settled(plan(queries, now))
+    pool = _pool(memories, plans, now, "rrf", **policy).join(plans.select("query", "candidate_budget"), "query").filter(F.col("rank") <= F.col("candidate_budget")).drop("candidate_budget")
     best = pool.groupBy("query").agg(F.max("score").alias("best"))
     judged = plans.join(best, "query", "left").withColumn("abstains", ranking.abstains(F.col("intent"), F.col("best")))
     answered = judged.filter("not abstains").select("query", "text", "initial", "continuation", "max_batches", "max_injected", "max_characters", F.lit(None).cast("string").alias("mode"))
-    chosen = ranking.adaptive_top(pool.select("query", "id", "content", "score", "rank"), answered)
+    chosen = settled(ranking.adaptive_top(pool.select("query", "id", "content", "score", "rank"), answered))
     outcomes = judged.join(chosen, "query", "left").select(
         "query", "intent", "routes", "best",
         F.when(F.col("abstains"), "abstain-low-confidence").otherwise(F.coalesce("stop_reason", F.lit("no-candidates"))).alias("stop_reason"),
