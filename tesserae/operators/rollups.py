@@ -85,12 +85,14 @@ def blocked_near_duplicates(rows: DataFrame, threshold: float = 0.5, block_token
     more than ``max_df`` classes doesn't block (a common word would pair everything).
     """
     classes = rows.groupBy("kind", F.sort_array("tokens").alias("tokens")).agg(F.min("id").alias("id"))
-    exploded = classes.select("id", "kind", F.explode("tokens").alias("token"))
+    exploded = classes.select("id", "kind", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = exploded.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") > 1) & (F.col("df") <= max_df))
     order = Window.partitionBy("id").orderBy("df", "token")
-    keys = exploded.join(df, ["kind", "token"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= block_tokens).select("id", "kind", "token")
+    keys = exploded.join(df, ["kind", "token"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= block_tokens).select("id", "kind", "n", "token")
     posting = exploded.join(keys.select("kind", "token").distinct(), ["kind", "token"], "left_semi")
-    pairs = keys.select(F.col("id").alias("x"), "kind", "token").join(posting.select(F.col("id").alias("y"), "kind", "token"), ["kind", "token"]).filter("x <> y")
+    # Sets whose sizes alone rule the threshold out never meet.
+    fits = F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")
+    pairs = keys.select(F.col("id").alias("x"), F.col("n").alias("n_x"), "kind", "token").join(posting.select(F.col("id").alias("y"), F.col("n").alias("n_y"), "kind", "token"), ["kind", "token"]).filter(F.expr("x <> y") & fits)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = classes.select(F.col("id").alias("a"), F.col("tokens").alias("t_a")), classes.select(F.col("id").alias("b"), F.col("tokens").alias("t_b"))
     return pairs.join(left, "a").join(right, "b").withColumn("similarity", F.round(t.jaccard(F.col("t_a"), F.col("t_b")), 6)).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
