@@ -77,22 +77,27 @@ def top_tokens(rows: DataFrame, group: str, tokens: str, n: int = 8) -> DataFram
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def blocked_near_duplicates(rows: DataFrame, threshold: float = 0.5, block_tokens: int = 3, max_df: int = 500) -> DataFrame:
+def blocked_near_duplicates(rows: DataFrame, threshold: float = 0.5, block_tokens: int = 3) -> DataFrame:
     """(a, b, similarity), a < b: rows of one kind whose contents' token sets reach the threshold, among those that share
-    one of their ``block_tokens`` rarest tokens.
+    one of their ``block_tokens`` rarest tokens, however frequent these are.
 
-    rows: id, kind, tokens (distinct). Equal token sets are one class, compared as its least id; a token of
-    more than ``max_df`` classes doesn't block (a common word would pair everything).
+    rows: id, kind, tokens (distinct). Equal token sets are one class, compared as its least id. Sets meet by
+    token and band of sizes, so that a common word pairs only sets whose sizes can reach the threshold.
     """
     classes = rows.groupBy("kind", F.sort_array("tokens").alias("tokens")).agg(F.min("id").alias("id"))
-    exploded = classes.select("id", "kind", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = exploded.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") > 1) & (F.col("df") <= max_df))
+    n = F.size("tokens")
+    # Sizes that can reach the threshold are in one band or in adjacent ones; whole powers must not fall below theirs.
+    band = F.lit(0) if threshold <= 0 else n if threshold >= 1 else F.floor(F.log(n) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+    exploded = classes.select("id", "kind", n.alias("n"), band.alias("band"), F.explode("tokens").alias("token"))
+    df = exploded.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     order = Window.partitionBy("id").orderBy("df", "token")
-    keys = exploded.join(df, ["kind", "token"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= block_tokens).select("id", "kind", "n", "token")
-    posting = exploded.join(keys.select("kind", "token").distinct(), ["kind", "token"], "left_semi")
+    keys = exploded.join(df, ["kind", "token"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= block_tokens)
+    keys = keys.select("id", "kind", "n", "token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    by = ["kind", "token", "band"]
+    posting = exploded.join(keys.select(*by).distinct(), by, "left_semi")
     # Sets whose sizes alone rule the threshold out never meet.
     fits = F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")
-    pairs = keys.select(F.col("id").alias("x"), F.col("n").alias("n_x"), "kind", "token").join(posting.select(F.col("id").alias("y"), F.col("n").alias("n_y"), "kind", "token"), ["kind", "token"]).filter(F.expr("x <> y") & fits)
+    pairs = keys.select(F.col("id").alias("x"), F.col("n").alias("n_x"), *by).join(posting.select(F.col("id").alias("y"), F.col("n").alias("n_y"), *by), by).filter(F.expr("x <> y") & fits)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = classes.select(F.col("id").alias("a"), F.col("tokens").alias("t_a")), classes.select(F.col("id").alias("b"), F.col("tokens").alias("t_b"))
     return pairs.join(left, "a").join(right, "b").withColumn("similarity", F.round(t.jaccard(F.col("t_a"), F.col("t_b")), 6)).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")

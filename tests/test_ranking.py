@@ -126,3 +126,9 @@ def test_tiers_keep_budgets(spark):
 def test_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6), (6, 7), (9, 9)], "a int, b int")
     assert {r.node for r in integrity.cycles(edges, "a", "b").collect()} == {1, 2, 3, 9}
+
+
+def test_near_duplicates_share_tokens_of_any_frequency(spark):
+    rows = [(i, "k", ["the", f"p{i}", f"q{i}", f"r{i}"]) for i in range(600)] + [(700, "k", ["the"]), (701, "k", ["the", "x"]), (702, "other", ["the"])]
+    got = rollups.blocked_near_duplicates(spark.createDataFrame(rows, "id int, kind string, tokens array<string>"))
+    assert [tuple(r) for r in got.collect()] == [(700, 701, 0.5)]
