@@ -88,6 +88,23 @@ def term_frequency(spark, sf_dir):
     return posting.groupBy(F.col("doc").alias("id")).agg(F.count(F.lit(1)).alias("n_terms"), F.max("tf").alias("max_tf"), F.sum("tf").alias("n_tokens"))
 
 
+def _holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query, id) of all docs (id, content) that hold an item (query, item) word for word.
+
+    A document that holds an item has each of its words but perhaps the first and the last, which may be
+    parts of longer ones; it is looked for by the rarest of these. Items without such a word meet all documents.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"))
+    items = items.withColumn("words", words("item"))
+    asked = items.filter(F.size("words") > 2).select("query", F.explode(F.array_distinct(F.expr("slice(words, 2, size(words) - 2)"))).alias("term"))
+    has = docs.select("id", F.explode(F.array_distinct(words("content"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    df = has.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.join(df, "term", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("term"))
+    by_word = has.join(rarest, "term").select("query", "id").join(items.select("query", "item"), "query").join(docs, "id")
+    rest = docs.join(items.filter(F.size("words") <= 2).select("query", "item"), F.contains("content", "item"))
+    return by_word.filter(F.contains("content", "item")).select("query", "id").unionByName(rest.select("query", "id"))
+
+
 def _search(spark, sf_dir, limit):
     docs = _tokenised(spark, sf_dir).filter("status = 'active'").withColumn("owner", F.lit("all"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), t.bm25_tokens(F.col("text")).alias("terms"))
@@ -122,11 +139,11 @@ select coalesce(category, '(all)') as category, count(*) as n, round(avg(recall)
 from per group by rollup(category)"""
 )
 def retrieval_metrics(spark, sf_dir):
-    """How well the search ranks documents that hold a benchmark item, among a pool of its ten best."""
+    """How well the search ranks the active documents that hold a benchmark item, wherever they rank."""
     pool = _search(spark, sf_dir, 10).select("query", F.col("doc").alias("id"), "rank")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("item"))
-    relevant = pool.join(items, "query").join(memories(spark, sf_dir).select("id", "content"), "id").filter(F.contains("content", "item")).select("query", "id")
-    per = stats.query_metrics(pool, relevant, 5)
+    live = memories(spark, sf_dir).filter("status = 'active'").select("id", "content")
+    per = stats.query_metrics(pool, _holders(live, items), 5)
     return stats.retrieval_metrics(per.withColumn("category", F.concat(F.lit("part "), (F.col("query") % 2).cast("string"))))
 
 
@@ -612,19 +629,29 @@ def local_embeddings(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", vector.local_embedding(F.col("text"), 64).alias("embedding"))
 
 
+def _planned(spark, sf_dir) -> DataFrame:
+    """The plan of every benchmark item."""
+    return planner.plan_queries(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"), "text", NOW_MS)
+
+
+def _pool(spark, sf_dir, plans: DataFrame, size: str) -> DataFrame:
+    """The best documents for every benchmark item, as many as its plan's column says: 10 at least, 100 at most."""
+    hits = _search(spark, sf_dir, 100).select("query", F.col("doc").alias("id"), "rank", "score")
+    return hits.join(plans.select("query", size), "query").filter(F.col("rank") <= F.greatest(F.lit(10), F.col(size))).drop(size)
+
+
 @query()
 def diverse_topk(spark, sf_dir):
-    """Of the 10 best documents for every benchmark item the first 5 that differ."""
-    hits = _search(spark, sf_dir, 10).select("query", F.col("doc").alias("id"), "rank")
+    """Of the documents in every benchmark item's rank window the first 5 that differ."""
+    hits = _pool(spark, sf_dir, _planned(spark, sf_dir), "rank_window").drop("score")
     return ranking.diverse_top(hits.join(_tokenised(spark, sf_dir).select("id", "tokens"), "id"), 5)
 
 
 @query()
 def adaptive_topk(spark, sf_dir):
-    """Adaptive selection among the 10 best documents for every benchmark item."""
-    hits = _search(spark, sf_dir, 10).select("query", F.col("doc").alias("id"), "rank", "score")
-    ranked = hits.join(memories(spark, sf_dir).select("id", "content"), "id")
-    plans = planner.plan_queries(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"), "text", NOW_MS)
+    """Adaptive selection among the candidates that every benchmark item's plan allows."""
+    plans = _planned(spark, sf_dir)
+    ranked = _pool(spark, sf_dir, plans, "candidate_budget").join(memories(spark, sf_dir).select("id", "content"), "id")
     plans = plans.select("query", "text", "initial", "continuation", "max_batches", "max_injected", "max_characters", F.lit(None).cast("string").alias("mode"))
     return ranking.adaptive_top(ranked, plans)
 
