@@ -625,8 +625,8 @@ def planner_batch(spark, sf_dir):
 
 @query()
 def local_embeddings(spark, sf_dir):
-    """The hashed embedding of every benchmark item."""
-    return table(spark, sf_dir, "benchmark").select("item_id", vector.local_embedding(F.col("text"), 64).alias("embedding"))
+    """The hashed embedding of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", vector.local_embedding(F.col("text")).alias("embedding"))
 
 
 def _planned(spark, sf_dir) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered queries look past the ten best documents: small tables where the first ranks are copies."""
+"""Registered queries over all documents, and past the ten best: small tables where the first ranks are copies."""
 
 import pytest
 
@@ -35,3 +35,8 @@ def test_adaptive_selection_gets_the_candidate_budget(spark, tables, monkeypatch
     monkeypatch.setattr(catalogue.ranking, "adaptive_top", lambda ranked, plans: seen.append(ranked) or adaptive_top(ranked, plans))
     catalogue.QUERIES["adaptive_topk"](spark, tables)
     assert seen[0].count() > 10
+
+
+def test_every_document_is_embedded_in_the_default_dimensions(spark, tables):
+    got = {r.doc_id: r.embedding for r in catalogue.QUERIES["local_embeddings"](spark, tables).collect()}
+    assert sorted(got) == [*range(12), *range(20, 26), 40] and {len(e) for e in got.values()} == {384}
