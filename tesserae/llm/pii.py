@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from tesserae.llm.common import slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of the longest span that the field considers.
-MAX_TOKENS = 16
+#: Tokens of the longest span that the field considers; brackets and spaces are tokens too, and a generated address has up to 21.
+MAX_TOKENS = 32
 #: Characters around a digit or at-sign that the field looks at.
 REACH = 48
 #: Log odds by which the best reading must beat the reading without a span for the span to be added.

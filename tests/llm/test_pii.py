@@ -53,3 +53,15 @@ def test_find_and_mask(spark, docs_of):
 
 def test_masked_overlaps():
     assert pii.masked("0123456789", [(1, 2, 5), (2, 4, 7), (0, 8, 9)]) == "01[IP]7[EMAIL]9"
+
+
+def test_addresses_spelled_out_are_whole_candidates():
+    rng = random.Random(3)
+    for _ in range(300):
+        text, truth = pii._sentence(rng)
+        places, spans, _ = pii.candidates(text, 0, len(text))
+        assert set(truth) <= {(k, places[i], places[j]) for k, i, j in spans}, text
+    weights = pii.trained_weights()
+    for address in ("barten [at] orlius [dot] co [dot] uk", "john.smith [at] mail.example [dot] com", "jo.barten [at] orlius [dot] co [dot] uk"):
+        text = f"some words, mail {address}, more words"
+        assert (0, 17, 17 + len(address)) in pii.field_spans(text, weights), address
