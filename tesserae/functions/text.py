@@ -50,19 +50,25 @@ def _tagged(tag: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.concat(F.lit(tag), v))
 
 
+def _with_han(text: Column, latin: Column, chars) -> Column:
+    """``latin``, and after it ``chars(Han characters)`` where the text has any: other texts are spared the work."""
+    found = F.transform(F.array(han(text)), lambda h: F.concat(latin, chars(h)))[0]  # the characters are taken out once
+    return F.when(text.rlike(HAN), found).otherwise(latin)
+
+
 def bm25_tokens(text: Column) -> Column:
     """w: Latin words, c: Han characters, b: pairs of Han characters that follow each other among the Han characters."""
-    return F.concat(_tagged("w:", words(text)), _tagged("c:", han(text)), _tagged("b:", _pairs(han(text))))
+    return _with_han(text, _tagged("w:", words(text)), lambda h: F.concat(_tagged("c:", h), _tagged("b:", _pairs(h))))
 
 
 def strong_tokens(text: Column) -> Column:
     """Distinct words and Han pairs; single Han characters are weak."""
-    return F.array_distinct(F.concat(_tagged("w:", words(text)), _tagged("b:", _pairs(han(text)))))
+    return F.array_distinct(_with_han(text, _tagged("w:", words(text)), lambda h: _tagged("b:", _pairs(h))))
 
 
 def semantic_tokens(text: Column) -> Column:
     """Distinct words and Han pairs; a lone Han character counts itself."""
-    return F.array_distinct(F.concat(words(text), F.when(F.size(han(text)) == 1, han(text)).otherwise(_pairs(han(text)))))
+    return F.array_distinct(_with_han(text, words(text), lambda h: F.when(F.size(h) == 1, h).otherwise(_pairs(h))))
 
 
 def recall_tokens(text: Column) -> Column:

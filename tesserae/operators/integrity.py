@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import settled
+
 
 def violations(checks: dict[str, DataFrame]) -> DataFrame:
     """check, n: the rows of each query that should have none."""
@@ -55,19 +57,17 @@ def broken_links(journal: DataFrame, group: str, seq: str, payload: Column) -> D
     return checked.filter((F.col("hash") != F.sha2(payload.cast("binary"), 256)) | (F.col("previous_hash") != F.col("want_")) | (F.coalesce("step_", F.lit(1)) != 1)).drop("want_", "step_")
 
 
-def cycles(edges: DataFrame, src: str, dst: str, depth: int = 64) -> DataFrame:
-    """Nodes on a cycle of at most ``depth`` edges, where each node has at most one edge out (supersession chains).
+def cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Nodes on a cycle, of any length, where each node has at most one edge out (supersession chains).
 
-    Pointer doubling: after k rounds every node knows where 2^k steps lead; a node that meets itself is on a cycle.
+    Pointers are doubled: after k rounds each node knows where 2^k steps lead, and one that leaves the
+    graph is dropped. Once 2^k is the number of nodes or more, only nodes that lead into a cycle are
+    left, and where they lead to is on it; each node of a cycle is led to, as steps permute the cycle.
     """
-    from math import ceil, log2
-
-    step = edges.select(F.col(src).alias("node"), F.col(dst).alias("at"))
-    reach, on = step, step.filter("node = at").select("node")
-    for _ in range(ceil(log2(depth))):
-        # All nodes within twice the distance: those at the distance, and their own.
-        far = reach.join(reach.select(F.col("node").alias("at"), F.col("at").alias("far")), "at").select("node", F.col("far").alias("at"))
-        reach = reach.unionByName(far).distinct()
-        on = on.unionByName(reach.filter("node = at").select("node")).distinct()
-        reach = reach.filter("node <> at")
-    return on.distinct()
+    step = settled(edges.select(F.col(src).alias("node"), F.col(dst).alias("at")))
+    n, length = step.count(), 1
+    while length < n:
+        step = settled(step.join(step.select(F.col("node").alias("at"), F.col("at").alias("far")), "at").select("node", F.col("far").alias("at")))
+        length *= 2
+        n = min(n, step.count())  # what leads into no cycle doesn't lengthen a walk
+    return step.select("at").join(step.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node")).distinct()

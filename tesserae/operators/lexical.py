@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import settled
+
 K1, B = 1.2, 0.75
 
 
@@ -34,12 +36,13 @@ def search(posting: DataFrame, queries: DataFrame, stats: DataFrame, limit: int,
     term alone and is summed for each (query, document). Ties go by doc.
     """
     asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
-    hit = posting.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df"))
+    hit = settled(posting.join(asked.select("term").distinct(), "term", "left_semi"))  # also gives df
     n, length = F.col("n_docs").cast("double"), F.col("total_len") / F.greatest(F.lit(1), F.col("n_docs"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / length))
-    rated = hit.join(df, ["shard", "term"]).join(stats.select("shard", "n_docs", "total_len"), "shard").select("shard", "doc", "term", weight.alias("w"))
+    # A row for each term of a shard that is asked for, with what it weighs; only this small relation meets the statistics.
+    terms = hit.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df")).join(stats.select(F.col("shard").alias("of_"), "n_docs", "total_len"), F.col("shard").eqNullSafe(F.col("of_")))
+    terms = terms.select("shard", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), length.alias("mean_len"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
+    rated = hit.join(terms, ["shard", "term"]).select("shard", "doc", "term", weight.alias("w"))
     scored = rated.join(asked, "term").groupBy("query", "shard", "doc").agg(F.sum("w").alias("raw")).withColumn("score", F.round(1 - F.exp(-F.col("raw")), 6))
     keys = ["query", "shard"] if per_shard else ["query"]
     order = Window.partitionBy(*keys).orderBy(F.round(F.col("raw"), 6).desc(), F.col("doc"))

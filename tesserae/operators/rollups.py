@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
+from tesserae.operators import prefix
 
 #: Capacity and least utility of the tiers, and what keeps a fact from being archived.
 HOT, WARM, COLD = 500, 2000, 10_000
@@ -25,34 +26,29 @@ def bucket_rollup(links: DataFrame, bucket: Column) -> DataFrame:
 def assign_tiers(facts: DataFrame, hot: int = HOT, warm: int = WARM, cold: int = COLD) -> DataFrame:
     """Adds tier and archive to (id, utility, protected, denied): budgets filled in order of utility, then id.
 
-    Only counts are global: a row's place among those before it comes from totals of ranges of utility
-    and a window within the range, so no task orders all rows.
+    One order serves all budgets: the hot rows come first in it, and of the unprotected rows those that
+    are hot, warm and cold follow each other. So a row's tier depends on how many rows, and how many
+    unprotected ones, come before it, and on three totals.
     """
-    rows = facts.withColumn("tier", F.when(F.col("denied") >= QUARANTINE_DENIALS, "quarantine"))
-    ordered = _global_rank(rows.withColumn("in_hot_", F.col("tier").isNull() & (F.col("utility") >= HOT_UTILITY)), "in_hot_", "hot_nth_")
-    rows = ordered.withColumn("tier", F.when(F.col("in_hot_") & (F.col("hot_nth_") <= hot), "hot").otherwise(F.col("tier")))
-    guarded = rows.agg(F.sum(F.when(F.col("tier").isNull() & F.col("protected"), 1).otherwise(0)).alias("guarded_"))
-    rows = rows.withColumn("in_warm_", F.col("tier").isNull() & ~F.col("protected") & (F.col("utility") >= WARM_UTILITY))
-    rows = _global_rank(rows, "in_warm_", "warm_nth_").join(F.broadcast(guarded))  # one row
-    fits = F.col("in_warm_") & (F.col("warm_nth_") <= F.greatest(F.lit(0), F.lit(warm) - F.col("guarded_")))
-    rows = rows.withColumn("tier", F.when(F.col("tier").isNull() & (F.col("protected") | fits), "warm").otherwise(F.col("tier")))
-    rows = _global_rank(rows.withColumn("in_cold_", F.col("tier").isNull()), "in_cold_", "cold_nth_")
-    return rows.select(*facts.columns, F.coalesce("tier", F.lit("cold")).alias("tier"), (F.col("in_cold_") & (F.col("cold_nth_") > cold)).alias("archive"))
-
-
-#: Ranges of utility (0 to 1) that are counted apart.
-_RANGES = 4096
-
-
-def _global_rank(rows: DataFrame, flag: str, out: str) -> DataFrame:
-    """Adds the place (from 1) of each flagged row in the order utility descending, id; unflagged rows get null."""
-    part = F.least(F.lit(_RANGES - 1), F.floor(F.col("utility") * _RANGES)).cast("int")
-    rows = rows.withColumn("range_", part)
-    totals = rows.filter(flag).groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
-    above = Window.orderBy(F.col("range_").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("range_", F.coalesce(F.sum("n_").over(above), F.lit(0)).alias("before_"))
-    inside = F.row_number().over(Window.partitionBy("range_", flag).orderBy(F.col("utility").desc(), "id"))
-    return rows.withColumn("inside_", inside).join(F.broadcast(offsets), "range_", "left").withColumn(out, F.when(F.col(flag), F.col("inside_") + F.col("before_"))).drop("range_", "inside_", "before_")
+    order = [F.col("utility").desc(), F.col("id")]
+    eligible = F.col("denied") < QUARANTINE_DENIALS
+    free = F.when(F.col("protected"), 0).otherwise(1)
+    ranged = prefix.by_ranges(facts.filter(eligible), [], order)
+    places = prefix.sums_before(ranged, [], order, {"above_": F.lit(1), "free_above_": free})
+    is_hot = (F.col("utility") >= HOT_UTILITY) & (F.col("above_") < hot)
+    counts = places.agg(
+        F.sum(F.when(is_hot, free).otherwise(0)).alias("hot_free_"),
+        F.sum(F.when(~is_hot & F.col("protected"), 1).otherwise(0)).alias("guarded_"),
+        F.sum(F.when((F.col("utility") >= WARM_UTILITY) & ~F.col("protected"), 1).otherwise(0)).alias("warm_free_"),
+    )
+    rows = places.join(F.broadcast(counts))  # one row
+    room = F.greatest(F.lit(0), F.lit(warm) - F.col("guarded_"))
+    nth = F.col("free_above_") - F.col("hot_free_")  # unprotected rows before this one that aren't hot
+    is_warm = F.col("protected") | ((F.col("utility") >= WARM_UTILITY) & (nth < room))
+    warmed = F.least(room, F.col("warm_free_") - F.col("hot_free_"))
+    tier = F.when(is_hot, "hot").when(is_warm, "warm").otherwise("cold")
+    placed = rows.select(*facts.columns, tier.alias("tier"), (~is_hot & ~is_warm & (nth - warmed >= cold)).alias("archive"))
+    return placed.unionByName(facts.filter(~eligible).select(*facts.columns, F.lit("quarantine").alias("tier"), F.lit(False).alias("archive")))
 
 
 def duplicate_groups(rows: DataFrame, key: list[str], recorded: str, id_col: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators import prefix
+
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Lower and upper bound of a share, within [0, 1]."""
@@ -69,17 +71,12 @@ def confusion(rows: DataFrame, predicted: Column, actual: Column, group: list[st
 
 def fit_threshold(rows: DataFrame, score: str, label: str, group: str, fp_cost: float = 2.0, fn_cost: float = 1.0) -> DataFrame:
     """group, threshold, cost: over all distinct scores (and just outside them) the least cost of false positives and
-    negatives; ties by balanced accuracy, then the larger threshold. Scores are pre-aggregated, so windows run over distinct ones."""
+    negatives; ties by balanced accuracy, then the larger threshold. Sums run over ranges of scores, so no task holds a group."""
     y = F.col(label).cast("int")
-    counts = rows.groupBy(group, F.col(score).alias("t")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    whole = Window.partitionBy(group)
-    upward = whole.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    counts = prefix.by_ranges(rows.groupBy(group, F.col(score).alias("t")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")), [group], [F.col("t")])
+    totals = counts.groupBy(group).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("t").alias("top"), F.min("t").alias("low"))
     # A row is retrieved if its score is at least t: positives below t are missed.
-    at = counts.select(
-        group, "t",
-        F.coalesce(F.sum("pos").over(upward), F.lit(0)).alias("fn"), F.coalesce(F.sum("neg").over(upward), F.lit(0)).alias("tn"),
-        F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"), F.max("t").over(whole).alias("top"), F.min("t").over(whole).alias("low"),
-    )
+    at = prefix.sums_before(counts, [group], [F.col("t")], {"fn": F.col("pos"), "tn": F.col("neg")}).join(totals, group)
     above = at.filter("t = top").select(group, (F.col("t") + 1e-9).alias("t"), F.col("p").alias("fn"), F.col("n").alias("tn"), "p", "n")
     below = at.filter("t = low").select(group, (F.col("t") - 1e-9).alias("t"), F.lit(0).cast("long").alias("fn"), F.lit(0).cast("long").alias("tn"), "p", "n")
     options = at.select(group, "t", "fn", "tn", "p", "n").unionByName(above).unionByName(below)
@@ -97,15 +94,17 @@ def effective_count(weight: str) -> Column:
 def isotonic_blocks(rows: DataFrame, cohort: str, score: str, label: str, weight: str | None = None) -> DataFrame:
     """cohort, low, high, positive, total, n: blocks of a rising step function, by pooling adjacent violators.
 
-    Scores are pre-aggregated by distinct value before a task pools a cohort's, so its rows are distinct scores.
+    Ranges of scores are pooled first, each in its own task, and then the blocks that are left of a cohort:
+    pooling may take neighbours in any order.
     """
     w = F.lit(1.0) if weight is None else F.greatest(F.lit(0.001), F.col(weight))
     points = rows.groupBy(F.col(cohort).alias("cohort"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))).alias("s")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w).alias("tot"), F.count(F.lit(1)).alias("n"))
+    points = prefix.by_ranges(points.select("cohort", F.col("s").alias("low"), F.col("s").alias("high"), F.col("pos").alias("positive"), F.col("tot").alias("total"), "n"), ["cohort"], [F.col("low")])
 
     def pool(part: pd.DataFrame) -> pd.DataFrame:
         blocks: list[list] = []
-        for s, pos, tot, n in part.sort_values("s")[["s", "pos", "tot", "n"]].itertuples(index=False):
-            blocks.append([s, s, pos, tot, n])
+        for block in part.sort_values("low")[["low", "high", "positive", "total", "n"]].itertuples(index=False):
+            blocks.append(list(block))
             while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] > blocks[-1][2] / blocks[-1][3]:
                 last = blocks.pop()
                 blocks[-1][1] = last[1]
@@ -114,7 +113,8 @@ def isotonic_blocks(rows: DataFrame, cohort: str, score: str, label: str, weight
         out = pd.DataFrame(blocks, columns=["low", "high", "positive", "total", "n"])
         return out.assign(cohort=part["cohort"].iloc[0])[["cohort", "low", "high", "positive", "total", "n"]]
 
-    return points.groupBy("cohort").applyInPandas(pool, "cohort string, low double, high double, positive double, total double, n long")
+    schema = "cohort string, low double, high double, positive double, total double, n long"
+    return points.groupBy("cohort", prefix.PART).applyInPandas(pool, schema).groupBy("cohort").applyInPandas(pool, schema)
 
 
 def nearest_rank(values: str, q: float) -> Column:

@@ -24,14 +24,32 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, by a reliable checkpoint in the session's checkpoint folder (an own one only where none is set)."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only on a local master, where all run on one machine, an own one is made if none is set.
+    """
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-"))
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if configured is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tesserae-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, by a reliable checkpoint in the session's checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files have fewer splits than that; as it is otherwise, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table, by the session's own reader (the path may be on any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

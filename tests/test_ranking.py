@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
 from tesserae.functions import vector
-from tesserae.operators import integrity, lexical, ranking, recall, rollups, stats
+from tesserae.operators import integrity, lexical, prefix, ranking, recall, rollups, stats
 
 NOW = 1_750_000_000_000
 
@@ -132,3 +132,26 @@ def test_near_duplicates_share_tokens_of_any_frequency(spark):
     rows = [(i, "k", ["the", f"p{i}", f"q{i}", f"r{i}"]) for i in range(600)] + [(700, "k", ["the"]), (701, "k", ["the", "x"]), (702, "other", ["the"])]
     got = rollups.blocked_near_duplicates(spark.createDataFrame(rows, "id int, kind string, tokens array<string>"))
     assert [tuple(r) for r in got.collect()] == [(700, 701, 0.5)]
+
+
+def test_limits_are_held_within_their_bounds():
+    rows = [(f"m{i}", f"fact number {i} about topic{i}", 1.0) for i in range(40)]
+    ids, seen, batches, why = ranking.select_adaptively("你还记得我哪些事情", rows, initial=99, continuation=0, max_injected=99, max_batches=99)
+    assert (len(ids), seen, batches, why) == (19, 19, 10, "max-batches")
+
+
+def test_long_cycles(spark):
+    ring = [(i, (i + 1) % 1000) for i in range(1000)]
+    edges = spark.createDataFrame([*ring, *[(2000 + i, 2001 + i) for i in range(90)], (3000, 5), (5000, 5001)], "a int, b int")
+    assert {r.node for r in integrity.cycles(edges, "a", "b").collect()} == set(range(1000))
+    assert integrity.cycles(edges.filter("a >= 5000"), "a", "b").count() == 0
+
+
+def test_sums_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("xxy"), rng.randrange(9), i, rng.randrange(5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v int, i int, w int")
+    order = [F.col("v").desc(), F.col("i")]
+    got = {r.i: r.s for r in prefix.sums_before(prefix.by_ranges(df, ["g"], order), ["g"], order, {"s": F.col("w")}).collect()}
+    place = lambda r: (-r[1], r[2])
+    assert got == {r[2]: sum(o[3] for o in rows if o[0] == r[0] and place(o) < place(r)) for r in rows}
