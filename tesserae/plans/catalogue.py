@@ -11,7 +11,7 @@ from tesserae.functions import scoring, vector
 from tesserae.functions import text as t
 from tesserae.operators import filters, ingest, integrity, lexical, ranking, rollups, state, stats, vectors
 from tesserae.plans import planner
-from tesserae.session import table
+from tesserae.session import settled, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as fact rows: the source is the owner, the language the kind, labels give quality and status."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = _texts(spark, sf_dir), table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("owner"),
@@ -55,6 +55,11 @@ _MEMORIES = """memories as (select d.doc_id as id, d.source as owner, d.lang as
 _TOKENS = "list_transform(regexp_extract_all(lower(content), '[a-z0-9]+'), lambda x: 'w:' || x)"
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt out to all cores where the table is one small file."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).withColumn("tokens", t.bm25_tokens(F.col("content")))
 
@@ -106,7 +111,7 @@ def _holders(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _search(spark, sf_dir, limit):
-    docs = _tokenised(spark, sf_dir).filter("status = 'active'").withColumn("owner", F.lit("all"))
+    docs = memories(spark, sf_dir).filter("status = 'active'").select("id", F.lit("all").alias("owner"), "status", t.bm25_tokens(F.col("content")).alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), t.bm25_tokens(F.col("text")).alias("terms"))
     return lexical.search(lexical.postings(docs), asked, lexical.corpus_stats(docs), limit)
 
@@ -129,7 +134,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(
     f"""with {_BM25}, pool as (select query, doc as id, rank from ranked where rank <= 10),
-rel as (select query, id from pool join benchmark on item_id = query join documents on doc_id = id where contains(documents.text, benchmark.text)),
+rel as (select item_id as query, id from benchmark, live where contains(live.content, benchmark.text)),
 total as (select query, count(*) as total from rel group by query),
 found as (select pool.query, count(*) as found, min(rank) as first, sum(1 / log2(rank + 1)) as dcg from pool join rel on rel.query = pool.query and rel.id = pool.id where rank <= 5 group by pool.query),
 ideal as (select query, sum(1 / log2(i + 1)) as ideal from total, range(1, 6) r(i) where i <= least(total, 5) group by query),
@@ -219,7 +224,7 @@ def exact_duplicates(spark, sf_dir):
 
 @query(
     """with c as (select kind, tokens, min(id) as id from (select lang as kind, doc_id as id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as tokens from documents) group by kind, tokens),
-e as (select id, kind, unnest(tokens) as token from c), df as (select kind, token, count(*) as df from e group by kind, token having count(*) between 2 and 500),
+e as (select id, kind, unnest(tokens) as token from c), df as (select kind, token, count(*) as df from e group by kind, token having count(*) >= 2),
 k as (select * from (select id, kind, token, row_number() over (partition by id order by df, token) as nth from e join df using (kind, token)) where nth <= 3),
 p as (select distinct least(k.id, e.id) as a, greatest(k.id, e.id) as b from k join e on e.kind = k.kind and e.token = k.token and e.id <> k.id),
 s as (select a, b, round(len(list_intersect(x.tokens, y.tokens)) / len(list_distinct(list_concat(x.tokens, y.tokens))), 6) as similarity from p join c x on x.id = a join c y on y.id = b)
@@ -227,7 +232,7 @@ select * from s where similarity >= 0.5"""
 )
 def blocked_near_duplicates(spark, sf_dir):
     """Pairs of token sets of one kind that share a rare token and reach a similarity of one half."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.array_distinct(t.words(F.col("text"))).alias("tokens"))
+    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.array_distinct(t.words(F.col("text"))).alias("tokens"))
     return rollups.blocked_near_duplicates(docs)
 
 
@@ -441,7 +446,7 @@ def feedback_last_match(spark, sf_dir):
 select lang, token, n, rank from (select *, row_number() over (partition by lang order by n desc, token) as rank from c) where rank <= 8"""
 )
 def topic_summary(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", t.topic_tokens(F.col("text")).alias("tokens"))
+    docs = _texts(spark, sf_dir).select("lang", t.topic_tokens(F.col("text")).alias("tokens"))
     return rollups.top_tokens(docs, "lang", "tokens", 8)
 
 
@@ -583,7 +588,7 @@ def effective_sample_count(spark, sf_dir):
 )
 def text_functions(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         "doc_id", F.size(t.bm25_tokens(text)).alias("n_tokens"), F.size(t.strong_tokens(text)).alias("n_strong"), F.length(t.comparable(text)).alias("n_comparable"),
         t.character_cost(text).alias("cost"), t.stable_id(F.col("source"), F.col("lang")).alias("key"),
     )
@@ -597,7 +602,7 @@ select a, b, len(list_intersect(x, y)) as shared, round(case when len(x) + len(y
 )
 def set_similarity(spark, sf_dir):
     """Set operations on each document's words and the next one's."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(t.words(F.col("text"))).alias("x"))
+    docs = _texts(spark, sf_dir).select("doc_id", F.array_distinct(t.words(F.col("text"))).alias("x"))
     both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("b"), F.col("x").alias("y")), "doc_id")
     x, y = F.col("x"), F.col("y")
     return both.select(F.col("doc_id").alias("a"), "b", F.size(F.array_intersect(x, y)).alias("shared"), F.round(t.jaccard(x, y), 6).alias("jaccard"), F.round(t.overlap(x, y), 6).alias("overlap"))
@@ -619,14 +624,14 @@ def recall_policy(spark, sf_dir):
 @query()
 def planner_batch(spark, sf_dir):
     """The plan of every user turn: intent, time, routes and budgets."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+    turns = spread(table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query")))
     return planner.plan_queries(turns, "query", NOW_MS).drop("query")
 
 
 @query()
 def local_embeddings(spark, sf_dir):
     """The hashed embedding of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", vector.local_embedding(F.col("text")).alias("embedding"))
+    return _texts(spark, sf_dir).select("doc_id", vector.local_embedding(F.col("text")).alias("embedding"))
 
 
 def _planned(spark, sf_dir) -> DataFrame:
@@ -636,7 +641,7 @@ def _planned(spark, sf_dir) -> DataFrame:
 
 def _pool(spark, sf_dir, plans: DataFrame, size: str) -> DataFrame:
     """The best documents for every benchmark item, as many as its plan's column says: 10 at least, 100 at most."""
-    hits = _search(spark, sf_dir, 100).select("query", F.col("doc").alias("id"), "rank", "score")
+    hits = settled(_search(spark, sf_dir, 100).select("query", F.col("doc").alias("id"), "rank", "score"))
     return hits.join(plans.select("query", size), "query").filter(F.col("rank") <= F.greatest(F.lit(10), F.col(size))).drop(size)
 
 
@@ -644,7 +649,9 @@ def _pool(spark, sf_dir, plans: DataFrame, size: str) -> DataFrame:
 def diverse_topk(spark, sf_dir):
     """Of the documents in every benchmark item's rank window the first 5 that differ."""
     hits = _pool(spark, sf_dir, _planned(spark, sf_dir), "rank_window").drop("score")
-    return ranking.diverse_top(hits.join(_tokenised(spark, sf_dir).select("id", "tokens"), "id"), 5)
+    # Only texts that were found are tokenised again.
+    found = memories(spark, sf_dir).select("id", "content").join(hits.select("id").distinct(), "id", "left_semi")
+    return ranking.diverse_top(hits.join(found.select("id", t.bm25_tokens(F.col("content")).alias("tokens")), "id"), 5)
 
 
 @query()
