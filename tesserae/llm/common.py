@@ -92,9 +92,12 @@ def _byte_codes(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-class SpanHash:
+class RollingHash:
     """64-bit polynomial hashes of any byte spans of one slice, from prefix sums modulo 2^64.
 
+    Cheap, for features and for the order of samples, where a collision decides nothing: texts made for it
+    (long alternations of two patterns) collide under every base. ``SpanHash`` names texts.
+
     hash(i, j) = sum of code[b_t] * B^(t - i) over i <= t < j, finalised together with the length.
     B is odd and so has an inverse, by which a difference of prefix sums is moved to position 0.
     """
@@ -127,6 +130,89 @@ class SpanHash:
         return mix(raw + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: The modulus of ``SpanHash``, a prime.
+PRIME = (1 << 61) - 1
+_P, _61, _32, _31, _30, _29 = (np.uint64(v) for v in (PRIME, 61, 32, 31, 30, 29))
+_LOW32, _LOW31, _LOW30, _LOW29 = (np.uint64((1 << k) - 1) for k in (32, 31, 30, 29))
+#: Bytes whose terms are summed before they are reduced; their sums stay below 2^63.
+_BLOCK = 1 << 20
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2^64 modulo PRIME."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME of values below PRIME, by halves of 31 bits: 2^62 is 2 and 2^61 is 1."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * a1 * b1 + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    table = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        table[done : done + more] = _times(table[:more], np.uint64(pow(factor, done, PRIME)))
+        done += more
+    return table
+
+
+class SpanHash:
+    """64-bit hashes of any byte spans of one slice, from prefix sums of a polynomial modulo a prime.
+
+    hash(i, j) = sum of (b_t + 1) * B^(t - i) over i <= t < j modulo 2^61 - 1, finalised together with the
+    length. Two different spans of n bytes agree for at most n of the 2^61 bases; two seeds have
+    independent bases.
+    """
+
+    _tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, data: np.ndarray, seed: int = 1) -> None:
+        low, high, self.down = self._powers_of(seed, len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        carry = np.uint64(0)
+        for at in range(0, len(data), _BLOCK):
+            code = data[at : at + _BLOCK].astype(np.uint64) + np.uint64(1)
+            small = np.cumsum(code * low[at : at + len(code)], dtype=np.uint64)
+            large = np.cumsum(code * high[at : at + len(code)], dtype=np.uint64)
+            part = _reduced((small & _P) + (small >> _61) + (large >> _29) + ((large & _LOW29) << _32) + carry)
+            self.sums[at + 1 : at + 1 + len(code)] = part
+            carry = part[-1]
+
+    @classmethod
+    def _powers_of(cls, seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Low and high halves of the base's powers, and the powers of its inverse."""
+        known = cls._tables.get(seed)
+        if known is None or len(known[0]) < n:
+            size = max(SLICE_BYTES + 1, n)
+            base = int(mix(np.array([seed], np.uint64))[0]) % (PRIME - 512) + 512
+            up = _powers(base, size)
+            known = (up & _LOW32, up >> _32, _powers(pow(base, -1, PRIME), size))
+            if size <= 4 * SLICE_BYTES:
+                cls._tables[seed] = known
+        return known
+
+    def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        raw = _times(_reduced(self.sums[stop] + (_P - self.sums[start])), self.down[start])
+        return mix(raw + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 1) -> np.ndarray:
+    """``SpanHash`` of each word (spans in order that don't overlap), made piece by piece: of a long text only a piece is expanded at once."""
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        end = max(at + 1, int(np.searchsorted(stop, start[at] + SLICE_BYTES, side="right")))
+        base = start[at]
+        out[at:end] = SpanHash(data[base : stop[end - 1]], seed).spans(start[at:end] - base, stop[at:end] - base)
+        at = end
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes whose ``inside`` entry is true, not crossing documents.
 

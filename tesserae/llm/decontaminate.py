@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import SpanHash, checkpointed, lowered, mix, slices, text_bytes, words_of
+from tesserae.llm.common import checkpointed, lowered, mix, slices, text_bytes, word_hashes, words_of
 
 SPAN = 13
 GRAM = 5
@@ -54,7 +54,7 @@ def _hashed_words(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndar
     data, offsets = text_bytes(batch.column(text))
     data = lowered(data)
     start, stop, first = words_of(data, offsets, INSIDE)
-    return SpanHash(data).spans(start, stop), first
+    return word_hashes(data, start, stop), first
 
 
 def _gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import SpanHash, checkpointed, lowered, mix, slices, text_bytes, words_of, written
+from tesserae.llm.common import checkpointed, lowered, mix, slices, text_bytes, word_hashes, words_of, written
 from tesserae.llm.components import components
 
 COORDINATES = 96
@@ -56,7 +56,7 @@ def shingle_sets(batch: pa.RecordBatch, text: str, size: int) -> tuple[np.ndarra
     data, offsets = text_bytes(batch.column(text))
     data = lowered(data)
     start, stop, first = words_of(data, offsets, _INSIDE)
-    words = SpanHash(data).spans(start, stop)
+    words = word_hashes(data, start, stop)
     n = np.diff(first)
     total = max(0, len(words) - size + 1)
     runs = np.full(total, size, np.uint64)

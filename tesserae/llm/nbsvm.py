@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import SpanHash, lowered, mix, slices, text_bytes, words_of
+from tesserae.llm.common import RollingHash, lowered, mix, slices, text_bytes, words_of
 
 BITS = 18
 _BLANK = np.ones(256, bool)
@@ -42,7 +42,7 @@ def places(batch: pa.RecordBatch, text: str, features: Features) -> Iterator[np.
     data, offsets = text_bytes(batch.column(text))
     if features.lower:
         data = lowered(data)
-    hashes = SpanHash(data)
+    hashes = RollingHash(data)
     shift = np.uint64(64 - BITS)
     grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # places, and where each row's begin and end
     ends = np.arange(len(data) + 1)
