@@ -91,8 +91,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every whole text in 400-byte strings that start elsewhere too."""
-    return suffix_dedup.remove_repeats(_documents(spark, sf_dir), length=400)
+    """Bytes of every whole text in 400-byte strings that start elsewhere too; and whether 50 words in a row are another document's too."""
+    docs = _documents(spark, sf_dir)
+    sharing = suffix_dedup.sharing_documents(docs, words=suffix_dedup.PASSAGE).select(F.col("id").alias("doc_id"), F.lit(1).alias("shares_passage"))
+    return suffix_dedup.remove_repeats(docs, length=400).join(sharing, "doc_id", "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(0)))
 
 
 QUERIES = {
@@ -137,7 +139,10 @@ numbered as (select doc_id, i, sum(fresh::int) over (partition by doc_id order b
 runs as (select doc_id, min(i) as low, max(i) + 400 as high from numbered group by doc_id, run),
 gaps as (select doc_id, 0 as a, min(low) as b from runs group by doc_id union all select doc_id, high, lead(low) over (partition by doc_id order by low) from runs),
 kept as (select doc_id, string_agg(substring(x, 2 * a + 1, 2 * (coalesce(b, len(x) // 2) - a)), '' order by a) as k from gaps join bytes using (doc_id) group by doc_id),
-sums as (select doc_id, sum(high - low)::bigint as n_removed, count(*) as n_spans from runs group by doc_id)
-select doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, x))) as kept_sha256
-from bytes left join sums using (doc_id) left join kept using (doc_id)""",
+sums as (select doc_id, sum(high - low)::bigint as n_removed, count(*) as n_spans from runs group by doc_id),
+words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+passages as (select doc_id, md5(array_to_string(w[i:i + 49], ' ')) as p from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)),
+sharing as (select distinct doc_id, 1 as shares from passages semi join (select p from passages group by p having count(distinct doc_id) > 1) using (p))
+select doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, x))) as kept_sha256, coalesce(shares, 0) as shares_passage
+from bytes left join sums using (doc_id) left join kept using (doc_id) left join sharing using (doc_id)""",
 }

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import SpanHash, checkpointed, mix, slices, text_bytes, written
+from tesserae.llm.common import RollingHash, SpanHash, checkpointed, mix, slices, text_bytes, words_of, written
 
 LENGTH = 400
 #: Bits of the filters that narrow the later scans: 2 MB each at any size of the input.
@@ -44,22 +44,34 @@ FILTER_BITS = 24
 #: Strings of an opened run that are ranked together before they are ranked one by one.
 BIN = 32
 _PLACE = np.uint64((1 << 28) - 1)
+#: Words that a passage must have in common with another document's to be reported.
+PASSAGE = 50
+#: What a word is made of: all bytes but ASCII white space.
+WORD = np.ones(256, bool)
+WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
 class Runs:
-    """The runs of one slice: anchors, first and last string starts (slice positions), and the row of each."""
+    """The runs of one slice: anchors, first and last string starts (places of units), and the row of each.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int) -> None:
+    Units are the slice's bytes, or the words that ``start`` and ``stop`` bound; ``offsets`` says where
+    each row's units begin (and end).
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> None:
         self.half = half = (length + 1) // 2
-        self.first = SpanHash(data, 11)
+        self.data, self.start, self.stop = data, start, stop
         none = np.zeros(0, np.int64)
         self.anchor = self.low = self.high = self.row = none
-        n = len(data)
+        n = int(offsets[-1])
         big = np.flatnonzero(np.diff(offsets) >= length)
         if not len(big):
             return
-        sums, down = self.first.sums, self.first.down
-        raw = (sums[half:] - sums[: n - half + 1]) * down[: n - half + 1]
+        order = RollingHash(data, 11)
+        if start is None:
+            raw = (order.sums[half:] - order.sums[: n - half + 1]) * order.down[: n - half + 1]
+        else:
+            raw = (order.sums[stop[half - 1 :]] - order.sums[start[: n - half + 1]]) * order.down[start[: n - half + 1]]
         raw &= ~_PLACE
         raw |= _PLACE - (np.arange(len(raw), dtype=np.uint64) & _PLACE)
         reach, width = length - half + 1, 1  # least of each ``reach`` adjacent ones, by doubling
@@ -82,10 +94,25 @@ class Runs:
         self.low, self.high = np.flatnonzero(begins), np.flatnonzero(ends)
         self.anchor = anchor[self.low]
         self.row = np.searchsorted(offsets, self.low, side="right") - 1
+        self.first = SpanHash(data, 11)
+
+    def spans(self, hashes: SpanHash, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hashes of the units from ``low`` to before ``high``."""
+        return hashes.spans(low, high) if self.start is None else hashes.spans(self.start[low], self.stop[high - 1])
 
     def keys(self) -> np.ndarray:
         """The anchors' ranks."""
-        return self.first.spans(self.anchor, self.anchor + self.half)
+        return self.spans(self.first, self.anchor, self.anchor + self.half) if len(self.anchor) else np.zeros(0, np.uint64)
+
+
+def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A slice with one blank after each word and no other white space; its words' starts and stops, and where each row's words begin."""
+    start, stop, first = words_of(data, offsets, WORD)
+    keep = WORD[data]
+    keep[1:] |= WORD[data[:-1]]
+    place = np.cumsum(keep) - 1
+    spaced = np.where(WORD[data], data, np.uint8(32))[keep]
+    return spaced, place[start], place[stop - 1] + 1, first
 
 
 def _bits(place: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -247,6 +274,74 @@ def _opened_spans(found: DataFrame, length: int) -> DataFrame:
     return spans.select("t1", "t2", (F.col("base") + F.col("from")).alias("low"), (F.col("base") + F.col("to")).alias("high"))
 
 
+def sharing_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE) -> DataFrame:
+    """id (long, distinct): the documents that hold a passage of ``words`` words or more which another document holds too.
+
+    The same ranks and runs as above, over words instead of bytes: words are runs of bytes other than
+    ASCII white space, however far apart. Rows of one id are one document, whose own repeats don't
+    count; rows without an id are known by their text. A document is reported as soon as one of its runs
+    occurs whole elsewhere; only where none does are the runs of its anchors opened string by string.
+    """
+    if words < 2:
+        raise ValueError("words must be at least 2")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    texts = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text)).alias("id"), text.alias("text")).filter(F.octet_length("text") >= 2 * words - 1)
+
+    def runs_of(part: pa.RecordBatch) -> Runs:
+        data, start, stop, first = _spaced(*text_bytes(part.column("text")))
+        return Runs(data, first, words, start, stop)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield _record([runs_of(part).keys()], _longs("key"))
+
+    keys = texts.select("text").mapInArrow(ranked, _longs("key"))
+    shipped = _filter_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), _top(F.col("key")))
+    fields = _longs("key", "f1", "f2", "id")
+
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped.value.view(np.uint64)
+        for part in slices(batches, "text"):
+            runs = runs_of(part)
+            keys = runs.keys()
+            keep = np.flatnonzero(_bits(keys >> np.uint64(64 - FILTER_BITS), table))
+            if not len(keep):
+                continue
+            low, end, row = runs.low[keep], runs.high[keep] + words, runs.row[keep]
+            shape = (runs.anchor[keep] - low).astype(np.uint64)
+            f1, f2 = (mix(runs.spans(h, low, end) + shape) for h in (runs.first, SpanHash(runs.data, 12)))
+            yield _record([keys[keep], f1, f2, part.column("id").to_numpy()[row]], fields)
+
+    runs = written(texts.mapInArrow(covered, fields), "word-runs")
+    classes = checkpointed(runs.groupBy("f1", "f2").agg(F.min("key").alias("key"), F.min("id").alias("a"), F.max("id").alias("b")))
+    whole = checkpointed(runs.join(classes.filter("a <> b").select("f1", "f2"), ["f1", "f2"], "left_semi").select("id").distinct())
+    alone = classes.filter("a = b").join(whole.select(F.col("id").alias("a")), "a", "left_anti").select("key").distinct()
+    opened = classes.join(alone, "key", "left_semi").groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("key")
+    opened = checkpointed(classes.join(opened, "key", "left_semi").select("f1"))
+    shipped_runs = _filter_table(opened, _top(F.col("f1")))
+    string_fields = _longs("x", "y", "id")
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped_runs.value.view(np.uint64)
+        for part in slices(batches, "text"):
+            runs = runs_of(part)
+            if not len(runs.low):
+                continue
+            f1 = mix(runs.spans(runs.first, runs.low, runs.high + words) + (runs.anchor - runs.low).astype(np.uint64))
+            keep = np.flatnonzero(_bits(f1 >> np.uint64(64 - FILTER_BITS), table))
+            if not len(keep):
+                continue
+            n = runs.high[keep] - runs.low[keep] + 1
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(runs.low[keep], n)
+            x, y = (runs.spans(h, at, at + words) for h in (runs.first, SpanHash(runs.data, 12)))
+            yield _record([x, y, part.column("id").to_numpy()[np.repeat(runs.row[keep], n)]], string_fields)
+
+    # Runs that only the filter let through are runs of the texts too and do no harm.
+    laid = written(texts.mapInArrow(strings, string_fields), "word-strings")
+    twice = laid.groupBy("x", "y").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("x", "y")
+    return whole.unionByName(laid.join(twice, ["x", "y"], "left_semi").select("id")).distinct()
+
+
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of half-open spans."""
     order = np.argsort(starts, kind="stable")
