@@ -129,16 +129,29 @@ def citations(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\[(M\d{1,3})\]"), 1), lambda c: F.upper(c)))
 
 
+def squeezed_lines(text: Column) -> Column:
+    """Control characters but line ends as one blank, ends trimmed."""
+    return F.trim(F.regexp_replace(text, r"\s*[\x00-\x09\x0b-\x1f\x7f]+\s*", " "))
+
+
 def clauses(text: Column) -> Column:
-    """Clauses between terminators; a comma ends one only before a personal cue."""
-    marked = F.regexp_replace(text, r"[。！？!?；;\n\r]+", "\n")
-    marked = F.regexp_replace(marked, r"[，,]\s*(?=(?:我|i\s|i'|my\s))", "\n")
+    """Clauses between terminators; a comma ends one only before a cue of the speaker."""
+    marked = F.regexp_replace(text, r"[。！？!?;；\n]+", "\n")
+    marked = F.regexp_replace(marked, "(?i)" + ascii_borders(r"[，,](?=\s*(?:我|我的|你|您|请问|请|记住|别忘了|每周|平时|通常|现在|也|而且|同时|I\b|My\b|Call\b|Remember\b))"), "\n")
     return F.filter(F.transform(F.split(marked, "\n"), lambda c: F.trim(c)), lambda c: c != "")
 
 
-def normalized_value(text: Column) -> Column:
-    """Quotes and trailing punctuation dropped, white space squeezed, lower case."""
-    return F.regexp_replace(F.lower(squeezed(F.regexp_replace(text, "[\"'“”‘’「」『』`]", ""))), r"[。.!！?？,，;；:：]+$", "")
+#: Other names of programming languages.
+LANGUAGE_ALIASES = {"ts": "typescript", "js": "javascript", "py": "python", "golang": "go", "c sharp": "c#"}
+
+
+def normalized_value(text: Column, predicate: Column | None = None) -> Column:
+    """Outer quotes and trailing punctuation dropped, white space squeezed, lower case; places lose 市 or 城区, languages get their usual name."""
+    value = F.trim(F.regexp_replace(F.regexp_replace(text, "^[“”\"'‘’]+|[“”\"'‘’]+$", ""), r"[\s 　]+", " "))
+    if predicate is not None:
+        aliases = F.create_map(*[F.lit(x) for pair in LANGUAGE_ALIASES.items() for x in pair])
+        value = F.when(predicate == "profile.location", F.regexp_replace(value, "(?:市|城区)$", "")).when(predicate == "profile.programming_language", F.coalesce(aliases[F.lower(value)], value)).otherwise(value)
+    return F.trim(F.regexp_replace(F.lower(value), r"[，。！？,.!?]+$", ""))
 
 
 def refines(a: Column, b: Column) -> Column:

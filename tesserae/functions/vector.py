@@ -65,21 +65,24 @@ def _fnv1a(token: str) -> int:
     return h
 
 
+def embed_text(text: str | None, dimensions: int = DIMENSIONS, hashes: dict[str, int] | None = None) -> np.ndarray:
+    """A signed feature hash of the text's tokens, of length one (zero without tokens); ``hashes`` keeps what was hashed before."""
+    hashes = {} if hashes is None else hashes
+    v = np.zeros(dimensions)
+    for token in embedding_tokens(text or ""):
+        h = hashes.get(token)
+        if h is None:
+            h = hashes[token] = _fnv1a(token)
+        v[h % dimensions] += -1.0 if h >> 31 else 1.0
+    n = np.sqrt((v * v).sum())
+    return v / n if n else v
+
+
 def local_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """A signed feature hash of the text's tokens, of length one (zero without tokens): no model and no network."""
+    """``embed_text`` of a column: no model and no network."""
 
     def embed(texts: pd.Series) -> pd.Series:
-        hashes: dict[str, int] = {}
-        out = []
-        for t in texts:
-            v = np.zeros(dimensions)
-            for token in embedding_tokens(t or ""):
-                h = hashes.get(token)
-                if h is None:
-                    h = hashes[token] = _fnv1a(token)
-                v[h % dimensions] += -1.0 if h >> 31 else 1.0
-            n = np.sqrt((v * v).sum())
-            out.append(v / n if n else v)
-        return pd.Series(out)
+        hashes: dict[str, int] = {}  # of one batch
+        return pd.Series([embed_text(t, dimensions, hashes) for t in texts])
 
     return F.pandas_udf(embed, T.ArrayType(T.DoubleType()))(text)

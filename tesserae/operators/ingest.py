@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import scoring
 from tesserae.functions import text as t
 from tesserae.functions.regex import ascii_borders
+from tesserae.operators import filters
 
 #: Extraction rules as (kind, label, key, cardinality, pattern with one group). _V: a value up to the next punctuation.
 _V = r"[^，。！？,.!?\n]"
@@ -62,7 +64,6 @@ RULES: tuple[tuple[str, str, str | None, str, str], ...] = (
     ("identity", "用户就读院校", "profile.education", "single", rf"(?:本科|硕士|博士)(?:阶段)?(?:就读|毕业)于\s*({_V}{{1,100}})"),
     ("identity", "用户常用编程语言", "profile.programming_language", "single", r"(?:日常|平时)(?:写代码|编程)(?:时)?(?:主要)?(?:会)?用\s*((?:[^\W_]|[+#.-]){1,40})"),
     ("identity", "用户常用编程语言", "profile.programming_language", "single", r"(?:我)?(?:日常|平时)(?:主要)?用\s*(Rust|Python|TypeScript|JavaScript|Java|C\+\+|C#|Go)(?=[，。！？,.!?\s]|$)"),
-    ("routine", "用户缴房租日期", "routine.rent_day", "single", r"(?:我)?每个?月\s*([一二三四五六七八九十百〇零两\d]{1,4})\s*(?:日|号)(?:我)?(?:交|付|缴)(?:纳)?房租"),
     ("identity", "User name", "profile.name", "single", r"\bmy name is\s+([^,.!?\n]{1,60})"),
     ("identity", "Preferred form of address", "profile.preferred_name", "single", r"\bcall me\s+([^,.!?\n]{1,60})"),
     ("preference", "User preference", None, "multiple", r"\bi (?:prefer|like)\s+([^.!?\n]{1,200})"),
@@ -75,72 +76,129 @@ RULES: tuple[tuple[str, str, str | None, str, str], ...] = (
     ("preference", "User usual drink", None, "multiple", r"([^.!?\n]{1,80}) is my usual drink"),
     ("identity", "User location", "profile.location", "single", r"([^.!?\n]{1,80}) has been home for (?:the )?(?:last|past) [^.!?\n]{1,60}"),
 )
-_WEEKLY = re.compile(rf"(?:我)?每周([一二三四五六日天1-7])(?:我)?(?:都会|会|通常)?(?:去)?\s*({_V}{{1,80}})")
-_WEEKEND = re.compile(rf"(?:我)?(周末|周[六日天])(?:早上|上午|下午|晚上)?(?:我)?(?:都会|会|通常)?固定(?:去)?\s*({_V}{{1,80}})")
-_EXPLICIT = re.compile(ascii_borders(r"(?:请记住|记住)[：:，,\s]*(?:这件事[：:，,\s]*)?([^。！？.!?\n]{2,300})|\bremember(?: that)?\s+([^.!?\n]{2,300})"), re.I)
-_MOVED = re.compile(r"我(?:以前|过去|曾经)住(?:在)?\s*([^，。！？,.!?]{1,80})[，,]\s*(?:我)?(?:现在|目前|如今)住(?:在)?\s*([^，。！？,.!?]{1,80})")
-_RENAMED = re.compile(r"(?:我的(?:名字|姓名))(?:不是)\s*[^，。！？,.!?]{1,40}[，,]\s*(?:而是|是)\s*([^，。！？,.!?]{1,40})")
-_UNSAFE = re.compile(ascii_borders(r"ignore\s+(?:all\s+)?(?:previous\s+)?instructions?|system\s*prompt|developer\s+message|忽略.{0,12}(?:规则|指令|提示词|系统)|(?:执行|运行).{0,12}(?:命令|脚本)"), re.I)
-_SECRET = re.compile(ascii_borders(r"\bsk-[a-z0-9_-]{12,}\b|\b(?:api[_ -]?key|password|passwd|access[_ -]?token)\b|密码|验证码|访问令牌|密钥"), re.I)
-_HYPOTHETICAL = re.compile(r"^(?:如果|假如|假设|假定|要是)|不是真的|并非事实|那是错的|说错了|我不叫|我的(?:名字|姓名)不是|我并不叫")
-_CLAUSE_END = re.compile(r"[。！？!?;；\n]+")
-_CLAUSE_COMMA = re.compile(ascii_borders(r"[，,](?=\s*(?:我|你|您|请问|请|记住|别忘了|每周|平时|通常|现在|也|而且|同时|I\b|My\b|Call\b|Remember\b))"), re.I)
-_QUESTION = re.compile(ascii_borders(r"[?？吗呢]\s*$|^(?:what|who|when|where|why|how|do|does|did|is|are|can)\b"), re.I)
-_COMPILED = [(kind, label, key, card, re.compile(ascii_borders(p), re.I)) for kind, label, key, card, p in RULES]
+#: Rules whose content is put together from several groups, as (kind, label, key, cardinality, pattern, form of the value).
+COMPOSED: tuple[tuple[str, str, str, str, str, str], ...] = (
+    ("routine", "用户固定安排", "routine.weekly", "multiple", rf"(?:我)?每周([一二三四五六日天1-7])(?:我)?(?:都会|会|通常)?(?:去)?\s*({_V}{{1,80}})", "每周{0}{1}"),
+    ("routine", "用户固定安排", "routine.weekend", "multiple", rf"(?:我)?(周末|周[六日天])(?:早上|上午|下午|晚上)?(?:我)?(?:都会|会|通常)?固定(?:去)?\s*({_V}{{1,80}})", "{0}{1}"),
+    ("routine", "用户缴房租日期", "routine.rent_day", "single", r"(?:我)?每个?月\s*([一二三四五六七八九十百〇零两\d]{1,4})\s*(?:日|号)(?:我)?(?:交|付|缴)(?:纳)?房租", "每月{0}号"),
+)
+#: An express wish that something be remembered.
+EXPLICIT = r"(?:请记住|记住)[：:，,\s]*(?:这件事[：:，,\s]*)?([^。！？.!?\n]{2,300})|\bremember(?: that)?\s+([^.!?\n]{2,300})"
+#: Corrections that are understood although they deny something: a name, a move, and a stay since a move.
+RENAMED = r"(?:我的(?:名字|姓名))(?:不是)\s*[^，。！？,.!?]{1,40}[，,]\s*(?:而是|是)\s*([^，。！？,.!?]{1,40})"
+MOVED = r"我(?:以前|过去|曾经)住(?:在)?\s*([^，。！？,.!?]{1,80})[，,]\s*(?:我)?(?:现在|目前|如今)住(?:在)?\s*([^，。！？,.!?]{1,80})"
+SETTLED = r"(?:我)?搬(?:来|到)\s*([^\W\d_]{1,30})(?=(?:已经|有|[，,])).{0,60}(?:现在|目前|如今)(?:仍|还)(?:住|生活)(?:在)?(?:这里|当地|这儿)?"
+#: What isn't told as a fact: suppositions, fiction, denials, the past against the present.
+NON_FACTUAL = (
+    r"^(?:如果|假如|假设|假定|要是)",
+    r"(?:小说|电影|故事|角色|他说|她说|别人说|你(?:刚才)?说).{0,100}(?:我叫|我的(?:名字|姓名)|我喜欢|我住在)",
+    r"(?:不是真的|并非事实|那是错的|说错了)",
+    r"(?:以前|过去|曾经).{0,120}(?:现在|如今|目前)",
+    r"(?:十年前|[一二三四五六七八九十百〇零两\d]+年前|以前|过去|曾经).{0,120}(?:后来|之后).{0,80}(?:转行|不再|已经不是|已经停止)",
+)
+#: Denials of a name, requests about a text, role play, and speech of others.
+DENIED = r"(?:我不叫|我的(?:名字|姓名)不是|我并不叫)"
+ABOUT_TEXT = (
+    r"^(?:请)?(?:翻译|把.{0,100}翻译|举(?:个)?例(?:子)?|举例|例如|比如|示例)(?:这句|如下|是)?[：:，,\s]",
+    r"^(?:角色扮演|扮演角色|假想场景|虚构设定|在(?:小说|故事|电影|游戏)中)",
+    r"(?:^|[，。！？,.!?])(?!(?:我|医生)说)(?:他|她|他们|她们|别人|朋友|同事|[^\W_]{2,16})说[“\"'‘’]?(?:我|我的)",
+)
+#: What holds for the moment only, questions, and where clauses end.
+TRANSIENT = (
+    r"(?:我喜欢|我偏好)\s*(?:今天的天气|(?:你)?刚才的(?:回答|回复|结果|表现)|这次的(?:回答|回复|结果|体验))",
+    r"(?:刚才|临时|暂时|这(?:两|几|\d+)(?:秒|分钟|小时)).{0,40}(?:我)?(?:在|正在)(?:做|进行|测试)",
+)
+ASKING = r"^(?:请问|能否|可否|为什么|怎么|怎样)"
+QUESTION_END = r"(?:吗|么|呢)\s*[？?]?\Z|[？?]\s*\Z"
+CLAUSE_END = r"[。！？!?;；\n]+"
+CLAUSE_COMMA = r"[，,](?=\s*(?:我|我的|你|您|请问|请|记住|别忘了|每周|平时|通常|现在|也|而且|同时|I\b|My\b|Call\b|Remember\b))"
+
+
+def _compiled(*patterns: str) -> re.Pattern:
+    return re.compile("|".join(f"(?:{ascii_borders(p)})" for p in patterns), re.I)
+
+
+_UNSAFE, _SECRET = _compiled(*filters.INJECTION), _compiled(*filters.SECRET)
+_IGNORED_TEXT, _IGNORED_UNLESS_CORRECTED = _compiled(*ABOUT_TEXT), _compiled(*NON_FACTUAL, DENIED)
+_IGNORED_CLAUSE, _ASKED = _compiled(*NON_FACTUAL, *TRANSIENT, ASKING), _compiled(QUESTION_END)
+_RENAMED, _MOVED, _SETTLED, _REMEMBER, _ENDS, _COMMAS = (re.compile(ascii_borders(p), re.I) for p in (RENAMED, MOVED, SETTLED, EXPLICIT, CLAUSE_END, CLAUSE_COMMA))
+_COMPILED = [(kind, label, key, card, re.compile(ascii_borders(p), re.I), "{0}") for kind, label, key, card, p in RULES]
+_COMPILED += [(kind, label, key, card, re.compile(p), form) for kind, label, key, card, p, form in COMPOSED]
 
 
 def _clean(value: str | None) -> str:
-    value = unicodedata.normalize("NFKC", value or "").strip().strip("\"'“”‘’「」『』` ")
-    return re.sub(r"\s+", " ", value).strip("，。,.;； ")
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", value or "").strip().strip("“”\"'‘’")).strip()
 
 
-def facts_of(message: str) -> list[tuple[str, str, str | None, str, float, float, str]]:
-    """(kind, content, key, cardinality, importance, confidence, intent) of the facts that the rules find, each content once."""
-    text = unicodedata.normalize("NFKC", message or "").strip()
-    if not text or _UNSAFE.search(text) or _SECRET.search(text):
-        return []
-    found: dict[str, tuple] = {}
+def clauses_of(text: str) -> list[str]:
+    """Clauses between terminators; a comma ends one only before a cue of the speaker."""
+    return [c for c in (c.strip() for c in _COMMAS.sub("\n", _ENDS.sub("\n", text)).split("\n")) if c]
+
 
-    def add(kind: str, label: str, value: str, key: str | None, card: str, importance: float = 0.8, confidence: float = 0.9, intent: str = "") -> bool:
-        if not value or _UNSAFE.search(value) or _SECRET.search(value):
-            return False
-        content = f"{label}：{value}"
-        found[content.lower()] = (kind, content, key, card, importance, confidence, intent)
-        return True
+def is_ignored(text: str) -> bool:
+    """Whether a message tells no facts of its sender: a text to work on, others' words, fiction, a denial, or questions only."""
+    corrects = _RENAMED.search(text) or _MOVED.search(text)
+    return bool(_IGNORED_TEXT.search(text) or (not corrects and _IGNORED_UNLESS_CORRECTED.search(text)) or all(_ASKED.search(c) for c in clauses_of(text)))
 
+
+class Fact(NamedTuple):
+    kind: str
+    content: str
+    key: str | None
+    cardinality: str
+    importance: float = 0.8
+    confidence: float = 0.9
+    intent: str = ""
+    valid_from: int | None = None
+    valid_to: int | None = None
+
+
+def _corrections(text: str, now: int) -> Iterator[Fact]:
+    """What a correction tells: the new name; the place of before, until now, and that of now, from now on."""
     if m := _RENAMED.search(text):
-        add("identity", "用户姓名/名字", _clean(m[1]), "profile.name", "single", 0.9, 0.95, "correction")
+        yield Fact("identity", f"用户姓名/名字：{_clean(m[1])}", "profile.name", "single", 0.9, 0.95, "correction")
+    if m := _SETTLED.search(text):
+        yield Fact("identity", f"用户所在地：{_clean(m[1])}", "profile.location", "single", 0.9, 0.95, "correction")
     if m := _MOVED.search(text):
-        add("identity", "用户所在地", _clean(m[1]), "profile.location", "single", 0.8, 0.9, "historical")
-        add("identity", "用户所在地", _clean(m[2]), "profile.location", "single", 0.9, 0.95, "correction")
-    for clause in _CLAUSE_COMMA.sub("\n", _CLAUSE_END.sub("\n", text)).split("\n"):
-        clause = clause.strip()
-        if not clause or _HYPOTHETICAL.search(clause) or _QUESTION.search(clause):
-            continue
-        hit = False
-        for kind, label, key, card, pattern in _COMPILED:
-            if m := pattern.search(clause):
-                hit |= add(kind, label, _clean(m[1]), key, card)
-        if m := _WEEKLY.search(clause):
-            hit |= add("routine", "用户固定安排", f"每周{m[1]}{_clean(m[2])}" if _clean(m[2]) else "", "routine.weekly", "multiple")
-        if m := _WEEKEND.search(clause):
-            hit |= add("routine", "用户固定安排", f"{m[1]}{_clean(m[2])}" if _clean(m[2]) else "", "routine.weekend", "multiple")
-        if not hit and (m := _EXPLICIT.search(clause)):
-            add("explicit", "用户明确希望记住", _clean(m[1] or m[2]), None, "multiple", 0.95, 0.9)
-    return list(found.values())
-
-
-def extract(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """message, pos, kind, content, key, cardinality, importance, confidence, intent: one row for each fact found."""
+        yield Fact("identity", f"用户所在地：{_clean(m[1])}", "profile.location", "single", 0.8, 0.9, "historical", 1, now)
+        yield Fact("identity", f"用户所在地：{_clean(m[2])}", "profile.location", "single", 0.9, 0.95, "correction", now, None)
+
+
+def _told(clause: str) -> Iterator[Fact]:
+    """What the rules find in a clause; where none does, what it expressly asks to remember."""
+    hit = False
+    for kind, label, key, card, pattern, form in _COMPILED:
+        if m := pattern.search(clause):
+            groups = [_clean(g) for g in m.groups()]
+            if all(groups) and not _UNSAFE.search(groups[-1]):
+                hit = True
+                yield Fact(kind, f"{label}：{form.format(*groups)}", key, card)
+    if not hit and (m := _REMEMBER.search(clause)) and (asked := _clean(m[1] or m[2])):
+        yield Fact("explicit", f"用户明确希望记住：{asked}", None, "multiple", 0.95, 0.9)
+
+
+def facts_of(message: str | None, now: int = 0) -> list[Fact]:
+    """The facts that the rules find in a message; each content once, in the place of its first and with the values of its last."""
+    text = re.sub(r"\s*[\x00-\x09\x0b-\x1f\x7f]+\s*", " ", unicodedata.normalize("NFKC", message or "")).strip()[:100_000]
+    if not text or _UNSAFE.search(text) or _SECRET.search(text) or is_ignored(text):
+        return []
+    told = [*_corrections(text, now), *(f for c in clauses_of(text) if not _IGNORED_CLAUSE.search(c) for f in _told(c))]
+    return list({f.content.lower(): f for f in told if f.content.split("：", 1)[1] and not _UNSAFE.search(f.content) and not _SECRET.search(f.content)}.values())
+
+
+def extract(messages: DataFrame, id_col: str, text_col: str, now: int = 0) -> DataFrame:
+    """message, pos and the columns of Fact: one row for each fact found. ``now`` is the moment of the write."""
     kinds = {f.name: f.dataType.simpleString() for f in messages.schema}
-    columns = ["message", "pos", "kind", "content", "key", "cardinality", "importance", "confidence", "intent"]
+    columns = ["message", "pos", *Fact._fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, pos, *fact) for i, text in zip(batch[id_col], batch[text_col], strict=True) for pos, fact in enumerate(facts_of(text))]
-            yield pd.DataFrame(rows, columns=columns)
+            rows = [(i, pos, *fact) for i, text in zip(batch[id_col], batch[text_col], strict=True) for pos, fact in enumerate(facts_of(text, now))]
+            found = pd.DataFrame(rows, columns=columns)
+            yield found.astype({"valid_from": "Int64", "valid_to": "Int64"})
 
-    return messages.select(id_col, text_col).mapInPandas(run, f"message {kinds[id_col]}, pos int, kind string, content string, key string, cardinality string, importance double, confidence double, intent string")
+    schema = f"message {kinds[id_col]}, pos int, kind string, content string, key string, cardinality string, importance double, confidence double, intent string, valid_from long, valid_to long"
+    return messages.select(id_col, text_col).mapInPandas(run, schema)
 
 
 def confirmed_preference(turns: DataFrame, session: str, order: str, role: str, text: str) -> DataFrame:
@@ -192,13 +250,109 @@ def decide(extraction: Column, evidence_: Column, durability_: Column, flags: Co
     )
 
 
-def verify(facts: DataFrame) -> DataFrame:
-    """``facts`` of ``extract`` with durability, verification and action, against an empty store."""
-    lasting = durability(F.col("kind"), F.col("importance"), F.lit(False))
-    sure = F.lit(0.98)
-    empty = F.struct(
-        F.lit(None).cast("string").alias("exact_status"), F.lit(True).alias("exact_only"), F.lit(False).alias("key_value_same"), F.lit(False).alias("key_exists"),
-        (F.col("intent") == "historical").alias("historical"), F.lit(False).alias("refines"), (F.col("intent") == "correction").alias("correction"),
+#: Other names of predicates, and predicates that hold one value or a set.
+PREDICATE_ALIASES = {
+    "name": "profile.name", "user.name": "profile.name", "nickname": "profile.preferred_name", "location": "profile.location", "city": "profile.location",
+    "occupation": "profile.occupation", "job": "profile.occupation", "birthday": "profile.birthday", "allergy": "health.allergy", "project": "project.current", "pet": "relationship.pet_name",
+}
+SINGLE_PREDICATES = (
+    "profile.name", "profile.preferred_name", "profile.location", "profile.occupation", "profile.birthday", "profile.handedness", "profile.email", "profile.phone",
+    "relationship.partner_name", "project.current", "preference.response_style",
+)
+SET_PREDICATES = ("health.allergy", "health.condition", "preference.like", "preference.dislike")
+#: Wordings of polarity, modality and condition.
+NEGATIVE, POSITIVE = r"不喜欢|讨厌|不能吃|避免|过敏|\bdislike\b|\bhate\b", r"喜欢|偏爱|偏好|最爱|\bprefer\b|\blike\b"
+HYPOTHETICAL = r"^(?:如果|假如|假设|要是)|\b(?:if|suppose|assuming)\b"
+REPORTED = r"(?:他说|她说|朋友说|同事说)|\b(?:he|she|they) said\b"
+PLANNED = r"(?:计划|打算|目标|准备)|\b(?:plan|intend|goal)\b"
+CONDITION = r"(?:当|每当)([^，。！？,.!?]{1,80})(?:时|的时候)|([^，。！？,.!?]{1,80}时)(?:我)?"
+
+
+def normalized(facts: DataFrame) -> DataFrame:
+    """Adds predicate, normalized_value, polarity, modality, condition and set_cardinality to facts (kind, content, key, cardinality, source: the message).
+
+    A key or kind under another name gets its proper one; some predicates hold one value, or a set, whatever was said.
+    """
+    told = lambda c, pattern: F.coalesce(c.rlike("(?i)" + ascii_borders(pattern)), F.lit(False))
+    present = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    incoming = F.lower(F.coalesce(present(F.col("key")), present(F.col("kind")), F.lit("memory.fact")))
+    aliases = F.create_map(*[F.lit(x) for pair in PREDICATE_ALIASES.items() for x in pair])
+    source = F.coalesce("source", "content")
+    condition = F.coalesce(*[F.when(F.regexp_extract("source", CONDITION, k) != "", F.trim(F.regexp_extract("source", CONDITION, k))) for k in (1, 2)])
+    rows = facts.withColumn("predicate", F.coalesce(aliases[incoming], incoming))
+    return rows.withColumns(
+        {
+            "normalized_value": t.normalized_value(F.trim(F.regexp_replace("content", r"^[^:：]{1,80}[:：]\s*", "")), F.col("predicate")),
+            "polarity": F.when(told(F.col("content"), NEGATIVE), "negative").when(told(F.col("content"), POSITIVE), "positive").otherwise("unknown"),
+            "modality": F.when(told(source, HYPOTHETICAL), "hypothetical").when(told(source, REPORTED), "reported").when(told(F.col("content"), PLANNED), "planned").otherwise("asserted"),
+            "condition": condition,
+            "set_cardinality": F.when(F.col("predicate").isin(*SINGLE_PREDICATES), "single")
+            .when(F.col("predicate").isin(*SET_PREDICATES), "set")
+            .when(F.col("cardinality").isin("single", "set"), F.col("cardinality"))
+            .otherwise("multiple"),
+        }
+    )
+
+
+def matched(facts: DataFrame, stored: DataFrame) -> DataFrame:
+    """Adds ``matches`` for ``decide`` to facts (fact, scope, content, key, intent): what rows of the store (scope, content, key, status) they meet.
+
+    Contents meet in lower case, keys among active rows of the scope; both joins are by equality.
+    """
+    value = lambda c: F.lower(t.candidate_value(c))
+    exact = stored.groupBy("scope", F.lower("content").alias("same_")).agg(F.max_by("status", F.col("status") == "active").alias("exact_status"))
+    rows = facts.withColumn("same_", F.lower("content")).join(exact, ["scope", "same_"], "left")
+    old = stored.filter("status = 'active' and key is not null").select("scope", "key", F.col("content").alias("old_"))
+    keyed = facts.select("fact", "scope", "key", "content").join(old, ["scope", "key"])
+    a, b = value(F.col("content")), value(F.col("old_"))
+    other = F.lower("content") != F.lower("old_")
+    by_key = keyed.groupBy("fact").agg(F.bool_or(a == b).alias("same"), F.bool_or(t.refines(a, b)).alias("refines"), F.bool_or(other).alias("others"), F.count(F.lit(1)).alias("n"))
+    rows = rows.join(by_key, "fact", "left")
+    off = lambda c: F.coalesce(c, F.lit(False))
+    matches = F.struct(
+        F.col("exact_status"), (~off(F.col("others"))).alias("exact_only"), off(F.col("same")).alias("key_value_same"), off(F.col("n") > 0).alias("key_exists"),
+        off(F.col("intent") == "historical").alias("historical"), off(F.col("refines")).alias("refines"), off(F.col("intent") == "correction").alias("correction"),
     )
-    rows = facts.withColumns({"durability": F.round(lasting, 6), "verification": F.round(scoring.verification(F.col("confidence"), sure, lasting, F.lit(0)), 6), "m_": empty})
-    return rows.withColumn("action", decide(F.col("confidence"), sure, F.col("durability"), F.lit(0), F.col("key"), F.lit(True), F.col("m_"))).drop("m_")
+    return rows.select(*[F.col(c) for c in facts.columns], matches.alias("matches"))
+
+
+def verify(facts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``facts`` of ``extract`` with durability, verification and action, against the ``stored`` rows (scope, content, key, status).
+
+    With a store, facts have a scope. A fact whose action can't be told is put aside for review.
+    """
+    sure = F.lit(0.98)
+    lasting = durability(F.col("kind"), F.col("importance"), F.lit(False))
+    told = facts.withColumns({"durability": F.round(lasting, 6), "verification": F.round(scoring.verification(F.col("confidence"), sure, lasting, F.lit(0)), 6)})
+    if stored is None:
+        stored = facts.sparkSession.createDataFrame([], "scope string, content string, key string, status string")
+        told = told.withColumn("scope", F.lit(""))
+    rows = matched(told.withColumn("fact", F.concat_ws("#", F.col("message").cast("string"), F.col("pos").cast("string"))), stored)
+    action = decide(F.col("confidence"), sure, F.col("durability"), F.lit(0), F.col("key"), F.lit(True), F.col("matches"))
+    return rows.withColumn("action", F.coalesce(action, F.lit("QUARANTINE"))).select(*facts.columns, "durability", "verification", "action")
+
+
+def segments(text: Column, limit: int = 1800) -> Column:
+    """A long message in parts of at most ``limit`` characters (256 to 6000), cut at the ends of sentences; a longer sentence is cut hard."""
+    limit = max(256, min(6000, limit))
+
+    def pack(value: str | None) -> list[str]:
+        value = re.sub(r"\s*[\x00-\x09\x0b-\x1f\x7f]+\s*", " ", unicodedata.normalize("NFKC", (value or "")[:100_000])).strip()
+        if len(value) <= limit:
+            return [value] if value else []
+        sentences = [s.strip() for s in re.split(r"(?<=[。！？!?;；\n])", value)]
+        out: list[str] = []
+        for piece in (s[k : k + limit] for s in sentences for k in range(0, len(s), limit)):
+            if out and len(out[-1]) + 1 + len(piece) <= limit:
+                out[-1] += " " + piece
+            else:
+                out.append(piece)
+        return out
+
+    return F.pandas_udf(lambda texts: texts.map(pack), "array<string>")(text)
+
+
+def captured(messages: DataFrame, id_col: str, text_col: str, sources_col: str, limit: int = 1800) -> DataFrame:
+    """id, capture (an id that a repeated run makes again), segment, segments, text: one row for each part of a message."""
+    laid = messages.select(id_col, t.stable_id(F.concat_ws("\x00", F.col(sources_col)), t.squeezed_lines(F.substring(F.col(text_col), 1, 100_000))).alias("capture"), segments(F.col(text_col), limit).alias("parts"))
+    return laid.select(id_col, "capture", F.posexplode("parts").alias("segment", "text"), F.size("parts").alias("segments"))

@@ -23,7 +23,73 @@ def test_remember_folds_in_order(spark):
     assert (got["1"].status, got["1"].stop, got["1"].confidence) == ("superseded", 30, 0.95)
     assert (got["3"].status, got["3"].supersedes, got["4"].status) == ("active", "1", "conflicted")
     again = store.remember(spark.createDataFrame([("u", "a", 9, "9", "city", "identity", "city: Rome", 0.9, "single", 90)], ROW), store.remember(spark.createDataFrame(rows, ROW)))
-    assert {r.id: r.status for r in again.collect()}["9"] == "active"
+    # An equal content is the same memory whatever its state: the old row is active again, and ends what had ended it.
+    back = {r.id: (r.status, r.start, r.supersedes) for r in again.collect()}
+    assert "9" not in back and back["1"] == ("active", 90, "3") and back["3"][0] == "superseded"
+
+
+FULL = ROW + ", stop long, at long, action string, matched string, sources array<string>"
+
+
+def written(spark, rows, **k):
+    return {r.id: r for r in store.remember(spark.createDataFrame([("u", "a", *r) for r in rows], FULL), **k).collect()}
+
+
+def test_opposites_are_not_merged(spark):
+    got = written(spark, [(1, "1", None, "preference", "用户喜好/偏好：香菜", 0.9, "multiple", None, None, 1, None, None, ["m1"]), (2, "2", None, "preference", "用户不喜欢：香菜", 0.9, "multiple", None, None, 2, None, None, ["m2"]), (3, "3", None, "preference", "用户偏爱：香菜", 0.95, "multiple", None, None, 3, None, None, ["m1", "m3"])])
+    assert set(got) == {"1", "2"} and got["1"].confidence == 0.95 and got["1"].sources == ["m1", "m3"] and got["1"].updated == 3
+
+
+def test_one_key_needs_nearly_equal_texts(spark):
+    rows = [(1, "1", "goal.current", "goal", "goal: run a marathon in spring", 0.9, "multiple", None, None, 1, None, None, None), (2, "2", "goal.current", "goal", "goal: run a marathon in autumn", 0.9, "multiple", None, None, 2, None, None, None)]
+    assert set(written(spark, rows)) == {"1", "2"}
+    assert set(written(spark, [(*r[:2], None, *r[3:]) for r in rows])) == {"1"}
+
+
+def test_what_is_over_conflicts_with_nothing(spark):
+    rows = [(1, "1", "city", "identity", "city: Rome", 0.9, "single", 10, None, 10, None, None, None), (2, "2", "city", "identity", "city: Oslo", 0.9, "single", 1, 5, 20, None, None, None)]
+    got = written(spark, rows)
+    assert (got["1"].status, got["2"].status, got["2"].stop) == ("active", "superseded", 5)
+
+
+def test_refinement_and_told_replacement(spark):
+    rows = [
+        (1, "1", "city", "identity", "city: Rome", 0.9, "single", 10, None, 10, None, None, None),
+        (2, "2", "city", "identity", "city: Rome Trastevere", 0.9, "single", 20, None, 20, "REFINE", "1", None),
+        (3, "3", "city", "identity", "city: Oslo", 0.99, "single", 30, None, 30, "ADD", None, None),
+        (4, "4", "city", "identity", "city: Paris", 0.1, "single", 40, None, 40, "SUPERSEDE", None, None),
+    ]
+    got = written(spark, rows)
+    assert (got["1"].content, got["1"].status, got["1"].stop) == ("city: Rome Trastevere", "superseded", 40)
+    assert (got["3"].status, got["4"].status, got["4"].supersedes) == ("conflicted", "active", "1")
+
+
+def test_capacity_keeps_active_and_new_rows(spark):
+    rows = [(i, str(i), "k", "identity", f"k: v{i} word{i}", 0.9, "single", i, None, i, None, None, None) for i in range(1, 7)]
+    got = written(spark, rows, capacity=3)
+    assert {i: r.status for i, r in got.items()} == {"4": "superseded", "5": "superseded", "6": "active"}
+
+
+def test_near_duplicates_by_rare_tokens_equal_those_by_all_rows(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, str(i), None, rng.choice(["a", "b"]), "said: " + " ".join(rng.sample("red green blue white black pink grey".split(), rng.randrange(1, 4))), 0.9, "multiple", None, None, i, None, None, None) for i in range(60)]
+    left = []
+    for r in rows:  # every token is as rare as another to a row's own posting, so the three rarest of at most four words meet all that say the same
+        new = store._Row(r[0], dict(kind=r[3], key=None, content=r[4], status="active"))
+        if not any(new.same == old.same or new.says_the_same(old) for old in left):
+            left.append(new)
+    assert {str(r.place) for r in left} == set(written(spark, rows))
+
+
+def test_feedback_prefers_what_has_passed(spark):
+    rows = [("q", "a", "M1", "lives in rome", "", "you should be told oslo", "superseded"), ("q", "b", "M2", "lives in oslo", "[m2]", "you should be told oslo", "active")]
+    df = spark.createDataFrame(rows, "query string, id string, citation string, content string, answer string, reply string, status string")
+    got = store.feedback_outcomes(df.withColumn("kind", store.reply_kind(F.col("reply"))))
+    assert {r.id: r.outcome for r in got.collect()} == {"a": "ignored", "b": "adopted"}
+    clear = df.withColumn("reply", F.lit("that is wrong, rome")).withColumn("kind", store.reply_kind(F.col("reply")))
+    assert {r.id: r.outcome for r in store.feedback_outcomes(clear).collect()} == {"a": "denied", "b": "adopted"}
 
 
 def test_supersede_sets(spark):
