@@ -6,6 +6,7 @@ Functions named ``*_tokens`` return arrays in the order of the text. They expect
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -165,6 +166,36 @@ def stable_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", *parts).cast("binary"), 256)
 
 
+def clean_value(text: Column) -> Column:
+    """Outer quotes dropped, white space squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^[“”\"'‘’]+|[“”\"'‘’]+$", ""), r"[\s 　]+", " "))
+
+
+def fact_key(text: Column) -> Column:
+    """What two wordings of a fact are compared by: no white space, no punctuation, lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, r"[\s 　]+", ""), "[，。！？,.!?]", ""))
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json(text: pd.Series) -> pd.Series:
+    """A JSON value with the keys of all objects in order and no white space."""
+    return text.map(lambda v: None if v is None else json.dumps(json.loads(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def timestamp_ms(value: Column) -> Column:
+    """Epoch milliseconds of a positive number or an ISO time; null for anything else."""
+    number = value.try_cast("bigint")
+    return F.when(number.isNotNull(), F.when(number > 0, number)).otherwise(F.unix_millis(value.try_cast("timestamp")))
+
+
+def is_subset(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b)) <= 0
+
+
+def same_set(a: Column, b: Column) -> Column:
+    return is_subset(a, b) & is_subset(b, a)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 1 if both are empty."""
     shared, total = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

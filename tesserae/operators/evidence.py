@@ -203,3 +203,102 @@ def merged_candidates(candidates: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("content", "kind", "confidence"), "seq")
     rows = candidates.groupBy("message", F.lower("content").alias("same_")).agg(last.alias("c"), F.min("seq").alias("seq"), F.array_join(F.array_sort(F.collect_set("channel")), "+").alias("channel"))
     return rows.select("message", "seq", "c.*", "channel")
+
+
+def capped_union(rows: DataFrame, others: DataFrame, group: str, order: str, most: int = 8) -> DataFrame:
+    """Rows of both, the first ``most`` of each group, with their place."""
+    w = Window.partitionBy(group).orderBy(order)
+    return rows.unionByName(others).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
+#: Operations of a version by the status it leads to.
+STATUS_OPERATIONS = (("conflicted", "CONFLICT"), ("suppressed", "SUPPRESS"), ("deleted", "DELETE"))
+
+
+def version_labels(versions: DataFrame) -> DataFrame:
+    """Adds operation to versions (fact, version, content, status, supersedes, links: array): what led to each; the first is ADD."""
+    w = Window.partitionBy("fact").orderBy("version")
+    before = lambda c: F.lag(c).over(w)
+    label = F.when(before("status").isNull(), "ADD").when((before("status") == "deleted") & (F.col("status") != "deleted"), "RESTORE")
+    for status, name in STATUS_OPERATIONS:
+        label = label.when(F.col("status") == status, name)
+    label = label.when(F.col("supersedes").isNotNull() | (F.col("status") == "superseded"), "SUPERSEDE").when(before("content") != F.col("content"), "REFINE")
+    return versions.withColumn("operation", label.when(F.array_sort(before("links")) != F.array_sort("links"), "MERGE_EVIDENCE").otherwise("NOOP"))
+
+
+def changed_states(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """Ids whose version state (the columns, arrays in order) isn't the same in both, or that only the new one has."""
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    return new.select("id", digest.alias("n_")).join(old.select("id", digest.alias("o_")), "id", "left").filter(~F.col("n_").eqNullSafe(F.col("o_"))).select("id")
+
+
+def merged_metadata(current: Column, incoming: Column) -> Column:
+    """Two maps; a key of both takes the incoming value."""
+    return F.map_concat(F.map_filter(current, lambda k, _: ~F.array_contains(F.map_keys(incoming), k)), incoming)
+
+
+def calibration_examples(candidates: DataFrame) -> DataFrame:
+    """raw_score, correct, cohort of reviewed candidates (status, score, kind): approved ones were right, rejected ones wrong."""
+    return candidates.filter(F.col("status").isin("approved", "rejected")).select("id", F.col("score").alias("raw_score"), (F.col("status") == "approved").alias("correct"), F.coalesce("kind", F.lit("other")).alias("cohort"))
+
+
+def first_evidence(candidates: DataFrame, episodes: DataFrame) -> DataFrame:
+    """id and the first of its evidence_ids that names an episode with content (null without one)."""
+    laid = candidates.select("id", F.posexplode_outer("evidence_ids").alias("pos", "episode"))
+    usable = episodes.filter("state = 'available' and content is not null").select(F.col("id").alias("episode"), F.lit(True).alias("ok_"))
+    return laid.join(usable, "episode", "left").groupBy("id").agg(F.min(F.when(F.col("ok_"), F.struct("pos", "episode")))["episode"].alias("episode"))
+
+
+def own_evidence(links: DataFrame, fact: str) -> DataFrame:
+    """Episodes of a fact's active links that no other fact has an active link to: what may go with the fact."""
+    active = links.filter("active").select("fact", "episode").distinct()
+    others = active.filter(F.col("fact") != fact).select("episode")
+    return active.filter(F.col("fact") == fact).select("episode").join(others, "episode", "left_anti")
+
+
+def audited(diffs: DataFrame, source: DataFrame, mirror: DataFrame, key: str) -> DataFrame:
+    """One row: source, mirrored and tombstone rows, exact ones (no difference), and consistency."""
+    bad = diffs.select(key).distinct()
+    counts = source.agg(F.count(F.lit(1)).alias("source")).join(mirror.agg(F.sum(F.when(F.col("status") != "deleted", 1).otherwise(0)).alias("mirrored"), F.sum(F.when(F.col("status") == "deleted", 1).otherwise(0)).alias("tombstones")))
+    exact = source.join(bad, key, "left_anti").agg(F.count(F.lit(1)).alias("exact"))
+    return counts.join(exact).withColumn("consistency", F.round(F.col("exact") / F.greatest(F.lit(1), F.col("source")), 6))  # one row each
+
+
+def shadow_applied(facts: DataFrame, operations: DataFrame, now: int) -> DataFrame:
+    """Facts (id, content, status, revision, updated_at) after operations (seq, op, id, content, status, revision), the last of each id.
+
+    record sets content and status if its revision is newer, and never what was purged; delete leaves a
+    tombstone without content; purge leaves nothing but the id; unlink and capture change no fact here.
+    """
+    last = operations.filter(F.col("op").isin("record", "delete", "purge")).groupBy("id").agg(F.max_by(F.struct("op", "content", "status", "revision"), F.struct(F.col("op") == "purge", "seq")).alias("n"))
+    both = facts.join(last, "id", "full_outer")
+    purged = F.col("status").eqNullSafe(F.lit("purged")) | F.col("n.op").eqNullSafe(F.lit("purge"))
+    newer = (F.col("n.op") == "record") & (F.col("revision").isNull() | (F.col("n.revision") > F.col("revision")))
+    kept = lambda c: F.when(purged, F.lit(None)).when(F.col("n.op") == "delete", F.lit(None)).when(newer, F.col(f"n.{c}")).otherwise(F.col(c))
+    status = F.when(purged, "purged").when(F.col("n.op") == "delete", "deleted").when(newer, F.col("n.status")).otherwise(F.col("status"))
+    touched = F.col("n").isNotNull() & (newer | F.col("n.op").isin("delete", "purge"))
+    return both.select("id", kept("content").alias("content"), status.alias("status"), F.when(newer & ~purged, F.col("n.revision")).otherwise(F.col("revision")).alias("revision"), F.when(touched, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+def once_each(operations: DataFrame, key: str = "idempotency_key", seq: str = "seq") -> DataFrame:
+    """The first operation of each idempotency key."""
+    w = Window.partitionBy(key).orderBy(seq)
+    return operations.withColumn("nth_", F.row_number().over(w)).filter("nth_ = 1").drop("nth_")
+
+
+def collected(rows: DataFrame, group: str, column: str) -> DataFrame:
+    """group and the sorted distinct values of an array column in it, joined by commas (warnings, versions in use)."""
+    return rows.select(group, F.explode_outer(column).alias("v_")).groupBy(group).agg(F.array_join(F.array_sort(F.collect_set("v_")), ",").alias("found"))
+
+
+def conflict_groups(chosen: DataFrame, memories: DataFrame) -> DataFrame:
+    """(query, key, ids): chosen rows of one key and scope that say different things, and so must be shown as a conflict."""
+    own = chosen.select("query", "id").join(memories.filter("key is not null").select("id", "owner", "agent", "key", F.lower("content").alias("c_")), "id")
+    groups = own.groupBy("query", "owner", "agent", "key").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.countDistinct("c_").alias("n_"))
+    return groups.filter("n_ > 1").select("query", "key", "ids")
+
+
+def fragments(memories: DataFrame, scored: DataFrame) -> DataFrame:
+    """What leaves the engine of chosen memories: no vector and no scope, with the score."""
+    hidden = {"embedding", "vector", "owner", "agent", "session"}
+    return memories.select(*[c for c in memories.columns if c not in hidden]).join(scored.select("id", "score"), "id")

@@ -116,3 +116,11 @@ def sensitivity(text: Column) -> Column:
 
 def share_policy(text: Column) -> Column:
     return F.when(_any(text, PRIVATE), "local-only").otherwise("allow-remote")
+
+
+#: Wordings that ask to keep an image.
+IMAGE_MEMORY = r"(?:请|帮我)?(?:记住|保存|记下).{0,16}(?:图片|图像|截图|照片)|(?:图片|图像|截图|照片).{0,16}(?:记住|保存|记下)|\b(?:remember|save).{0,20}(?:image|picture|screenshot|photo)\b"
+
+
+def asks_for_image_memory(text: Column) -> Column:
+    return F.coalesce(_any(text, (IMAGE_MEMORY,)), F.lit(False))

@@ -211,23 +211,43 @@ def confirmed_preference(turns: DataFrame, session: str, order: str, role: str,
     return turns.withColumn("asked_", before).filter(F.col(role) == "user").filter(yes).withColumn("value", F.trim(asked)).filter("value <> ''").select(session, order, F.concat(F.lit("用户喜好/偏好："), "value").alias("content"))
 
 
-#: How lasting facts of a kind are; facts of other kinds count 0.7.
-DURABILITY = {"identity": 1.0, "health": 0.95, "relationship": 0.95, "preference": 0.85, "explicit": 0.9, "goal": 0.75, "project": 0.75, "routine": 0.8, "contact": 0.95}
+#: How lasting facts of a kind are; facts of other kinds count as "other".
+DURABILITY = {
+    "explicit": 1.0, "identity": 0.95, "relationship": 0.92, "health": 0.92, "routine": 0.9, "preference": 0.82, "goal": 0.78, "project": 0.72, "contact": 0.85, "image": 0.65, "other": 0.55,
+}
+#: Wordings of a passing state, which projects and goals may have; and values that name nothing.
+PASSING = r"(?:刚才|临时|暂时|这(?:两|几|\d+)(?:秒|分钟|小时))|(?:今天的天气|刚才的(?:回答|回复)|这次的(?:回答|回复|结果))|\b(?:just now|temporarily|for the next few (?:minutes|hours))\b"
+VAGUE = r"^(?:这个|那个|它|这里|那里|这样|那样|某个|东西|事情|this|that|it|something)$"
 HIGH_RISK = r"^(?:profile\.(?:phone|email|vehicle_plate)|health\..*|contact\..*)$"
 
 
-def durability(kind: Column, importance: Column, transient: Column) -> Column:
-    lasting = F.lit(0.7)
+def durability(kind: Column, importance: Column, transient: Column, expires: Column | None = None, now: Column | None = None) -> Column:
+    """How lasting a fact is; a passing state costs 0.45, an end within a day 0.35 and within a week 0.2."""
+    lasting = F.lit(DURABILITY["other"])
     for name, value in DURABILITY.items():
         lasting = F.when(kind == name, value).otherwise(lasting)
-    return scoring.clamp(importance * 0.55 + lasting * 0.45 - F.when(transient, 0.45).otherwise(0.0))
+    soon = F.lit(0.0) if expires is None else F.when(expires - now <= scoring.DAY_MS, 0.35).when(expires - now <= 7 * scoring.DAY_MS, 0.2).otherwise(0.0)
+    return scoring.clamp(importance * 0.55 + lasting * 0.45 - F.when(transient, 0.45).otherwise(0.0) - soon)
+
+
+def is_passing(kind: Column, source: Column) -> Column:
+    return F.coalesce(source.rlike("(?i)" + ascii_borders(PASSING)) & ~kind.isin("project", "goal"), F.lit(False))
+
+
+def ambiguity(content: Column, key: Column, cardinality: Column) -> Column:
+    """How many things about a fact are unclear: a value that names nothing, and a single value without a key."""
+    value = F.trim(t.candidate_value(content))
+    vague = F.coalesce((value == "") | value.rlike("(?i)" + VAGUE), F.lit(True))
+    return vague.cast("int") + F.coalesce((cardinality == "single") & (F.coalesce(F.trim(key), F.lit("")) == ""), F.lit(False)).cast("int")
 
 
 def evidence(channel: Column, content: Column, source: Column) -> Column:
     """How well the source supports the content: sure for rules, less for what only shares words with it."""
-    inside = F.contains(t.comparable(source), t.comparable(t.candidate_value(content)))
-    shared = t.overlap(t.semantic_tokens(content), t.semantic_tokens(source))
-    return F.when(channel == "image", 0.95).when(channel == "context-confirmation", 0.92).when(channel == "rules", 0.98).when(inside, 1.0).otherwise(F.least(F.lit(0.85), F.lit(0.15) + shared * 0.7))
+    value, told = t.comparable(t.candidate_value(content)), t.comparable(source)
+    asked = t.semantic_tokens(value)
+    shared = F.size(F.array_intersect(asked, t.semantic_tokens(told))) / F.greatest(F.lit(1), F.size(asked))
+    words = F.when((F.coalesce(value, F.lit("")) == "") | (F.coalesce(told, F.lit("")) == ""), 0.0).when(F.contains(told, value), 1.0).when(F.size(asked) == 0, 0.0).otherwise(F.round(F.least(F.lit(0.85), F.lit(0.15) + shared * 0.7), 4))
+    return F.when(channel == "image", 0.95).when(channel == "context-confirmation", 0.92).when(channel.isin("rules", "rules+model"), 0.98).otherwise(words)
 
 
 def decide(extraction: Column, evidence_: Column, durability_: Column, flags: Column, key: Column, asserted: Column, matches: Column) -> Column:

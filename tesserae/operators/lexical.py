@@ -29,11 +29,12 @@ def document_frequency(posting: DataFrame) -> DataFrame:
     return posting.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def search(posting: DataFrame, queries: DataFrame, stats: DataFrame, limit: int, per_shard: bool = True) -> DataFrame:
+def search(posting: DataFrame, queries: DataFrame, stats: DataFrame, limit: int, per_shard: bool = True, allowed: DataFrame | None = None, min_score: float = 0.0) -> DataFrame:
     """query, shard, doc, score (0 to 1), rank: the best documents for each query (query, terms as a distinct array).
 
     Postings are first cut to the terms that are asked for; each posting's weight then depends on its
-    term alone and is summed for each (query, document). Ties go by doc.
+    term alone and is summed for each (query, document). Ties go by doc. ``allowed`` (doc) and ``min_score``
+    narrow what is returned; the statistics stay those of all.
     """
     asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
     hit = settled(posting.join(asked.select("term").distinct(), "term", "left_semi"))  # also gives df
@@ -44,6 +45,9 @@ def search(posting: DataFrame, queries: DataFrame, stats: DataFrame, limit: int,
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
     rated = hit.join(terms, ["shard", "term"]).select("shard", "doc", "term", weight.alias("w"))
     scored = rated.join(asked, "term").groupBy("query", "shard", "doc").agg(F.sum("w").alias("raw")).withColumn("score", F.round(1 - F.exp(-F.col("raw")), 6))
+    if allowed is not None:
+        scored = scored.join(allowed.select("doc").distinct(), "doc", "left_semi")
+    scored = scored.filter(F.col("score") >= min_score)
     keys = ["query", "shard"] if per_shard else ["query"]
     order = Window.partitionBy(*keys).orderBy(F.round(F.col("raw"), 6).desc(), F.col("doc"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query", "shard", "doc", "score", "rank")

@@ -97,3 +97,26 @@ def blocked_near_duplicates(rows: DataFrame, threshold: float = 0.5, block_token
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = classes.select(F.col("id").alias("a"), F.col("tokens").alias("t_a")), classes.select(F.col("id").alias("b"), F.col("tokens").alias("t_b"))
     return pairs.join(left, "a").join(right, "b").withColumn("similarity", F.round(t.jaccard(F.col("t_a"), F.col("t_b")), 6)).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
+def tier_counts(tiers: DataFrame) -> DataFrame:
+    """One row from ``assign_tiers``: facts of each tier, archive candidates and protected ones."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return tiers.agg(*[n(F.col("tier") == x).alias(x) for x in ("hot", "warm", "cold", "quarantine")], n(F.col("archive")).alias("archive"), n(F.col("protected")).alias("protected"))
+
+
+def anchors(members: DataFrame) -> DataFrame:
+    """bucket, anchor: 'key=value | value' of each key's distinct values, from (bucket, key, predicate, content)."""
+    named = members.withColumn("key_", F.coalesce(F.when(F.col("key") != "", F.col("key")), F.col("predicate")))
+    values = named.groupBy("bucket", "key_").agg(F.array_sort(F.collect_set("content")).alias("v_"))
+    return values.select("bucket", F.concat_ws("=", "key_", F.array_join("v_", " | ")).alias("anchor"))
+
+
+def summaries(buckets: DataFrame, lines: DataFrame) -> DataFrame:
+    """bucket, summary: how many facts and episodes a bucket (bucket, kind, n_facts, n_episodes, first, last: epoch ms) covers and its anchors in order."""
+    day = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    span = F.coalesce(F.concat(day("first"), F.lit(" ~ "), day("last")), F.lit("无记录时间"))
+    label = F.concat(F.when(F.col("kind") == "session", "会话 ").otherwise("日期 "), F.col("bucket"))
+    head = F.concat(F.lit("["), label, F.lit("] 覆盖 "), F.col("n_facts").cast("string"), F.lit(" 条事实、"), F.col("n_episodes").cast("string"), F.lit(" 条证据（"), span, F.lit("）。"))
+    held = lines.groupBy("bucket").agg(F.array_sort(F.collect_list("anchor")).alias("a_"))
+    return buckets.join(held, "bucket", "left").select("bucket", F.concat_ws("\n", head, F.array_join("a_", "\n")).alias("summary"))

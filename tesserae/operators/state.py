@@ -121,3 +121,30 @@ def unlink_sources(rows: DataFrame, removed: Column) -> DataFrame:
     left = F.array_except("source_ids", removed)
     lost = (F.size("source_ids") > 0) & (F.size(left) == 0) & (F.col("status") == "active") & (F.col("origin") != "manual")
     return rows.withColumns({"status": F.when(lost, "orphaned").otherwise(F.col("status")), "source_ids": left})
+
+
+def close_superseded(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """Fills valid_to of superseded rows of single-valued keys (key, cardinality, status, start, created_at, updated_at): where the
+    next row of the key starts, at least one unit after its own start; the last one ends when it was updated."""
+    chained = F.col("key").isNotNull() & (F.col("cardinality") == "single")
+    following = F.lead("start").over(Window.partitionBy(*scope, "key", chained).orderBy("start", "created_at", "id"))
+    end = F.greatest(F.coalesce(following, F.col("updated_at")), F.col("start") + F.lit(1))
+    return rows.withColumn("valid_to", F.coalesce(F.col("valid_to"), F.when(chained & (F.col("status") == "superseded"), end)))
+
+
+def removed(rows: DataFrame, ids: DataFrame | None = None, scope: Column | None = None) -> DataFrame:
+    """Rows without those that are forgotten or purged (ids) or whose scope is cleared; nothing of them is left."""
+    left = rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_anti")
+    return left if scope is None else left.filter(~scope)
+
+
+def newest(rows: DataFrame, order: str, limit: int, ties: str = "id") -> DataFrame:
+    """The newest rows, 1 to 1000 of them."""
+    return rows.orderBy(F.col(order).desc(), ties).limit(max(1, min(1000, limit)))
+
+
+def conflicting(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """(incoming, stored) ids of active rows of the same scope (owner, agent, session) and key whose content differs."""
+    n = incoming.select(F.col("id").alias("incoming"), "owner", "agent", F.col("session").alias("s_"), "key", F.lower("content").alias("c_"))
+    old = stored.filter("status = 'active'").select(F.col("id").alias("stored"), "owner", "agent", F.col("session").alias("t_"), "key", F.lower("content").alias("d_"))
+    return n.join(old, ["owner", "agent", "key"]).filter(F.col("s_").eqNullSafe(F.col("t_")) & (F.col("c_") != F.col("d_"))).select("incoming", "stored")

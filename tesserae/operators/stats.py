@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import text
 from tesserae.operators import prefix
 
 
@@ -120,3 +121,55 @@ def isotonic_blocks(rows: DataFrame, cohort: str, score: str, label: str, weight
 def nearest_rank(values: str, q: float) -> Column:
     """The smallest value that a share q of the rows doesn't exceed."""
     return F.expr(f"percentile_disc({q}) within group (order by {values})")
+
+
+def nearest_block(rows: DataFrame, blocks: DataFrame, cohort: str, score: str) -> DataFrame:
+    """Adds the columns of each row's block (low, high, p of its cohort): the first whose high isn't below the score, else the last.
+
+    Blocks and rows are merged in order of score once per cohort, from the top down, so no row meets every block.
+    """
+    payload = [c for c in blocks.columns if c != cohort]
+    b = blocks.select(cohort, F.col("high").alias("at_"), F.lit(0).alias("is_row_"), F.struct(*payload).alias("b_"), F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("r_"))
+    r = rows.select(cohort, F.col(score).alias("at_"), F.lit(1).alias("is_row_"), F.lit(None).cast(b.schema["b_"].dataType).alias("b_"), F.struct("*").alias("r_"))
+    down = Window.partitionBy(cohort).orderBy(F.col("at_").desc(), "is_row_").rowsBetween(Window.unboundedPreceding, 0)
+    top = blocks.groupBy(cohort).agg(F.max_by(F.struct(*payload), "high").alias("top_"))
+    merged = b.unionByName(r).withColumn("b_", F.last("b_", ignorenulls=True).over(down)).filter("is_row_ = 1").join(top, cohort, "left")
+    return merged.withColumn("b_", F.coalesce("b_", "top_")).select("r_.*", *[F.col(f"b_.{c}").alias(c) for c in payload])
+
+
+def matched_one_to_one(expected: DataFrame, actual: DataFrame, case: str = "case_id") -> DataFrame:
+    """Expected and actual facts of a case paired one to one by ``functions.text.fact_key``: full outer, in order of position.
+
+    expected: case, pos, content, outcome, action (null: any); actual: case, pos, content, outcome, action.
+    """
+    nth = F.row_number().over(Window.partitionBy(case, "key_").orderBy("pos"))
+    laid = lambda df, tag: df.withColumn("key_", text.fact_key(F.col("content"))).withColumn("nth_", nth).select(case, "key_", "nth_", F.struct("outcome", "action").alias(tag))
+    return laid(expected, "e").join(laid(actual, "a"), [case, "key_", "nth_"], "full_outer")
+
+
+def write_metrics(pairs: DataFrame) -> DataFrame:
+    """One row from ``matched_one_to_one``: tp, fp, fn, precision, recall, f1, outcome and operation accuracy, unsupported active rate; an empty share is 1, an empty rate 0."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    both = F.col("e").isNotNull() & F.col("a").isNotNull()
+    active = F.col("a.outcome") == "active"
+    sums = pairs.agg(
+        n(both).alias("tp"), n(F.col("e").isNull()).alias("fp"), n(F.col("a").isNull()).alias("fn"), n(both & (F.col("e.outcome") == F.col("a.outcome"))).alias("outcome_ok"),
+        n(both & F.col("e.action").isNotNull()).alias("asked"), n(both & (F.col("e.action") == F.col("a.action"))).alias("action_ok"), n(active).alias("active"),
+        n(active & (F.col("e").isNull() | (F.col("e.outcome") != "active"))).alias("unsupported"),
+    )
+    share = lambda a, b, empty=1.0: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(empty)
+    sums = sums.withColumns({"predicted": F.col("tp") + F.col("fp"), "expected": F.col("tp") + F.col("fn")})
+    sums = sums.withColumns({"precision": share("tp", "predicted"), "recall": share("tp", "expected"), "outcome_accuracy": share("outcome_ok", "tp"), "operation_accuracy": share("action_ok", "asked"), "unsupported_rate": share("unsupported", "active", 0.0)})
+    f1 = F.when(F.col("precision") + F.col("recall") > 0, F.round(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 6)).otherwise(1.0)
+    return sums.select("tp", "fp", "fn", "precision", "recall", f1.alias("f1"), "outcome_accuracy", "operation_accuracy", "unsupported_rate")
+
+
+def balanced_accuracy(counts: DataFrame) -> DataFrame:
+    """Adds balanced_accuracy to the counts of ``confusion``: the mean of recall and specificity."""
+    return counts.withColumn("balanced_accuracy", F.round((F.col("recall") + F.col("specificity")) / 2, 6))
+
+
+def incomplete(cases: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
+    """key and problem (missing: a case without a label; extra: a label without a case); a complete pack has none."""
+    both = cases.select(key, F.lit(1).alias("c_")).join(labels.select(key, F.lit(1).alias("l_")), key, "full_outer")
+    return both.select(key, F.when(F.col("l_").isNull(), "missing").when(F.col("c_").isNull(), "extra").alias("problem")).filter("problem is not null")

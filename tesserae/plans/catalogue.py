@@ -670,8 +670,9 @@ def isotonic_calibration(spark, sf_dir):
 
 @query()
 def extracted_facts(spark, sf_dir):
-    """Facts that the rules find in every user turn, with the verifier's action."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return ingest.verify(ingest.extract(turns, "id", "text"))
-
-
+    """Facts that the rules find in every user turn and in what each customer would say of themselves, with the verifier's action."""
+    turns = spread(table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text"))
+    said = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("My name is "), F.col("c_name"), F.lit(". I work as a "), F.lower("c_mktsegment"), F.lit(" buyer. I live in place "), F.col("c_nationkey").cast("string")).alias("text")
+    )
+    return ingest.verify(ingest.extract(turns.unionByName(said), "id", "text", NOW_MS))

@@ -63,3 +63,57 @@ def needs_compaction(changes: DataFrame, size: int) -> bool:
 def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON snapshot of rows; a malformed row fails the read instead of being dropped."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def recovered(lines: DataFrame, seq: str = "seq", line: str = "line", schema: str = "seq long, op string, id string, v long") -> DataFrame:
+    """The entries of a journal of JSON lines: a last line that was cut off is dropped; any other bad line, or a gap, is an error.
+
+    Nothing is written, so this is also the read-only view.
+    """
+    rows = lines.withColumn("entry_", F.from_json(line, schema, {"mode": "PERMISSIVE"}))
+    good = F.col("entry_").isNotNull() & F.col(f"entry_.{seq}").eqNullSafe(F.col(seq))
+    marked = rows.select(seq, "entry_", good.alias("good_"))
+    first_bad, last = marked.agg(F.min(F.when(~F.col("good_"), F.col(seq))), F.max(seq)).first()
+    n = marked.count()
+    if first_bad is not None and first_bad != last:
+        raise ValueError(f"the journal breaks at entry {first_bad}")
+    if n and last != n:
+        raise ValueError(f"the journal has {n} entries and ends with number {last}")
+    return marked.filter("good_").select("entry_.*")
+
+
+def publish(spark: SparkSession, path: str, rows: DataFrame, violations: DataFrame) -> int | None:
+    """Writes a version of a table and, if no violation (n > 0) is found, makes it the one that ``published`` reads; its number, or None.
+
+    The version is written whole before one small row points to it, so readers see the old one or the new one.
+    """
+    if violations.filter("n > 0").limit(1).count():
+        return None
+    known = _pointers(spark, path)
+    number = 1 if known is None else known.agg(F.max("version")).first()[0] + 1
+    rows.write.mode("overwrite").parquet(f"{path}/version={number}")
+    spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/_pointers.parquet")
+    return number
+
+
+def _pointers(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{path}/_pointers.parquet")
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the latest version that was made public."""
+    known = _pointers(spark, path)
+    if known is None:
+        raise ValueError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/version={known.agg(F.max('version')).first()[0]}")
+
+
+def backup(spark: SparkSession, source: str, target: str, purged: DataFrame | None = None, key: str = "id") -> None:
+    """A copy of a table, without purged rows where some are named: what is purged must not live on in backups."""
+    rows = spark.read.parquet(source)
+    (rows if purged is None else rows.join(purged.select(key).distinct(), key, "left_anti")).write.mode("overwrite").parquet(target)
