@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; its working arrays take about 60 times as much.
 SLICE_BYTES = 1 << 20
@@ -18,11 +19,13 @@ SLICE_BYTES = 1 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset (as in tests on one machine) an own one is made.
+    Where ``spark.checkpoint.dir`` is unset an own one is made on a local master, as in tests; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if configured is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tesserae-"))
     return sc.getCheckpointDir()
 
@@ -51,6 +54,59 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of a filter of hashes: 2 MB at any size of the input.
+FILTER_BITS = 24
+
+
+def unused(columns: list[str], stem: str) -> str:
+    """A name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def filter_table(df: DataFrame, place: Column):
+    """A broadcast table with the bits of ``place`` (0 to 2^FILTER_BITS - 1) of all rows set."""
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    slots = df.select(place.alias("place")).selectExpr("shiftright(place, 6) as slot", "shiftleft(1L, cast(place & 63 as int)) as bit")
+    for row in slots.groupBy("slot").agg(F.bit_or("bit").alias("mask")).collect():  # at most 2^(FILTER_BITS - 6) rows
+        table[row.slot] = row.mask
+    return df.sparkSession.sparkContext.broadcast(table)
+
+
+def in_filter(place: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which places (uint64) have their bit set."""
+    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def top_bits(value: Column) -> Column:
+    return F.shiftrightunsigned(value, 64 - FILTER_BITS)
+
+
+def parted(df: DataFrame, hashed: Column, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be wanted, all other rows) of ``df`` by a 64-bit hash, against those in ``wanted``'s ``column``.
+
+    Rows pass a filter of fixed size as they are read, so only the first part has to meet ``wanted`` in a
+    join; where few are wanted the other part, which is nearly all, is never shuffled.
+    """
+    name = unused(df.columns, "hash")
+    marked = df.withColumn(name, hashed)
+    shipped = filter_table(wanted, top_bits(F.col(column)))
+
+    def side(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shipped.value.view(np.uint64)
+            for batch in batches:
+                mine = in_filter(batch.column(name).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS), table) == hit
+                if mine.any():
+                    yield batch.filter(pa.array(mine))
+
+        return marked.mapInArrow(run, marked.schema).drop(name)
+
+    return side(True), side(False)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary Arrow column as (bytes, offsets); a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -134,8 +190,8 @@ class RollingHash:
 PRIME = (1 << 61) - 1
 _P, _61, _32, _31, _30, _29 = (np.uint64(v) for v in (PRIME, 61, 32, 31, 30, 29))
 _LOW32, _LOW31, _LOW30, _LOW29 = (np.uint64((1 << k) - 1) for k in (32, 31, 30, 29))
-#: Bytes whose terms are summed before they are reduced; their sums stay below 2^63.
-_BLOCK = 1 << 20
+#: Bytes whose terms are summed before they are reduced: their arrays stay in a core's cache, and their sums below 2^63.
+_BLOCK = 1 << 15
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:

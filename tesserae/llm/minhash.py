@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import checkpointed, lowered, mix, slices, text_bytes, word_hashes, words_of, written
+from tesserae.llm.common import checkpointed, filter_table, in_filter, lowered, mix, slices, text_bytes, top_bits, word_hashes, words_of, written
 from tesserae.llm.components import components
 
 COORDINATES = 96
@@ -40,8 +40,6 @@ BAND = 4
 LEAST = 0.76
 #: Members of a bucket that are compared in one step with those outside its largest component.
 BLOCK = 512
-#: Bits of the filter of ids in the second scan: 2 MB at any size of the input.
-FILTER_BITS = 24
 
 _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
@@ -219,14 +217,9 @@ def _across(full: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFra
 
 def _members(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(id, members): the full sets of the documents named by ``ids``, made anew from the texts."""
-    spark = docs.sparkSession
     needed = ids.select("id").distinct()
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    slots = needed.withColumn("place", place).selectExpr("shiftright(place, 6) as slot", "shiftleft(1L, cast(place & 63 as int)) as bit")
-    for row in slots.groupBy("slot").agg(F.bit_or("bit").alias("mask")).collect():  # at most 2^18 rows
-        table[row.slot] = row.mask
-    shipped = spark.sparkContext.broadcast(table)
+    place = top_bits(F.xxhash64("id"))
+    shipped = filter_table(needed, place)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("members", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +227,7 @@ def _members(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
         def wanted() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.column("place").to_numpy()
-                hit = (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                hit = in_filter(batch.column("place").to_numpy().view(np.uint64), table)
                 if hit.any():
                     yield batch.filter(pa.array(hit))
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import odd_rows, words
@@ -48,3 +49,33 @@ def test_stages(spark, corpus):
 def test_run(spark, corpus):
     got = corpus_pipeline.run(spark, corpus[0])
     assert got.count() > 100 and "ids" in got.columns
+
+
+def test_columns_of_any_name_pass_unchanged(spark, corpus):
+    where, _ = corpus
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    names = ["t1", "t2", "hash", "toxicity", "Toxicity_", "pii", "pii_", "place", "kept", "id", "score", "component_id", "sig", "key"]
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    wide = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, where), name)
+        assert docs.columns == wide.columns
+    plain = {r.doc_id for r in corpus_pipeline.run(spark, where).select("doc_id").collect()}
+    rows = docs.collect()
+    assert {r.doc_id for r in rows} == plain and rows
+    assert all(r[n] == f"{n} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+
+
+def test_stages_on_no_rows(spark, corpus):
+    where, _ = corpus
+    docs = spark.read.parquet(f"{where}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, where)
+        assert docs.count() == 0
+
+
+def test_repeated_ids_stay_once(spark, corpus, docs_of):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "seven eight nine ten eleven"), (2, "other words of the same id here"), (None, "a b c"), (None, "a b c"), (3, "one two three four five six")]
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), corpus[0]).collect() if r.doc_id is not None)
+    assert got == [1, 2] and corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), corpus[0]).filter("doc_id is null").count() == 2
