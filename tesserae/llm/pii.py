@@ -1,7 +1,7 @@
 """Personal data: fixed rules, and a semi-Markov conditional random field that adds what they miss.
 
 The rules (email, ip, card, phone) find leftmost non-overlapping spans of each kind. The field looks
-at the surroundings of digits and at-signs only. It scores whole candidate spans of up to MAX_TOKENS
+at the surroundings of digits and at-signs only, as far as a candidate can reach from them. It scores whole candidate spans of up to MAX_TOKENS
 tokens by features of the span (digits, groups, check sum, edges, what stands before it), and a
 dynamic program over the tokens chooses boundaries and kinds together; tokens between spans count
 nothing. Its weights maximise the conditional likelihood of a corpus that this module generates,
@@ -27,8 +27,6 @@ from tesserae.llm.common import slices
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest span that the field considers; brackets and spaces are tokens too, and a generated address has up to 21.
 MAX_TOKENS = 32
-#: Characters around a digit or at-sign that the field looks at.
-REACH = 48
 #: Log odds by which the best reading must beat the reading without a span for the span to be added.
 MARGIN = 2.0
 
@@ -276,20 +274,33 @@ def trained_weights(sentences: int = 400, rounds: int = 12, seed: int = 7) -> np
     return weights
 
 
+def _reach(text: str, at: int, step: int) -> int:
+    """The place MAX_TOKENS tokens before (step -1) or after (1) ``at``: no candidate that touches ``at`` goes beyond."""
+    edge = lambda i: i - 1 if step < 0 else i  # noqa: E731  the character next to place i
+    kind = lambda c: 1 if c.isascii() and c.isalpha() else 2 if c.isascii() and c.isdigit() else 0
+    inside = lambda i: 0 <= edge(i) < len(text)
+    for _ in range(MAX_TOKENS):
+        if not inside(at):
+            break
+        first = kind(text[edge(at)])
+        at += step
+        while first and inside(at) and kind(text[edge(at)]) == first:
+            at += step
+    return at
+
+
 def field_spans(text: str, weights: np.ndarray, margin: float = MARGIN) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the best reading, region by region; spans that add less than ``margin`` are left out."""
     found: list[tuple[int, int, int]] = []
     regions: list[list[int]] = []
     marks = [(m.start(), m.end()) for m in _TRIGGER.finditer(text)] + [(m.start(), m.end()) for m in re.finditer(r"(?i)[\[(] ?at ?[\])]| at \w+ dot ", text)]
     for a, b in sorted(marks):
-        a, b = max(0, a - REACH), min(len(text), b + REACH)
+        a, b = _reach(text, a, -1), _reach(text, b, 1)
         if regions and a <= regions[-1][1]:
             regions[-1][1] = max(b, regions[-1][1])
         else:
             regions.append([a, b])
     for low, high in regions:
-        while low > 0 and text[low].isascii() and text[low].isalnum() and text[low - 1].isascii() and text[low - 1].isalnum() and low > high - 4 * REACH:
-            low -= 1
         places, spans, rows = candidates(text, low, high)
         if not spans:
             continue
