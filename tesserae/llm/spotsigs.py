@@ -38,20 +38,33 @@ def _trie(words: list[str]) -> str:
     return pattern + "?" if tails and "" in words else pattern
 
 
+#: Between a content word and the common words before it, after both, and what stands for the end of a text.
+_WITHIN, _AFTER, _END = "\u0001", "\u0002", "\u0003"
+
+
 def signatures(text: Column, anchors: dict[str, str] = ANCHORS) -> Column:
-    """The sorted distinct signature hashes (int) of a text; null and wordless texts have none."""
+    """The sorted distinct signature hashes (long) of a text; null and wordless texts have none.
+
+    The words are cut into units of one content word with the run of common words before it. All common
+    words of a run start the same chain, that of the unit's content word and the next ones, so each run is
+    read once, however long it is. The ends are marked by content words of their own, which no chain takes.
+    """
     anchor = _trie(sorted({w for words in anchors.values() for w in words.split()}))
-    content = rf"(?:{anchor} )*+([^ ]++) "
-    pattern = rf"({anchor}) (?={content * CHAIN})|[^ ]*+ "
-    chain = "$1:" + ":".join(f"${k + 2}" for k in range(CHAIN)) + " "
+    pattern = rf"((?:{anchor} )*+)([^ ]++) "
 
     def of_words(words: Column) -> Column:
-        found = F.split(F.regexp_replace(words, pattern, chain), " ")
-        return _bound(F.array_remove(F.array_distinct(F.transform(found, lambda s: F.hash(s))), _hash_of(":" * CHAIN)), lambda hashed: of_hashes(words, hashed))
+        marked = F.regexp_replace(F.concat(words, F.lit(f"{_END} " * CHAIN)), pattern, f"$2{_WITHIN}$1{_AFTER}")
+        return _bound(F.split(marked, _AFTER), lambda units: _bound(F.transform(units, lambda u: F.substring_index(u, _WITHIN, 1)), lambda content: of_units(words, units, content)))
 
-    def of_hashes(words: Column, hashed: Column) -> Column:
-        proper = F.array_remove(hashed, _hash_of(""))
-        return F.when(words == " ", F.array().cast("array<int>")).when(F.size(hashed) <= 1, F.array(F.hash(words))).otherwise(F.array_sort(proper))
+    def of_units(words: Column, units: Column, content: Column) -> Column:
+        last = F.size(units) - 1 - 2 * CHAIN  # the last unit that CHAIN content words begin with
+
+        def chains(unit: Column, i: Column) -> Column:
+            run = F.substring_index(unit, _WITHIN, -1)
+            chain = [F.get(content, i + k) for k in range(CHAIN)]
+            return F.when((i <= last) & (run != ""), F.transform(F.array_distinct(F.split(F.rtrim(run), " ")), lambda a: F.xxhash64(a, *chain))).otherwise(F.array().cast("array<bigint>"))
+
+        return _bound(F.array_sort(F.array_distinct(F.flatten(F.transform(units, chains)))), lambda sigs: F.when(words == " ", F.array().cast("array<bigint>")).when(F.size(sigs) == 0, F.array(F.xxhash64(words))).otherwise(sigs))
 
     return _bound(F.concat(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?:[^\p{L}\p{N} ]| (?=[^\p{L}\p{N}]))[^\p{L}\p{N}]*+", " ")), F.lit(" ")), of_words)
 
@@ -61,17 +74,13 @@ def _bound(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _hash_of(text: str) -> Column:
-    return F.hash(F.lit(text))
-
-
 def spelled(sigs: Column) -> Column:
     """A fingerprint as a string: its hashes joined by commas."""
     return F.array_join(sigs.cast("array<string>"), ",")
 
 
 def name(sigs: Column) -> Column:
-    """A digest that names a fingerprint: equal for equal sets only."""
+    """A digest that names a fingerprint: equal sets have equal names, and different ones different names but for a collision of 64-bit hashes."""
     return F.sha2(spelled(sigs).cast("binary"), 256)
 
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tesserae.llm import spotsigs
 from tests.llm.conftest import odd_rows
 
@@ -69,3 +71,18 @@ def test_near_duplicates_against_brute_force(spark, docs_of):
 def test_only_dataframe_functions(spark, docs_of):
     plan = spotsigs.edited_fingerprints(docs_of([(1, "a"), (2, "b")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_runs_of_common_words_take_linear_time(spark):
+    import time
+
+    rows = [(1, "the of " * 100_000), (2, "the " * 200_000 + "cat sat"), (3, "cat " + "of the " * 50_000 + "dog " + "and " * 50_000 + "bird")]
+    began = time.time()
+    got = {r.id: r.s for r in spark.createDataFrame(rows, "id int, text string").select("id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    assert time.time() - began < 20
+    assert len(got[1]) == 1 and len(got[2]) == 1 and len(got[3]) == 2
+
+
+def test_many_texts_have_many_fingerprints(spark):
+    texts = spark.range(400_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    assert texts.select(spotsigs.name(spotsigs.signatures(F.col("text"))).alias("n")).distinct().count() == 400_000
