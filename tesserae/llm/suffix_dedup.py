@@ -32,15 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import RollingHash, SpanHash, checkpointed, mix, slices, text_bytes, words_of, written
+from tesserae.llm.common import FILTER_BITS, RollingHash, SpanHash, checkpointed, filter_table, in_filter, mix, slices, text_bytes, top_bits, words_of, written
 
 LENGTH = 400
-#: Bits of the filters that narrow the later scans: 2 MB each at any size of the input.
-FILTER_BITS = 24
 #: Strings of an opened run that are ranked together before they are ranked one by one.
 BIN = 32
 _PLACE = np.uint64((1 << 28) - 1)
@@ -115,23 +113,6 @@ def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return spaced, place[start], place[stop - 1] + 1, first
 
 
-def _bits(place: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _filter_table(df: DataFrame, place: Column):
-    """A broadcast table with the bits of ``place`` (0 to 2^FILTER_BITS - 1) of all rows set."""
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    slots = df.select(place.alias("place")).selectExpr("shiftright(place, 6) as slot", "shiftleft(1L, cast(place & 63 as int)) as bit")
-    for row in slots.groupBy("slot").agg(F.bit_or("bit").alias("mask")).collect():  # at most 2^(FILTER_BITS - 6) rows
-        table[row.slot] = row.mask
-    return df.sparkSession.sparkContext.broadcast(table)
-
-
-def _top(value: Column) -> Column:
-    return F.shiftrightunsigned(value, 64 - FILTER_BITS)
-
-
 def _longs(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType()) for n in names])
 
@@ -161,7 +142,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
 
     keys = texts.select("text").mapInArrow(ranked, _longs("key"))
     repeated = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shipped = _filter_table(repeated, _top(F.col("key")))
+    shipped = filter_table(repeated, top_bits(F.col("key")))
     fields = _longs("key", "f1", "f2", "t1", "t2", "low", "high")
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +151,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
             data, offsets = text_bytes(part.column("text"))
             runs = Runs(data, offsets, length)
             keys = runs.keys()
-            keep = np.flatnonzero(_bits(keys >> np.uint64(64 - FILTER_BITS), table))
+            keep = np.flatnonzero(in_filter(keys >> np.uint64(64 - FILTER_BITS), table))
             if not len(keep):
                 continue
             low, high, row = runs.low[keep], runs.high[keep], runs.row[keep]
@@ -188,7 +169,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("key")
     opened = checkpointed(classes.join(several, "key", "left_semi").select("r.t1", "r.low", "f1", (F.col("n") == 1).alias("single")))
     place = F.shiftrightunsigned(F.col("t1").bitwiseXOR(F.shiftleft(F.col("low"), 64 - FILTER_BITS)), 64 - FILTER_BITS)
-    shipped_runs = _filter_table(opened, place)
+    shipped_runs = filter_table(opened, place)
     context_type = T.StructType([*_longs("f1", "t1", "t2", "low", "anchor", "size").fields, T.StructField("context", T.BinaryType())])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +180,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", length: int = LENGTH)
             runs = Runs(data, offsets, length)
             low = (runs.low - offsets[runs.row]).astype(np.uint64)
             t1, t2 = (part.column(c).to_numpy() for c in ("t1", "t2"))
-            keep = np.flatnonzero(_bits((t1[runs.row].view(np.uint64) ^ (low << shift)) >> shift, table)) if len(low) else low.astype(np.int64)
+            keep = np.flatnonzero(in_filter((t1[runs.row].view(np.uint64) ^ (low << shift)) >> shift, table)) if len(low) else low.astype(np.int64)
             if not len(keep):
                 continue
             begin, last, row = runs.low[keep], runs.high[keep], runs.row[keep]
@@ -296,7 +277,7 @@ def sharing_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield _record([runs_of(part).keys()], _longs("key"))
 
     keys = texts.select("text").mapInArrow(ranked, _longs("key"))
-    shipped = _filter_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), _top(F.col("key")))
+    shipped = filter_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), top_bits(F.col("key")))
     fields = _longs("key", "f1", "f2", "id")
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +285,7 @@ def sharing_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for part in slices(batches, "text"):
             runs = runs_of(part)
             keys = runs.keys()
-            keep = np.flatnonzero(_bits(keys >> np.uint64(64 - FILTER_BITS), table))
+            keep = np.flatnonzero(in_filter(keys >> np.uint64(64 - FILTER_BITS), table))
             if not len(keep):
                 continue
             low, end, row = runs.low[keep], runs.high[keep] + words, runs.row[keep]
@@ -317,18 +298,26 @@ def sharing_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = checkpointed(runs.join(classes.filter("a <> b").select("f1", "f2"), ["f1", "f2"], "left_semi").select("id").distinct())
     alone = classes.filter("a = b").join(whole.select(F.col("id").alias("a")), "a", "left_anti").select("key").distinct()
     opened = classes.join(alone, "key", "left_semi").groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("key")
-    opened = checkpointed(classes.join(opened, "key", "left_semi").select("f1"))
-    shipped_runs = _filter_table(opened, _top(F.col("f1")))
+    # Of each class one document's run is opened: of those that are found already, one stands for all.
+    opened = checkpointed(classes.join(opened, "key", "left_semi").select("f1", F.xxhash64("a").alias("place")))
+    shipped_runs, shipped_ids = filter_table(opened, top_bits(F.col("f1"))), filter_table(opened, top_bits(F.col("place")))
     string_fields = _longs("x", "y", "id")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shipped_runs.value.view(np.uint64)
-        for part in slices(batches, "text"):
+        table, ids = shipped_runs.value.view(np.uint64), shipped_ids.value.view(np.uint64)
+
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = in_filter(batch.column("place").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS), ids)
+                if hit.any():
+                    yield batch.filter(pa.array(hit))
+
+        for part in slices(wanted(), "text"):
             runs = runs_of(part)
             if not len(runs.low):
                 continue
             f1 = mix(runs.spans(runs.first, runs.low, runs.high + words) + (runs.anchor - runs.low).astype(np.uint64))
-            keep = np.flatnonzero(_bits(f1 >> np.uint64(64 - FILTER_BITS), table))
+            keep = np.flatnonzero(in_filter(f1 >> np.uint64(64 - FILTER_BITS), table))
             if not len(keep):
                 continue
             n = runs.high[keep] - runs.low[keep] + 1
@@ -337,7 +326,7 @@ def sharing_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield _record([x, y, part.column("id").to_numpy()[np.repeat(runs.row[keep], n)]], string_fields)
 
     # Runs that only the filter let through are runs of the texts too and do no harm.
-    laid = written(texts.mapInArrow(strings, string_fields), "word-strings")
+    laid = written(texts.withColumn("place", F.xxhash64("id")).mapInArrow(strings, string_fields), "word-strings")
     twice = laid.groupBy("x", "y").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("x", "y")
     return whole.unionByName(laid.join(twice, ["x", "y"], "left_semi").select("id")).distinct()
 
@@ -361,21 +350,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = checkpointed(repeated_spans(df, text_col, length).groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("spans")))  # bounded by the text
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = df.select(F.col(f"`{id_col}`").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-    shipped = _filter_table(spans, _top(F.col("t1")))
+    shipped = filter_table(spans, top_bits(F.col("t1")))
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *_longs("n_bytes", "n_removed", "n_spans").fields, T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if keep_bytes else [])])
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped.value.view(np.uint64)
         for batch in batches:
-            hit = _bits(batch.column("t1").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS), table)
+            hit = in_filter(batch.column("t1").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS), table)
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped.value.view(np.uint64)
         for batch in batches:
-            hit = _bits(batch.column("t1").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS), table)
+            hit = in_filter(batch.column("t1").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS), table)
             if not hit.all():
                 rest = batch.filter(pa.array(~hit))
                 yield from cut(iter([rest.append_column("spans", pa.nulls(rest.num_rows))]))
