@@ -34,6 +34,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (scale == 0) | scale.isNull(), 0.0).otherwise(dot(a, b) / scale)
 
 
+def unit(a: Column) -> Column:
+    """The vector at length one; a zero vector stays."""
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))[0]
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Cosine within [0, 1]."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b)))

@@ -14,11 +14,13 @@ from tesserae.functions import scoring, vector
 from tesserae.functions import text as t
 from tesserae.operators import filters, lexical, ranking
 from tesserae.plans import planner
-from tesserae.session import settled
+from tesserae.session import settled, spread
 
 #: Least lexical and semantic scores (hashed embeddings, other models), least final score, and the bounds of seeds and neighbours.
 MIN_LEXICAL, MIN_SEMANTIC, MIN_SEMANTIC_OTHER, SURE_SEMANTIC, MIN_SCORE = 0.08, 0.2, 0.32, 0.34, 0.12
 SEEDS, NEIGHBOURS, POSTING_LIMIT = 12, 60, 500
+#: Parts that the rows of a scope are dealt to before they meet its queries.
+SALTS = 32
 
 
 def plan(queries: DataFrame, now: int) -> DataFrame:
@@ -26,10 +28,13 @@ def plan(queries: DataFrame, now: int) -> DataFrame:
     return planner.plan_queries(queries, "text", now).filter("intent <> 'external'")
 
 
-def candidates(memories: DataFrame, plans: DataFrame, now: int, share_policies: list[str] | None = None, sensitivities: list[str] | None = None) -> DataFrame:
-    """(query, memory columns, plan columns) of rows in the query's scope that its time and the policy allow."""
+def candidates(memories: DataFrame, plans: DataFrame, now: int, share_policies: list[str] | None = None, sensitivities: list[str] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(query, memory columns, plan columns, those of ``also`` from the plans) of rows in the query's scope that its time and the policy allow.
+
+    A scope's rows are dealt to SALTS parts, each of which meets the scope's queries, so a large scope is no single task.
+    """
     m = memories.filter(F.col("status").isin("active", "superseded")).filter(filters.recall_allowed(share_policies, sensitivities))
-    p = plans.select("query", "text", "owner", "agent", "intent", "mode", F.col("as_of").alias("p_as_of"), F.col("valid_from").alias("p_from"), F.col("valid_to").alias("p_to"), F.col("concepts").alias("asked"), "routes", "rank_window", "candidate_budget")
+    p = plans.select("query", "text", "owner", "agent", "intent", "mode", F.col("as_of").alias("p_as_of"), F.col("valid_from").alias("p_from"), F.col("valid_to").alias("p_to"), F.col("concepts").alias("asked"), "routes", "rank_window", "candidate_budget", *also)
     at = F.coalesce("p_as_of", F.lit(now))
     valid = filters.valid_at(at, F.col("valid_from"), F.col("valid_to"))
     fits = (
@@ -38,12 +43,14 @@ def candidates(memories: DataFrame, plans: DataFrame, now: int, share_policies:
         .when(F.col("p_as_of").isNotNull(), valid)
         .otherwise(True)
     )
-    return m.join(p, ["owner", "agent"]).filter(fits)
+    dealt, met = m.withColumn("salt_", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), p.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(met, ["owner", "agent", "salt_"]).filter(fits).drop("salt_")
 
 
 def lexical_scores(memories: DataFrame, plans: DataFrame, allowed: DataFrame) -> DataFrame:
     """(query, id, lexical): the best BM25 score over a query and its clauses; statistics are those of the scope's rows that its mode searches."""
     docs = memories.filter(F.col("status").isin("active", "superseded")).select("id", "status", F.concat_ws("\x00", "owner", "agent").alias("owner"), t.bm25_tokens(F.col("content")).alias("tokens"))
+    docs = settled(docs)  # both modes take postings and statistics of it
     asked = plans.select("query", F.concat_ws("\x00", "owner", "agent").alias("shard"), "mode", "rank_window", F.posexplode(F.concat(F.array("text"), "sub_queries")).alias("part", "clause"))
     asked = asked.withColumn("ask", F.concat_ws("#", F.col("query").cast("string"), F.col("part").cast("string")))
     found = []
@@ -78,30 +85,40 @@ def episode_neighbours(memories: DataFrame, plans: DataFrame, scored: DataFrame,
 
 def features(memories: DataFrame, plans: DataFrame, now: int, local_model: bool = True, **policy) -> DataFrame:
     """One row for each (query, allowed memory) with its scores and relevance flags."""
-    if "embedding" not in memories.columns:
-        memories = memories.withColumn("embedding", vector.local_embedding(F.col("content")))
-    rows = candidates(memories, plans, now, **policy)
+    # Scopes that no query asks are left out before anything is made of them.
+    memories = memories.join(plans.select("owner", "agent").distinct(), ["owner", "agent"], "left_semi")
+    memories = spread(memories)
+    # Vectors of length one, as the hashed ones are made.
+    memories = memories.withColumn("embedding", vector.unit(F.col("embedding")) if "embedding" in memories.columns else vector.local_embedding(F.col("content")))
+    # What depends on the memory alone is made once for each, before it meets the queries of its scope.
+    known = memories.withColumns(
+        {
+            "held": t.concepts(F.col("content")),
+            "own_tokens": t.strong_tokens(F.col("content")),
+            "importance": scoring.clamp(F.col("importance")),
+            "confidence": scoring.clamp(F.col("confidence")),
+            "recency": scoring.recency(F.col("kind"), F.col("updated_at"), F.lit(now)),
+            "frequency": scoring.frequency(F.col("access_count")),
+        }
+    )
+    asked = plans.withColumns({"asked_embedding": vector.local_embedding(F.col("text")), "asked_tokens": t.strong_tokens(F.col("text"))})
+    rows = candidates(settled(known), settled(asked), now, also=("asked_embedding", "asked_tokens", "broad"), **policy)
+    # Vectors meet here and go no further.
+    near_by = F.when(F.size("asked_embedding") == F.size("embedding"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), vector.dot(F.col("asked_embedding"), F.col("embedding"))))).otherwise(0.0)
+    rows = settled(rows.withColumns({"semantic": near_by, "overlap": F.arrays_overlap("own_tokens", "asked_tokens")}).drop("embedding", "asked_embedding", "own_tokens", "asked_tokens"))
     allowed = rows.select("query", "id")
     scored = settled(lexical_scores(memories, plans, allowed))  # also seeds of the episode route
     posted = posting_hits(memories, plans, allowed)
     near = episode_neighbours(memories, plans, scored, posted, allowed)
     flagged = lambda df, name: df.withColumn(name, F.lit(True))
-    asked = plans.select("query", vector.local_embedding(F.col("text")).alias("asked_embedding"), t.strong_tokens(F.col("text")).alias("asked_tokens"), "broad")
-    rows = rows.join(asked, "query").join(scored, ["query", "id"], "left").join(flagged(posted, "posted"), ["query", "id"], "left").join(flagged(near, "near"), ["query", "id"], "left")
+    rows = rows.join(scored, ["query", "id"], "left").join(flagged(posted, "posted"), ["query", "id"], "left").join(flagged(near, "near"), ["query", "id"], "left")
     off = lambda c: F.coalesce(F.col(c), F.lit(False))
     rows = rows.withColumns(
         {
-            "semantic": vector.similarity(F.col("asked_embedding"), F.col("embedding")),
             "lexical": F.coalesce("lexical", F.lit(0.0)),
             "posted": off("posted"),
             "near": off("near"),
-            "importance": scoring.clamp(F.col("importance")),
-            "confidence": scoring.clamp(F.col("confidence")),
-            "recency": scoring.recency(F.col("kind"), F.col("updated_at"), F.lit(now)),
-            "frequency": scoring.frequency(F.col("access_count")),
             "temporal": F.when(F.col("mode") == "historical", scoring.temporal_alignment("historical", F.col("status"))).when(F.col("mode") == "current", scoring.temporal_alignment("current", F.col("status"))).otherwise(0.7),
-            "held": t.concepts(F.col("content")),
-            "overlap": F.size(F.array_intersect(t.strong_tokens(F.col("content")), F.col("asked_tokens"))) > 0,
         }
     )
     has = (F.size("asked") > 0) if local_model else F.lit(False)
