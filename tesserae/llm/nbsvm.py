@@ -186,19 +186,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, id
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(own, pa.binary())], names=schema.names)
 
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
-    found = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast("long").alias("id"), "y", "text").mapInArrow(run, schema)  # at most sample_rows rows
-    once: dict[int, tuple[int, bytes]] = {}
-    for row in found.collect():  # at most sample_rows rows of at most 2^BITS places
-        own = bytes(row.places)
-        if row.id not in once or own < once[row.id][1]:
-            once[row.id] = (row.y, own)
-    kept = [once[i] for i in sorted(once)]
+    found = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast("long").alias("id"), "y", "text").mapInArrow(run, schema)  # at most sample_rows ids
+    # Of several texts under one id the one of the least places counts, so no more rows reach the driver than ids were chosen.
+    once = found.groupBy("id").agg(F.max("y").alias("y"), F.min("places").alias("places")).collect()  # at most sample_rows rows of at most 2^BITS places
+    kept = [(row.y, bytes(row.places)) for row in sorted(once, key=lambda row: row.id)]
     return fit([np.frombuffer(p, np.int32) for _, p in kept], np.array([y for y, _ in kept]), features, cost)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
-    """id, ``keep`` and ``out`` (0 to 1) of every row; null and empty texts score as a text without n-grams."""
-    names = list(dict.fromkeys([id_col, *keep]))
+    """id, ``keep`` and ``out`` (0 to 1) of every row; null and empty texts score as a text without n-grams.
+
+    A column named ``out`` is replaced. Repeated rows score alike; an empty table gives no rows.
+    """
+    names = [c for c in dict.fromkeys([id_col, *keep]) if c != out]
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out, T.DoubleType())])
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights
 
