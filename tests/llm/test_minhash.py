@@ -86,3 +86,18 @@ def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (102, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
+
+
+def test_ids_of_several_texts_have_one_result(spark, docs_of):
+    texts = [" ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1])]
+    results = {tuple(sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs_of(rows[k:] + rows[:k]), shingle=2).collect())) for k in range(3)}
+    assert len(results) == 1
+
+
+def test_columns_of_any_name(spark, docs_of):
+    rows = [(i, f"one two three four {i // 2}") for i in range(6)]
+    wide = docs_of(rows)
+    for name in ("id", "sig", "key", "place", "bands", "component", "kept", "hash"):
+        wide = wide.withColumn(name, wide["doc_id"] * 0)
+    assert result(wide, shingle=2) == result(docs_of(rows), shingle=2)
