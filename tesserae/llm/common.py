@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; its working arrays take about 60 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -87,24 +87,18 @@ def top_bits(value: Column) -> Column:
 def parted(df: DataFrame, hashed: Column, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(rows that may be wanted, all other rows) of ``df`` by a 64-bit hash, against those in ``wanted``'s ``column``.
 
-    Rows pass a filter of fixed size as they are read, so only the first part has to meet ``wanted`` in a
-    join; where few are wanted the other part, which is nearly all, is never shuffled.
+    Rows meet a broadcast filter of fixed size as they are read, by DataFrame functions alone, so only the
+    first part has to meet ``wanted`` in a join; where few are wanted the other part, which is nearly all,
+    is never shuffled.
     """
-    name = unused(df.columns, "hash")
-    marked = df.withColumn(name, hashed)
-    shipped = filter_table(wanted, top_bits(F.col(column)))
-
-    def side(hit: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shipped.value.view(np.uint64)
-            for batch in batches:
-                mine = in_filter(batch.column(name).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS), table) == hit
-                if mine.any():
-                    yield batch.filter(pa.array(mine))
-
-        return marked.mapInArrow(run, marked.schema).drop(name)
-
-    return side(True), side(False)
+    slot, mask, hit = (unused(df.columns, name) for name in ("slot", "mask", "hit"))
+    place = top_bits(F.col(column))
+    bits = wanted.select(place.alias("place")).selectExpr("shiftright(place, 6) as slot", "shiftleft(1L, cast(place & 63 as int)) as bit")
+    bits = checkpointed(bits.groupBy("slot").agg(F.bit_or("bit").alias("mask")))  # at most 2^(FILTER_BITS - 6) rows
+    own = top_bits(hashed)
+    marked = df.withColumn(slot, F.shiftright(own, 6)).join(F.broadcast(bits.select(F.col("slot").alias(slot), F.col("mask").alias(mask))), slot, "left")
+    marked = marked.withColumn(hit, F.coalesce(F.call_function("shiftright", F.col(mask), own.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
+    return tuple(marked.filter(F.col(hit) if side else ~F.col(hit)).select(*df.columns) for side in (True, False))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
