@@ -101,6 +101,18 @@ def parted(df: DataFrame, hashed: Column, wanted: DataFrame, column: str) -> tup
     return tuple(marked.filter(F.col(hit) if side else ~F.col(hit)).select(*df.columns) for side in (True, False))
 
 
+#: Rows of one Arrow batch between the JVM and Python. Documents are long rows: ten thousand, the usual number, are 20 MB
+#: and more, held several times on either side.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows in this session, unless it has been given a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary Arrow column as (bytes, offsets); a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

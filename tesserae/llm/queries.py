@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bpe, decontaminate, licenses, minhash, pii, quality, sharding, spotsigs, suffix_dedup, toxicity
+from tesserae.llm.common import short_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
