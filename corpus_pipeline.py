@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bpe, decontaminate, minhash, pii, toxicity
-from tesserae.llm.common import parted, unused, written
+from tesserae.llm.common import parted, short_batches, unused, written
 from tesserae.llm.queries import tokenizer_path
 
 
@@ -20,6 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay, repeated rows are judged alike, and a text of any length is scored whole.
     An empty table gives no rows. Columns beyond those of documents pass unchanged, whatever their names.
     """
+    short_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = unused(docs.columns, "toxicity")
     scored = toxicity.score(docs, model, keep=tuple(docs.columns), out=out)
@@ -33,6 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     no rows. Columns beyond those of documents pass unchanged. Only texts of documents that go, or whose id
     repeats, are shuffled.
     """
+    short_batches(spark)
     groups = minhash.near_duplicates(docs, shingle=5, percent=80).select(F.col("doc_id").alias("id"), "kept").filter("id is not null")
     looked = written(groups.groupBy("id").agg(F.bool_or(~F.col("kept")).alias("goes"), F.count(F.lit(1)).alias("n")).filter("goes or n > 1"), "near-duplicates").select("id", "goes", F.xxhash64("id").alias("hash"))
     touched, others = parted(docs, F.xxhash64("doc_id"), looked, "hash")
@@ -47,6 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null, empty and wordless texts stay; equal texts go or stay together. An empty table, or an empty
     benchmark, drops nothing. Columns beyond those of documents pass unchanged. Only texts that may go are shuffled.
     """
+    short_batches(spark)
     counts, spans = decontaminate.shared_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = written(decontaminate.contaminated(counts, spans).filter("contaminated").select("t1", "t2").distinct(), "contaminated")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -63,6 +66,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null texts stay null and keep their n_chars. Repeated rows are masked alike, texts of any length whole.
     An empty table gives no rows. Columns beyond those of documents pass unchanged.
     """
+    short_batches(spark)
     found = pii.find(docs, mask=True, out=unused(docs.columns, "pii"))
     return found.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
@@ -72,6 +76,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids and count as lossless. Repeated rows give equal rows; other columns are dropped.
     """
+    short_batches(spark)
     return bpe.tokenized(docs, tokenizer_path(), keep=("doc_id", "lang", "source"))
 
 
