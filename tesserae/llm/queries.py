@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, decontaminate, licenses, minhash, pii, quality, sharding, spotsigs, suffix_dedup, toxicity
+from tesserae.llm import band_join, bpe, decontaminate, licenses, minhash, pii, quality, sharding, spotsigs, suffix_dedup, toxicity
 from tesserae.llm.common import short_batches
 
 
@@ -99,6 +99,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs, length=400).join(sharing, "doc_id", "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(0)))
 
 
+def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five lines of near unit price of every item, and sums over all of them."""
+    return band_join.near_lines(spark.read.parquet(f"{sf_dir}/sale_lines.parquet"), spark.read.parquet(f"{sf_dir}/items.parquet"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_spotsigs": op2_spotsigs,
@@ -110,11 +115,23 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_band_join": op13_band_join,
 }
 
 #: A-Z in lower case, and no other letter: what the contracts of op4 and op8 ask for.
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: One row, t: the table of the usual CRC-32, made from its polynomial.
+_CRC_TABLE = """crc_table as (select list(c order by i) as t from
+ (select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as i)))"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8, in SQL that sees ``crc_table``."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda k: ('0x' || substring(hex(encode({text})), 2 * k + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_minhash": rf"""with recursive words as (select doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
 sets as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from words),
@@ -147,4 +164,14 @@ passages as (select doc_id, md5(array_to_string(w[i:i + 49], ' ')) as p from (se
 sharing as (select distinct doc_id, 1 as shares from passages semi join (select p from passages group by p having count(distinct doc_id) > 1) using (p))
 select doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, x))) as kept_sha256, coalesce(shares, 0) as shares_passage
 from bytes left join sums using (doc_id) left join kept using (doc_id) left join sharing using (doc_id)""",
+    "op13_band_join": f"""with {_CRC_TABLE},
+lines as (select sale_id, line_no::bigint as line_no, item_id as line_item_id, (2 * a + quantity) // (2 * quantity) as u, {_crc32("concat(sale_id, ',', line_no, ',', item_id)")} as crc
+ from (select *, floor(100 * amount + 0.5)::bigint as a from sale_lines where sale_id is not null and item_id is not null and amount is not null and quantity > 0), crc_table),
+asked as (select row_number() over () as row_id, item_id, floor(100 * price + 0.5)::bigint as p from items),
+pairs as (select row_id, abs(u - p) as gap, u, sale_id, line_no, line_item_id, crc from asked join lines
+ on u between p - greatest(10, p // 500) and p + greatest(10, p // 500) and line_item_id <> item_id where abs(u - p) <= 10 or 1000 * abs(u - p) <= 2 * p),
+sums as (select row_id, count(*) as n_pairs, sum(gap)::bigint as gap_sum, sum(crc)::bigint as lines_crc from pairs group by row_id),
+ranked as (select *, row_number() over (partition by row_id order by gap, u, sale_id, line_no nulls first, line_item_id) as rank from pairs)
+select item_id, coalesce(rank, 0)::int as rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0) as n_pairs, coalesce(gap_sum, 0) as gap_sum, coalesce(lines_crc, 0) as lines_crc
+from asked left join sums using (row_id) left join (select * from ranked where rank <= 5) using (row_id)""",
 }
