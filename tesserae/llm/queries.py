@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import band_join, bpe, decontaminate, licenses, minhash, pii, quality, sharding, spotsigs, suffix_dedup, toxicity
+from tesserae.llm import band_join, bpe, decontaminate, licenses, minhash, pii, quality, sharding, spelling, spotsigs, suffix_dedup, toxicity
 from tesserae.llm.common import short_batches
 
 
@@ -99,6 +99,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs, length=400).join(sharing, "doc_id", "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(0)))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, each 31st run with a code point less, with their near words, forms and roots."""
+    return spelling.spelling_variants(_documents(spark, sf_dir), noise=31).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five lines of near unit price of every item, and sums over all of them."""
     return band_join.near_lines(spark.read.parquet(f"{sf_dir}/sale_lines.parquet"), spark.read.parquet(f"{sf_dir}/items.parquet"))
@@ -115,6 +120,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_spelling": op12_spelling,
     "op13_band_join": op13_band_join,
 }
 
@@ -164,6 +170,19 @@ passages as (select doc_id, md5(array_to_string(w[i:i + 49], ' ')) as p from (se
 sharing as (select distinct doc_id, 1 as shares from passages semi join (select p from passages group by p having count(distinct doc_id) > 1) using (p))
 select doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, x))) as kept_sha256, coalesce(shares, 0) as shares_passage
 from bytes left join sums using (doc_id) left join kept using (doc_id) left join sharing using (doc_id)""",
+    "op12_spelling": rf"""with recursive {_CRC_TABLE},
+runs as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as k from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as r from documents) group by all),
+hashed as (select r, k, {_crc32("concat(doc_id, ':', r)")} as h, length(r) as size from runs, crc_table where length(r) >= 7),
+made as (select case when h % 31 = 0 then substring(r, 1, h % size) || substring(r, h % size + 2) else r end as word, k from hashed),
+words as (select word, sum(k)::bigint as n from made where length(word) >= 7 group by word having sum(k) >= 2),
+gaps as (select word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (select a.word, b.word as other, b.n as other_n from gaps a join gaps b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+ union select a.word, b.word, b.n from gaps a join words b on a.rest = b.word union select b.word, a.word, a.n from gaps a join words b on a.rest = b.word),
+best as (select word, count(*) over (partition by word) as n_near, other, other_n, row_number() over (partition by word order by other_n desc, other) as k from near),
+found as (select word, n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * n then other end as form, case when other_n >= 10 * n then other_n end as form_n from words left join (select * from best where k = 1) using (word)),
+followed as (select word, coalesce(form, word) as root from found union select f.word, g.form from followed f join found g on g.word = f.root where g.form is not null),
+last as (select f.word, f.root from followed f join found g on g.word = f.root where g.form is null)
+select word, form, root, n, n_near, form_n from found join last using (word)""",
     "op13_band_join": f"""with {_CRC_TABLE},
 lines as (select sale_id, line_no::bigint as line_no, item_id as line_item_id, (2 * a + quantity) // (2 * quantity) as u, {_crc32("concat(sale_id, ',', line_no, ',', item_id)")} as crc
  from (select *, floor(100 * amount + 0.5)::bigint as a from sale_lines where sale_id is not null and item_id is not null and amount is not null and quantity > 0), crc_table),
