@@ -101,8 +101,8 @@ def parted(df: DataFrame, hashed: Column, wanted: DataFrame, column: str) -> tup
     return tuple(marked.filter(F.col(hit) if side else ~F.col(hit)).select(*df.columns) for side in (True, False))
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """``left`` with the columns of ``right`` (one row a key) where it has the key, null elsewhere.
+def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a key, of one column or more) where it has the key, null elsewhere.
 
     ``weight`` says how many rows of ``left`` have the key. Keys that would fill a tenth of a shuffle
     partition are met where the rows lie, by a broadcast of no more than ten rows a partition; all others are
@@ -112,7 +112,7 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFr
     total = right.agg(F.sum(weight).alias("n")).first().n or 0
     hot = right.filter(F.col(weight) * (10 * parts) > F.lit(total)).drop(weight)
     met = left.join(F.broadcast(hot), key)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.drop(weight).hint("merge"), key, "left")
+    rest = left.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(right.drop(weight).hint("merge"), key, "left")
     return met.unionByName(rest)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import band_join, bpe, decontaminate, licenses, minhash, pii, quality, sharding, spelling, spotsigs, suffix_dedup, toxicity
+from tesserae.llm import band_join, bpe, decontaminate, licenses, minhash, pii, quality, sharding, spelling, spotsigs, substring_dedup, suffix_dedup, toxicity
 from tesserae.llm.common import short_batches
 
 
@@ -99,6 +99,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs, length=400).join(sharing, "doc_id", "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(0)))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text in 13-word windows that a document of a smaller id holds too."""
+    return substring_dedup.remove_passages(_documents(spark, sf_dir))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all texts, each 31st run with a code point less, with their near words, forms and roots."""
     return spelling.spelling_variants(_documents(spark, sf_dir), noise=31).select("word", "form", "root", "n", "n_near", "form_n")
@@ -120,6 +125,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_spelling": op12_spelling,
     "op13_band_join": op13_band_join,
 }
@@ -170,6 +176,17 @@ passages as (select doc_id, md5(array_to_string(w[i:i + 49], ' ')) as p from (se
 sharing as (select distinct doc_id, 1 as shares from passages semi join (select p from passages group by p having count(distinct doc_id) > 1) using (p))
 select doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, x))) as kept_sha256, coalesce(shares, 0) as shares_passage
 from bytes left join sums using (doc_id) left join kept using (doc_id) left join sharing using (doc_id)""",
+    "op11_substring_dedup": r"""with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from words where len(w) >= 13)),
+firsts as (select s, min(doc_id) as first from windows group by s),
+starts as (select doc_id, i, coalesce(i > lag(i) over k + 13, true) as fresh from windows join firsts using (s) where first < doc_id window k as (partition by doc_id order by i)),
+numbered as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as run from starts),
+runs as (select doc_id, min(i) as low, max(i) + 13 as high from numbered group by doc_id, run),
+gaps as (select doc_id, 1 as a, min(low) as b from runs group by doc_id union all select doc_id, high, lead(low) over (partition by doc_id order by low) from runs),
+kept as (select doc_id, string_agg(array_to_string(w[a:coalesce(b, len(w) + 1) - 1], ' '), ' ' order by a) as k from gaps join words using (doc_id) where coalesce(b, len(w) + 1) > a group by doc_id),
+sums as (select doc_id, sum(high - low)::bigint as n_removed from runs group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(case when n_removed is null then array_to_string(w, ' ') else coalesce(k, '') end) as kept_sha256
+from words left join sums using (doc_id) left join kept using (doc_id)""",
     "op12_spelling": rf"""with recursive {_CRC_TABLE},
 runs as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as k from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as r from documents) group by all),
 hashed as (select r, k, {_crc32("concat(doc_id, ':', r)")} as h, length(r) as size from runs, crc_table where length(r) >= 7),
