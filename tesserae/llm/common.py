@@ -75,6 +75,24 @@ def filter_table(df: DataFrame, place: Column):
     return df.sparkSession.sparkContext.broadcast(table)
 
 
+#: Most bits of a filter that follows the number of its hashes: 64 MB.
+MOST_BITS = 29
+
+
+def sized_filter(hashes: DataFrame, column: str):
+    """(broadcast table, bits): as ``filter_table`` over the top bits of ``column``, with some 32 bits for each row, 2^MOST_BITS at most.
+
+    ``hashes`` is read twice. Beyond a bit for each hash more pass by chance; what stands behind the filter decides.
+    """
+    n = hashes.count()
+    bits = min(MOST_BITS, max(16, (32 * n).bit_length()))
+    places = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("place")).selectExpr("shiftright(place, 6) as slot", "shiftleft(1L, cast(place & 63 as int)) as bit")
+    masks = places.groupBy("slot").agg(F.bit_or("bit").alias("mask")).toArrow()  # at most 2^(bits - 6) rows of two longs
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[masks.column("slot").to_numpy()] = masks.column("mask").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(table), bits
+
+
 def in_filter(place: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Which places (uint64) have their bit set."""
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1

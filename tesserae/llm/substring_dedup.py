@@ -13,8 +13,9 @@ many documents share needs one source only, its first holder. An index of anchor
 1. Of the half windows in each window the one of the least hash is its anchor; windows that share it make a
    run. Equal windows have equal anchors, so runs whose anchor no other document has are done with.
 2. Runs of equal content are one class; its holders are parsed against its first holder.
-3. Where an anchor has several classes, the windows of one run of each class are named, and their holders
-   are parsed against the first holder of each.
+3. Where an anchor has several classes, the first holder of each is parsed against those of the others that
+   are earlier; beyond FEW classes the windows of one run of each class are named instead, and their
+   holders are parsed against the first holder of each.
 
 A document therefore meets only the blocks it needs, each once, and a block that many documents need is
 indexed in several tasks, with a share of the documents in each. The parse compares words, so that
@@ -32,16 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import FILTER_BITS, SpanHash, checkpointed, filter_table, hot_join, in_filter, mix, parted, slices, text_bytes, top_bits, word_hashes, words_of, written
+from tesserae.llm.common import FILTER_BITS, SpanHash, checkpointed, filter_table, hot_join, in_filter, mix, parted, sized_filter, slices, text_bytes, top_bits, word_hashes, words_of, written
 from tesserae.llm.suffix_dedup import WORD, Runs, _longs, _record, _spaced, merged
 
 #: Words of a window.
 WINDOW = 13
 #: Windows that start in one piece of a text: what a block holds.
 PIECE = 4096
-#: Documents that one copy of a block serves.
-SERVED = 500
-_TEXT, _SOURCE = ["doc", "t1", "part"], ["s_doc", "s_t1", "s_part"]
+#: Documents that one copy of a block serves, and classes of an anchor that meet each other.
+SERVED, FEW = 500, 8
+
+
+def _piece_ids(doc: np.ndarray, t1: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """64-bit names of pieces; two of one name are both parsed, which does no harm."""
+    return mix(mix(doc.astype(np.int64).view(np.uint64)) ^ t1.view(np.uint64) ^ (part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _window_hashes(words: np.ndarray, window: int) -> np.ndarray:
@@ -120,85 +125,114 @@ def _runs_of(part: pa.RecordBatch, window: int) -> Runs:
 
 
 def _wanted(texts: DataFrame, window: int) -> DataFrame:
-    """doc, t1, part, s_doc, s_t1, s_part: the pieces of texts, and the blocks of smaller ids that each must be parsed against."""
+    """piece, s_piece: the pieces of texts, and the blocks (pieces of texts of smaller ids) that each must be parsed against."""
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             runs = _runs_of(part, window)
-            yield _record([runs.keys(), part.column("doc").to_numpy()[runs.row]], _longs("key", "doc"))
+            keys = runs.keys()
+            order = np.lexsort((keys, runs.row))  # a text counts once for each of its anchors
+            row, keys = runs.row[order], keys[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+            yield _record([keys[fresh]], _longs("key"))
 
-    keys = texts.select("doc", "text").mapInArrow(ranked, _longs("key", "doc"))
-    shipped = filter_table(keys.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b"), top_bits(F.col("key")))
-    fields = _longs("key", "f1", "f2", *_TEXT)
+    keys = texts.select("text").mapInArrow(ranked, _longs("key"))
+    repeated = checkpointed(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    shipped, bits = sized_filter(repeated, "key")
+    fields = _longs("key", "f1", "doc", "piece")
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped.value.view(np.uint64)
         for part in slices(batches, "text"):
             runs = _runs_of(part, window)
             keys = runs.keys()
-            keep = np.flatnonzero(in_filter(keys >> np.uint64(64 - FILTER_BITS), table))
+            keep = np.flatnonzero(in_filter(keys >> np.uint64(64 - bits), table))
             if not len(keep):
                 continue
             low, end, row = runs.low[keep], runs.high[keep] + window, runs.row[keep]
-            shape = (runs.anchor[keep] - low).astype(np.uint64)
-            f1, f2 = (mix(runs.spans(h, low, end) + shape) for h in (runs.first, SpanHash(runs.data, 12)))
+            f1 = mix(runs.spans(SpanHash(runs.data, 12), low, end) + (runs.anchor[keep] - low).astype(np.uint64))
             doc, t1 = (part.column(c).to_numpy()[row] for c in ("doc", "t1"))
-            yield _record([keys[keep], f1, f2, doc, t1, (low - runs.first_word[row]) // PIECE], fields)
+            yield _record([keys[keep], f1, doc, _piece_ids(doc, t1, (low - runs.first_word[row]) // PIECE)], fields)
 
     rows = texts.select("doc", "t1", "text")
     runs = written(rows.mapInArrow(covered, fields), "runs")
-    classes = runs.groupBy("f1", "f2").agg(F.min("key").alias("key"), F.min(F.struct(*_TEXT)).alias("s"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
-    classes = written(classes, "classes")
-    shared = classes.filter("last > s.doc").select("f1", "f2", *(F.col(f"s.{c}").alias(f"s_{c}") for c in _TEXT), "n")
-    whole = hot_join(runs.select("f1", "f2", *_TEXT), shared, ["f1", "f2"], "n").filter("doc > s_doc").select(*_TEXT, *_SOURCE)
+    classes = runs.groupBy("key", "f1").agg(F.min(F.struct("doc", "piece")).alias("s"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes.select("key", "f1", F.col("s.doc").alias("s_doc"), F.col("s.piece").alias("s_piece"), F.when(F.col("last") > F.col("s.doc"), F.col("n")).alias("n")), "classes")
+    shared = classes.filter("n is not null").select("key", "f1", "s_doc", "s_piece", "n")
+    whole = hot_join(runs, shared, ["key", "f1"], "n").filter("doc > s_doc").select("piece", "s_piece")
 
-    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("s.doc").alias("a"), F.max("s.doc").alias("b")).filter("kinds > 1 and a < b").select("key")
-    place = F.col("f1").bitwiseXOR(F.col("s.t1"))
-    opened = filter_table(classes.join(several, "key", "left_semi").select(place.alias("place")), top_bits(F.col("place")))
-    string_fields = _longs("x", "y", *_TEXT)
+    kinds = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("s_doc").alias("a"), F.max("s_doc").alias("b")).filter("kinds > 1 and a < b")
+    kinds = checkpointed(kinds.select("key", (F.col("kinds") > FEW).alias("many")))
+    firsts = classes.select("key", "f1", F.col("s_doc").alias("doc"), F.col("s_piece").alias("piece"))
+    few = firsts.join(kinds.filter("not many").hint("merge"), "key").groupBy("key").agg(F.collect_list(F.struct("doc", "piece")).alias("held"))  # FEW at most
+    met = few.select(F.explode("held").alias("a"), "held").select("a", F.explode("held").alias("s")).filter("s.doc < a.doc").select("a.piece", F.col("s.piece").alias("s_piece"))
+
+    opened = checkpointed(firsts.join(kinds.filter("many").hint("merge"), "key", "left_semi").select("f1", "piece", F.col("f1").bitwiseXOR(F.col("piece")).alias("place")))
+    shipped_runs, shipped_pieces = filter_table(opened, top_bits(F.col("place"))), filter_table(opened, top_bits(F.col("piece")))
+    string_fields = _longs("x", "y", "doc", "piece")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = opened.value.view(np.uint64)
-        for part in slices(batches, "text"):
+        table, held = shipped_runs.value.view(np.uint64), shipped_pieces.value.view(np.uint64)
+        shift = np.uint64(64 - FILTER_BITS)
+
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc, t1 = batch.column("doc").to_numpy(), batch.column("t1").to_numpy()
+                octets = text_bytes(batch.column("text"))[1]
+                n = np.diff(octets) // (2 * PIECE) + 1  # pieces that a text can have
+                row = np.repeat(np.arange(len(n)), n)
+                number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hit = np.zeros(len(n), bool)
+                hit[row[in_filter(_piece_ids(doc[row], t1[row], number) >> shift, held)]] = True
+                if hit.any():
+                    yield batch.filter(pa.array(hit))
+
+        for part in slices(wanted(), "text"):
             runs = _runs_of(part, window)
             if not len(runs.low):
                 continue
-            t1 = part.column("t1").to_numpy()
-            f1 = mix(runs.spans(runs.first, runs.low, runs.high + window) + (runs.anchor - runs.low).astype(np.uint64))
-            keep = np.flatnonzero(in_filter((f1 ^ t1[runs.row].view(np.uint64)) >> np.uint64(64 - FILTER_BITS), table))
+            doc, t1 = (part.column(c).to_numpy()[runs.row] for c in ("doc", "t1"))
+            second = SpanHash(runs.data, 12)
+            f1 = mix(runs.spans(second, runs.low, runs.high + window) + (runs.anchor - runs.low).astype(np.uint64))
+            piece = _piece_ids(doc, t1, (runs.low - runs.first_word[runs.row]) // PIECE)
+            keep = np.flatnonzero(in_filter((f1 ^ piece) >> shift, table))
             if not len(keep):
                 continue
             n = runs.high[keep] - runs.low[keep] + 1
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(runs.low[keep], n)
-            x, y = (runs.spans(h, at, at + window) for h in (runs.first, SpanHash(runs.data, 12)))
-            row = np.repeat(runs.row[keep], n)
-            piece = np.repeat((runs.low[keep] - runs.first_word[runs.row[keep]]) // PIECE, n)
-            yield _record([x, y, part.column("doc").to_numpy()[row], t1[row], piece], string_fields)
+            x, y = (runs.spans(h, at, at + window) for h in (runs.first, second))
+            yield _record([x, y, np.repeat(doc[keep], n), np.repeat(piece[keep], n)], string_fields)
 
-    # Runs that only the filter let through are runs of the texts too and do no harm.
+    # Runs that only the filters let through are runs of the texts too and do no harm.
     laid = written(rows.mapInArrow(strings, string_fields), "windows")
-    firsts = laid.groupBy("x", "y").agg(F.min(F.struct(*_TEXT)).alias("s"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > s.doc")
-    firsts = written(firsts.select("x", "y", *(F.col(f"s.{c}").alias(f"s_{c}") for c in _TEXT), "n"), "first-windows")
-    part = hot_join(laid, firsts, ["x", "y"], "n").filter("doc > s_doc").select(*_TEXT, *_SOURCE)
-    return written(whole.unionByName(part).distinct(), "routes")
+    sources = laid.groupBy("x", "y").agg(F.min(F.struct("doc", "piece")).alias("s"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > s.doc")
+    sources = sources.select("x", "y", F.col("s.doc").alias("s_doc"), F.col("s.piece").alias("s_piece"), "n")
+    part = hot_join(laid, checkpointed(sources), ["x", "y"], "n").filter("doc > s_doc").select("piece", "s_piece")
+    return written(whole.unionByName(met).unionByName(part).distinct(), "routes")
 
 
-def _pieces(texts: DataFrame, window: int) -> DataFrame:
-    """doc, t1, part, text: a piece holds the windows of the runs that begin at PIECE places, its words joined by one blank."""
-    fields = T.StructType([*_longs(*_TEXT).fields, T.StructField("text", T.BinaryType())])
+def _pieces(texts: DataFrame, used: DataFrame, window: int) -> DataFrame:
+    """piece, doc, t1, part, text: the pieces in ``used`` (piece). One holds the windows of the runs that begin at PIECE places, its words joined by one blank."""
+    fields = T.StructType([*_longs("piece", "doc", "t1", "part").fields, T.StructField("text", T.BinaryType())])
+    shipped = filter_table(used, top_bits(F.col("piece")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped.value.view(np.uint64)
         for part in slices(batches, "text"):
             data, start, stop, first = _spaced(*text_bytes(part.column("text")))
             size = np.diff(first)
             n = np.maximum(1, -(-(size - window + 1) // PIECE))
             row = np.repeat(np.arange(len(n)), n)
             number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            low = number * PIECE
-            high = np.minimum(low + PIECE + 2 * window, size[row])
-            held = [data[start[first[r] + a] : stop[first[r] + b - 1]].tobytes() if b > a else b"" for r, a, b in zip(row, low, high, strict=True)]
             doc, t1 = (part.column(c).to_numpy()[row] for c in ("doc", "t1"))
-            yield _record([doc, t1, number, pa.array(held, pa.binary())], fields)
+            piece = _piece_ids(doc, t1, number)
+            keep = np.flatnonzero(in_filter(piece >> np.uint64(64 - FILTER_BITS), table) & (size[row] > 0))
+            low = number[keep] * PIECE
+            high = np.minimum(low + PIECE + 2 * window, size[row[keep]]) + first[row[keep]]
+            low += first[row[keep]]
+            held = [data[a:b].tobytes() for a, b in zip(start[low].tolist(), stop[high - 1].tolist(), strict=True)]
+            yield _record([piece[keep], doc[keep], t1[keep], number[keep], pa.array(held, pa.binary())], fields)
 
     return texts.select("doc", "t1", "text").mapInArrow(cut, fields)
 
@@ -206,35 +240,38 @@ def _pieces(texts: DataFrame, window: int) -> DataFrame:
 def duplicate_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, t1, low, high: spans of words (high excluded) of each text that texts of smaller doc hold, as the parses give them."""
     routes = _wanted(texts, window)
-    blocks = checkpointed(routes.groupBy(*_SOURCE).agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.expr(f"n div {SERVED} + 1")))
-    used = checkpointed(routes.select("t1").unionByName(routes.select(F.col("s_t1").alias("t1"))).distinct())
-    pieces = written(_pieces(parted(texts, F.col("t1"), used, "t1")[0], window), "pieces")
-    as_source = pieces.select(*(F.col(c).alias(f"s_{c}") for c in _TEXT), "text")
-    references = blocks.join(as_source.hint("merge"), _SOURCE).select(*_SOURCE, F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"), F.lit(0).alias("role"), *(F.lit(0).cast("long").alias(c) for c in _TEXT), "text")
-    dealt = hot_join(routes, blocks, _SOURCE, "n").withColumn("copy", F.pmod(F.xxhash64(*_TEXT), F.col("copies")))
-    parsed = dealt.join(pieces.hint("merge"), _TEXT).select(*_SOURCE, "copy", F.lit(1).alias("role"), *_TEXT, "text")
-    block = [*_SOURCE, "copy"]
-    laid = references.unionByName(parsed).repartition(*block).sortWithinPartitions(*block, "role")
+    blocks = checkpointed(routes.groupBy("s_piece").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.expr(f"n div {SERVED} + 1")))
+    used = checkpointed(routes.select("piece").unionByName(routes.select(F.col("s_piece").alias("piece"))).distinct())
+    pieces = written(_pieces(texts, used, window), "pieces")
+    row = [F.col(c) for c in ("doc", "t1", "part", "text")]
+    references = blocks.join(pieces.withColumnRenamed("piece", "s_piece").hint("merge"), "s_piece").select("s_piece", F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"), F.lit(0).alias("role"), *row)
+    dealt = hot_join(routes, blocks, "s_piece", "n").withColumn("copy", F.pmod(F.xxhash64("piece"), F.col("copies")))
+    parsed = dealt.join(pieces.hint("merge"), "piece").select("s_piece", "copy", F.lit(1).alias("role"), *row)
+    laid = references.unionByName(parsed).repartition("s_piece", "copy").sortWithinPartitions("s_piece", "copy", "role")
     fields = _longs("doc", "t1", "low", "high")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current: Block | None = None
+        current: list[tuple[int, Block]] = []  # of one name; nearly always one
+        name, ended = None, True
         for part in slices(batches, "text"):
             data, offsets = text_bytes(part.column("text"))
             start, stop, first = words_of(data, offsets, WORD)
             words = word_hashes(data, start, stop)
             hashes = _window_hashes(words, window)
-            doc, t1, number, role = (part.column(c).to_numpy() for c in (*_TEXT, "role"))
+            source, doc, t1, number, role = (part.column(c).to_numpy() for c in ("s_piece", "doc", "t1", "part", "role"))
             found: list[tuple[int, int, int]] = []
             for i in range(part.num_rows):
                 a, b = int(first[i]), int(first[i + 1])
                 if role[i] == 0:
-                    current = Block(words[a:b], window)
-                else:
-                    spans = current.parse(words[a:b], hashes[a : max(a, b - window + 1)])
-                    if spans:
-                        low, high = merged(*np.array(spans).T)
-                        found += [(i, x, y) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                    if ended or source[i] != name:
+                        current, name, ended = [], source[i], False
+                    current.append((int(doc[i]), Block(words[a:b], window)))
+                    continue
+                ended = True
+                spans = [s for d, block in current if d < doc[i] for s in block.parse(words[a:b], hashes[a : max(a, b - window + 1)])]
+                if spans:
+                    low, high = merged(*np.array(spans).T)
+                    found += [(i, x, y) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
             if found:
                 row, low, high = np.array(found).T
                 yield _record([doc[row], t1[row], low + number[row] * PIECE, high + number[row] * PIECE], fields)
