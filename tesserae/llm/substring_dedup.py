@@ -17,9 +17,9 @@ many documents share needs one source only, its first holder. An index of anchor
    are earlier; beyond FEW classes the windows of one run of each class are named instead, and their
    holders are parsed against the first holder of each.
 
-A document therefore meets only the blocks it needs, each once, and a block that many documents need is
-indexed in several tasks, with a share of the documents in each. The parse compares words, so that
-what the index proposes is confirmed.
+A document therefore meets only the blocks it needs, each once and with the stretch that holds the windows
+in question; a block that many documents need is indexed in several tasks, with a share of the
+documents in each. The parse compares words, so that what the index proposes is confirmed.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ WINDOW = 13
 PIECE = 4096
 #: Documents that one copy of a block serves, and classes of an anchor that meet each other.
 SERVED, FEW = 500, 8
+#: The bits by which anchors are counted; two that share them only pass a filter together.
+_NAMED = np.uint64(((1 << 64) - 1) & ~((1 << 20) - 1))
 
 
 def _piece_ids(doc: np.ndarray, t1: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -125,7 +127,7 @@ def _runs_of(part: pa.RecordBatch, window: int) -> Runs:
 
 
 def _wanted(texts: DataFrame, window: int) -> DataFrame:
-    """piece, s_piece: the pieces of texts, and the blocks (pieces of texts of smaller ids) that each must be parsed against."""
+    """piece, s_piece, low, high: of pieces of texts the stretch of words, and the block (a piece of a text of a smaller id) that it must be parsed against."""
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -135,12 +137,12 @@ def _wanted(texts: DataFrame, window: int) -> DataFrame:
             row, keys = runs.row[order], keys[order]
             fresh = np.ones(len(keys), bool)
             fresh[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-            yield _record([keys[fresh]], _longs("key"))
+            yield _record([keys[fresh] & _NAMED], _longs("key"))
 
     keys = texts.select("text").mapInArrow(ranked, _longs("key"))
     repeated = checkpointed(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     shipped, bits = sized_filter(repeated, "key")
-    fields = _longs("key", "f1", "doc", "piece")
+    fields = T.StructType([*_longs("key", "f1", "doc", "piece").fields, *_ints("low", "high").fields, T.StructField("long", T.BooleanType())])
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped.value.view(np.uint64)
@@ -153,24 +155,39 @@ def _wanted(texts: DataFrame, window: int) -> DataFrame:
             low, end, row = runs.low[keep], runs.high[keep] + window, runs.row[keep]
             f1 = mix(runs.spans(SpanHash(runs.data, 12), low, end) + (runs.anchor[keep] - low).astype(np.uint64))
             doc, t1 = (part.column(c).to_numpy()[row] for c in ("doc", "t1"))
-            yield _record([keys[keep], f1, doc, _piece_ids(doc, t1, (low - runs.first_word[row]) // PIECE)], fields)
+            long = np.diff(runs.first_word) >= PIECE + window  # of several pieces
+            number, at = np.divmod(low - runs.first_word[row], PIECE)
+            piece = _piece_ids(doc, t1, number)
+            order = np.lexsort((at, f1, piece))  # equal runs of a piece are one row, from the first to the last
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (piece[order[1:]] != piece[order[:-1]]) | (f1[order[1:]] != f1[order[:-1]])
+            first = order[fresh]
+            last = order[np.append(np.flatnonzero(fresh)[1:], len(order)) - 1]
+            back = np.argsort(first)  # in the order of the text, which packs best
+            first, last = first[back], last[back]
+            yield _record([keys[keep][first], f1[first], doc[first], piece[first], pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), pa.array(long[row[first]])], fields)
 
     rows = texts.select("doc", "t1", "text")
     runs = written(rows.mapInArrow(covered, fields), "runs")
-    classes = runs.groupBy("key", "f1").agg(F.min(F.struct("doc", "piece")).alias("s"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
-    classes = written(classes.select("key", "f1", F.col("s.doc").alias("s_doc"), F.col("s.piece").alias("s_piece"), F.when(F.col("last") > F.col("s.doc"), F.col("n")).alias("n")), "classes")
+    classes = runs.groupBy("key", "f1").agg(F.min(F.struct("doc", "piece", "low", "high", "long")).alias("s"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes.select("key", "f1", F.col("s.doc").alias("s_doc"), F.col("s.piece").alias("s_piece"), F.col("s.low").alias("low"), F.col("s.high").alias("high"), F.col("s.long").alias("long"), F.when(F.col("last") > F.col("s.doc"), F.col("n")).alias("n")), "classes")
     shared = classes.filter("n is not null").select("key", "f1", "s_doc", "s_piece", "n")
-    whole = hot_join(runs, shared, ["key", "f1"], "n").filter("doc > s_doc").select("piece", "s_piece")
+    whole = hot_join(runs.drop("long"), shared, ["key", "f1"], "n").filter("doc > s_doc").select("piece", "s_piece", "low", "high")
 
     kinds = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("s_doc").alias("a"), F.max("s_doc").alias("b")).filter("kinds > 1 and a < b")
     kinds = checkpointed(kinds.select("key", (F.col("kinds") > FEW).alias("many")))
-    firsts = classes.select("key", "f1", F.col("s_doc").alias("doc"), F.col("s_piece").alias("piece"))
-    few = firsts.join(kinds.filter("not many").hint("merge"), "key").groupBy("key").agg(F.collect_list(F.struct("doc", "piece")).alias("held"))  # FEW at most
-    met = few.select(F.explode("held").alias("a"), "held").select("a", F.explode("held").alias("s")).filter("s.doc < a.doc").select("a.piece", F.col("s.piece").alias("s_piece"))
-
-    opened = checkpointed(firsts.join(kinds.filter("many").hint("merge"), "key", "left_semi").select("f1", "piece", F.col("f1").bitwiseXOR(F.col("piece")).alias("place")))
+    columns = ["key", "f1", "doc", "piece", "low", "high"]
+    firsts = classes.select("key", "f1", F.col("s_doc").alias("doc"), F.col("s_piece").alias("piece"), "low", "high")
+    # A long text can have a class in several pieces; all of them meet the other classes.
+    again = runs.filter("long").join(classes.filter("long").select("key", "f1", "s_doc", "s_piece").hint("merge"), ["key", "f1"])
+    holders = firsts.unionByName(again.filter("doc = s_doc and piece <> s_piece").select(*columns))
+    few = kinds.filter("not many").select("key")
+    held = firsts.join(few.hint("merge"), "key").groupBy("key").agg(F.collect_list(F.struct("doc", "piece")).alias("held"))  # FEW at most
+    met = holders.join(held.hint("merge"), "key").select("doc", "piece", "low", "high", F.explode("held").alias("s")).filter("s.doc < doc").select("piece", F.col("s.piece").alias("s_piece"), "low", "high")
+
+    opened = checkpointed(holders.join(kinds.filter("many").hint("merge"), "key", "left_semi").select("f1", "piece", F.col("f1").bitwiseXOR(F.col("piece")).alias("place")))
     shipped_runs, shipped_pieces = filter_table(opened, top_bits(F.col("place"))), filter_table(opened, top_bits(F.col("piece")))
-    string_fields = _longs("x", "y", "doc", "piece")
+    string_fields = T.StructType([*_longs("x", "y", "doc", "piece").fields, *_ints("low", "high").fields])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = shipped_runs.value.view(np.uint64), shipped_pieces.value.view(np.uint64)
@@ -195,26 +212,33 @@ def _wanted(texts: DataFrame, window: int) -> DataFrame:
             doc, t1 = (part.column(c).to_numpy()[runs.row] for c in ("doc", "t1"))
             second = SpanHash(runs.data, 12)
             f1 = mix(runs.spans(second, runs.low, runs.high + window) + (runs.anchor - runs.low).astype(np.uint64))
-            piece = _piece_ids(doc, t1, (runs.low - runs.first_word[runs.row]) // PIECE)
+            number, begin = np.divmod(runs.low - runs.first_word[runs.row], PIECE)
+            piece = _piece_ids(doc, t1, number)
             keep = np.flatnonzero(in_filter((f1 ^ piece) >> shift, table))
             if not len(keep):
                 continue
             n = runs.high[keep] - runs.low[keep] + 1
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(runs.low[keep], n)
             x, y = (runs.spans(h, at, at + window) for h in (runs.first, second))
-            yield _record([x, y, np.repeat(doc[keep], n), np.repeat(piece[keep], n)], string_fields)
+            begin = pa.array(np.repeat(begin[keep], n), pa.int32())
+            yield _record([x, y, np.repeat(doc[keep], n), np.repeat(piece[keep], n), begin, begin], string_fields)
 
     # Runs that only the filters let through are runs of the texts too and do no harm.
     laid = written(rows.mapInArrow(strings, string_fields), "windows")
     sources = laid.groupBy("x", "y").agg(F.min(F.struct("doc", "piece")).alias("s"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > s.doc")
     sources = sources.select("x", "y", F.col("s.doc").alias("s_doc"), F.col("s.piece").alias("s_piece"), "n")
-    part = hot_join(laid, checkpointed(sources), ["x", "y"], "n").filter("doc > s_doc").select("piece", "s_piece")
-    return written(whole.unionByName(met).unionByName(part).distinct(), "routes")
+    part = hot_join(laid, checkpointed(sources), ["x", "y"], "n").filter("doc > s_doc").select("piece", "s_piece", "low", "high")
+    routes = whole.unionByName(met).unionByName(part).groupBy("piece", "s_piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return written(routes.withColumn("high", F.col("high") + (2 * window - (window + 1) // 2)), "routes")  # the words of the longest run
+
+
+def _ints(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.IntegerType()) for n in names])
 
 
 def _pieces(texts: DataFrame, used: DataFrame, window: int) -> DataFrame:
     """piece, doc, t1, part, text: the pieces in ``used`` (piece). One holds the windows of the runs that begin at PIECE places, its words joined by one blank."""
-    fields = T.StructType([*_longs("piece", "doc", "t1", "part").fields, T.StructField("text", T.BinaryType())])
+    fields = T.StructType([*_longs("piece", "doc", "t1", "part").fields, T.StructField("text", T.StringType())])
     shipped = filter_table(used, top_bits(F.col("piece")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +256,7 @@ def _pieces(texts: DataFrame, used: DataFrame, window: int) -> DataFrame:
             high = np.minimum(low + PIECE + 2 * window, size[row[keep]]) + first[row[keep]]
             low += first[row[keep]]
             held = [data[a:b].tobytes() for a, b in zip(start[low].tolist(), stop[high - 1].tolist(), strict=True)]
-            yield _record([piece[keep], doc[keep], t1[keep], number[keep], pa.array(held, pa.binary())], fields)
+            yield _record([piece[keep], doc[keep], t1[keep], number[keep], pa.array(held, pa.binary()).cast(pa.string())], fields)
 
     return texts.select("doc", "t1", "text").mapInArrow(cut, fields)
 
@@ -241,13 +265,13 @@ def duplicate_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, t1, low, high: spans of words (high excluded) of each text that texts of smaller doc hold, as the parses give them."""
     routes = _wanted(texts, window)
     blocks = checkpointed(routes.groupBy("s_piece").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.expr(f"n div {SERVED} + 1")))
-    used = checkpointed(routes.select("piece").unionByName(routes.select(F.col("s_piece").alias("piece"))).distinct())
-    pieces = written(_pieces(texts, used, window), "pieces")
-    row = [F.col(c) for c in ("doc", "t1", "part", "text")]
-    references = blocks.join(pieces.withColumnRenamed("piece", "s_piece").hint("merge"), "s_piece").select("s_piece", F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"), F.lit(0).alias("role"), *row)
     dealt = hot_join(routes, blocks, "s_piece", "n").withColumn("copy", F.pmod(F.xxhash64("piece"), F.col("copies")))
-    parsed = dealt.join(pieces.hint("merge"), "piece").select("s_piece", "copy", F.lit(1).alias("role"), *row)
-    laid = references.unionByName(parsed).repartition("s_piece", "copy").sortWithinPartitions("s_piece", "copy", "role")
+    asked = dealt.select("piece", "s_piece", "copy", F.lit(1).alias("role"), "low", "high")
+    whole = blocks.select(F.col("s_piece").alias("piece"), "s_piece", F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"), F.lit(0).alias("role"), F.lit(0).alias("low"), F.lit(2 * PIECE + 4 * window).alias("high"))
+    pieces = _pieces(texts, checkpointed(asked.select("piece").unionByName(whole.select("piece")).distinct()), window)
+    stretch = F.when(F.col("role") == 0, F.col("text")).otherwise(F.array_join(F.expr("slice(split(text, ' '), low + 1, high - low)"), " "))
+    laid = asked.unionByName(whole).join(pieces.hint("merge"), "piece").select("s_piece", "copy", "role", "doc", "t1", (F.col("part") * PIECE + F.col("low")).alias("base"), stretch.alias("text"))
+    laid = laid.repartition("s_piece", "copy").sortWithinPartitions("s_piece", "copy", "role")
     fields = _longs("doc", "t1", "low", "high")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +282,7 @@ def duplicate_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
             start, stop, first = words_of(data, offsets, WORD)
             words = word_hashes(data, start, stop)
             hashes = _window_hashes(words, window)
-            source, doc, t1, number, role = (part.column(c).to_numpy() for c in ("s_piece", "doc", "t1", "part", "role"))
+            source, doc, t1, base, role = (part.column(c).to_numpy() for c in ("s_piece", "doc", "t1", "base", "role"))
             found: list[tuple[int, int, int]] = []
             for i in range(part.num_rows):
                 a, b = int(first[i]), int(first[i + 1])
@@ -274,7 +298,7 @@ def duplicate_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                     found += [(i, x, y) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
             if found:
                 row, low, high = np.array(found).T
-                yield _record([doc[row], t1[row], low + number[row] * PIECE, high + number[row] * PIECE], fields)
+                yield _record([doc[row], t1[row], low + base[row], high + base[row]], fields)
 
     return laid.mapInArrow(parse, fields)
 

@@ -57,6 +57,14 @@ def test_small_pieces_and_shared_blocks(spark, docs_of, monkeypatch):
     assert run(docs_of(rows), 7) == brute(rows, 7)
 
 
+def test_a_passage_in_several_pieces_of_long_texts(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", 8)
+    rng = random.Random(9)
+    passages = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9, 16))) for _ in range(5)]
+    rows = [(i, " ".join(rng.choice([*passages, *(p.replace(rng.choice("abc"), "x") for p in passages), f"{i} own", "some words"]) for _ in range(30))) for i in range(25)]
+    assert run(docs_of(rows), 6) == brute(rows, 6)
+
+
 def test_contract_and_odd_rows(spark, docs_of):
     odd = odd_rows()
     rows = [*odd, (9, next(t for i, t in odd if i == 6)[1000:]), (11, "alpha beta " + " ".join(f"word{i % 977} the of" for i in range(50)))]
