@@ -1,11 +1,16 @@
-"""Nearest vectors for a stated set of queries, in blocks."""
+"""Nearest vectors for a stated set of queries, in blocks or in cells."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tesserae.session import settled
 
 BLOCK_ROWS = 4096
 
@@ -47,3 +52,125 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
     best = held.unionByName(asked).groupBy("block", "q_block").applyInArrow(product, "query long, id long, similarity double")
     order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+#: Cells at most, however many rows there are; pivots are collected and sent to all tasks.
+MOST_CELLS = 512
+#: What a similarity of 6 places may miss of its bound.
+_SLACK = 2e-6
+
+
+def _units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return _matrix(column if isinstance(column, pa.ChunkedArray) else pa.chunked_array([column]))
+
+
+def in_cells(vectors: DataFrame, vector_col: str = "v", cells: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(rows with cell and far, pivots): each row in the cell of its nearest pivot, far away from it (Euclidean, of unit vectors).
+
+    Pivots are the rows whose vectors have the least hashes, about the square root of the rows and MOST_CELLS at
+    most: a bounded sample, on which no result depends. Zero vectors are in cell -1. The rows are computed once.
+    """
+    n = vectors.count()
+    wanted = cells or int(np.clip(np.sqrt(n), 1, MOST_CELLS))
+    chosen = vectors.select(vector_col, F.xxhash64(vector_col).alias("hash")).orderBy("hash").limit(wanted).toArrow()
+    units = _units(chosen.column(vector_col)) if chosen.num_rows else np.zeros((0, 1))
+    pivots = units[(units != 0).any(axis=1)]
+    schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _units(batch.column(vector_col)) if batch.num_rows else np.zeros((0, pivots.shape[1]))
+            cell, far = np.full(len(unit), -1, np.int32), np.zeros(len(unit))
+            some = (unit != 0).any(axis=1)
+            if some.any():
+                away = np.sqrt(np.maximum(0, 2 - 2 * unit[some] @ pivots.T))
+                cell[some], far[some] = away.argmin(axis=1), away.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=schema.names)
+
+    return settled(vectors.mapInArrow(assign, schema)), pivots
+
+
+def _best_of_cells(held: DataFrame, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """query, id, similarity: of each query (query, v, cell) and each of its cells the ``k`` best rows (id, v, cell) in each block of the cell."""
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))  # noqa: E731  a row for each cell
+    held = held.join(F.broadcast(blocks(asked, "q_blocks")), "cell").select(F.col("id").alias("of"), "v", "cell", F.lit(False).alias("asks"), F.xxhash64("id").alias("hash"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)).alias("q_block"))
+    sizes = F.broadcast(blocks(held.filter("q_block = 0"), "n_blocks"))
+    held = held.join(sizes, "cell").select("of", "v", "cell", "asks", F.pmod("hash", "n_blocks").alias("block"), "q_block")
+    asked = asked.join(sizes, "cell").join(F.broadcast(blocks(asked, "q_blocks")), "cell")
+    asked = asked.select(F.col("query").alias("of"), "v", "cell", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), "q_blocks").alias("q_block"))
+
+    def product(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        q, r = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+        none = np.zeros(0, np.int64)
+        query, found, similar = none, none, np.zeros(0)
+        if q.num_rows and r.num_rows:
+            ids = r.column("of").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            s = np.round(_matrix(q.column("v")) @ _matrix(r.column("v"))[order].T, 6)
+            first = np.argsort(-s, axis=1, kind="stable")[:, :k]  # of equals the least id
+            query, found, similar = np.repeat(q.column("of").to_numpy(), first.shape[1]), ids[first].ravel(), np.take_along_axis(s, first, 1).ravel()
+        return pa.table([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(similar, pa.float64())], names=["query", "id", "similarity"])
+
+    return held.unionByName(asked).groupBy("cell", "block", "q_block").applyInArrow(product, "query long, id long, similarity double")
+
+
+def cells_to_read(asked: DataFrame, floors: DataFrame, sizes: list, pivots: np.ndarray) -> DataFrame:
+    """query, v, cell: the cells other than its own that a query must read.
+
+    A row of a cell is at least as far from the query as the pivot is, less the cell's radius; where that is too
+    far for the similarity that the query's own cell gives (floor, none where it holds too few), the cell is skipped.
+    ``sizes`` has cell, near and far (least and greatest distance from the pivot) of each cell.
+    """
+    cells = sorted(r.cell for r in sizes if r.cell >= 0)
+    near, far = ({r.cell: r[c] for r in sizes} for c in ("near", "far"))
+    inner, outer = np.array([near[c] for c in cells]), np.array([far[c] for c in cells])
+    zero = any(r.cell < 0 for r in sizes)
+    schema = T.StructType([T.StructField("query", T.LongType()), asked.schema["v"], T.StructField("cell", T.IntegerType())])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = _units(batch.column("v"))
+            floor = batch.column("floor").fill_null(-2.0).to_numpy(zero_copy_only=False)
+            away = np.sqrt(np.maximum(0, 2 - 2 * unit @ pivots[cells].T)) if cells else np.zeros((len(unit), 0))
+            least = np.maximum(0, np.maximum(away - outer, inner - away))
+            bound = np.where((unit != 0).any(axis=1)[:, None], 1 - least**2 / 2, 0.0)
+            if zero:
+                bound = np.hstack([bound, np.zeros((len(unit), 1))])
+            names = np.array([*cells, *([-1] if zero else [])], np.int32)
+            reads = (bound >= floor[:, None] - _SLACK) & (names != batch.column("cell").to_numpy()[:, None])
+            row, which = np.nonzero(reads)
+            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(names[which])], names=schema.names)
+
+    return asked.join(floors, "query", "left").select("query", "v", "cell", "floor").mapInArrow(choose, schema)
+
+
+def nearest_by_cells(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``nearest``, exact too, for very many queries: a query reads only the cells that can hold one of its ``k`` nearest.
+
+    Equal vectors are searched once, by the least of their ids, and each gives its k + 1 least ids; so a vector
+    that a third of the rows has is one row of its cell. A query's own cell is read first. Large cells, and many
+    queries of one, are dealt to blocks of ``block_rows``. Rows with a null id or without a vector are left out; ids are distinct.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q")).filter((F.size("v") > 0) & F.col("id").isNotNull())
+    rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "v")).alias("r"), F.bool_or("q").alias("asks"))
+    held, pivots = in_cells(classes.select(F.col("r.id").alias("id"), F.col("r.v").alias("v"), "asks", "h1", "h2"), cells=cells)
+    asked = held.filter("asks").select(F.col("id").alias("query"), "v", "cell")
+    sizes = held.groupBy("cell").agg(F.min("far").alias("near"), F.max("far").alias("far")).collect()  # a row for each cell
+    own = settled(_best_of_cells(held, asked, k + 1, block_rows))
+    best = lambda df, n: df.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))).filter(F.col("nth") <= n)
+    floors = best(own, k + 1).filter(F.col("nth") == k + 1).select("query", F.col("similarity").alias("floor"))
+    others = settled(cells_to_read(asked, floors, sizes, pivots))
+    found = best(own.unionByName(_best_of_cells(held, others, k + 1, block_rows)), k + 1).drop("nth")
+
+    names = held.select(F.col("id").alias("least"), "h1", "h2")
+    members = rows.join(names, ["h1", "h2"]).select("least", "id", "q")
+    firsts = members.select(F.col("least").alias("id"), F.col("id").alias("member")).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("member"))).filter(F.col("nth") <= k + 1).drop("nth")
+    listed = best(found.join(firsts, "id").select("query", F.col("member").alias("id"), "similarity"), k + 1).drop("nth")
+    held_lists = listed.groupBy(F.col("query").alias("least")).agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("less"), "id"))).alias("near"))  # k + 1 at most
+    each = members.filter("q").join(held_lists, "least").select(F.col("id").alias("query"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+    return each.select("query", F.posexplode("near").alias("at", "x")).select("query", "x.id", (-F.col("x.less")).alias("similarity"), (F.col("at") + 1).alias("rank"))

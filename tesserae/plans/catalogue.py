@@ -165,6 +165,15 @@ def cosine_topk(spark, sf_dir):
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 10)
 
 
+@query(
+    """with s as (select a.vec_id as query, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.vec_id <> b.vec_id)
+select query, id, similarity, rank from (select *, row_number() over (partition by query order by similarity desc, id) as rank from s) where rank <= 5"""
+)
+def cosine_neighbours(spark, sf_dir):
+    """Five nearest vectors of every row, by cells."""
+    return vectors.nearest_by_cells(table(spark, sf_dir, "embeddings"), F.lit(True), 5)
+
+
 _ROUTES = """o as (select o_custkey, count(*) as n, max(epoch_us(o_orderdate)) as last from orders group by o_custkey),
 c as (select c_custkey as id, c_mktsegment as query, c_acctbal, coalesce(n, 0) as n, coalesce(last, 0) as last from customer left join o on o_custkey = c_custkey),
 routes as (select query, id, 'balance' as route, row_number() over (partition by query order by c_acctbal desc, id) as rank from c
