@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from tesserae.functions import scoring, vector
 from tesserae.functions import text as t
 from tesserae.operators import filters, ingest, integrity, lexical, ranking, rollups, state, stats, vectors
 from tesserae.plans import planner
-from tesserae.session import settled, spread, table
+from tesserae.session import checkpoint_folder, settled, spread, table
+from tesserae.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -685,3 +687,37 @@ def extracted_facts(spark, sf_dir):
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("My name is "), F.col("c_name"), F.lit(". I work as a "), F.lower("c_mktsegment"), F.lit(" buyer. I live in place "), F.col("c_nationkey").cast("string")).alias("text")
     )
     return ingest.verify(ingest.extract(turns.unionByName(said), "id", "text", NOW_MS))
+
+
+# ---- streams ----
+
+
+def _replayed(spark, sf_dir, columns: list[str], job) -> DataFrame:
+    """What ``job`` emits while the events come in four micro-batches by time and a row of user -1 a year later ends them; at times as in UTC."""
+    utc = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")).alias("ts")
+    rows = table(spark, sf_dir, "events").filter("user_id is not null and ts is not null").select("user_id", utc, *columns)
+    return jobs.replayed(spark, rows, "ts", 4, job, f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}", {"user_id": -1})
+
+
+@query(
+    """with e as (select user_id, ts, value, coalesce(ts >= lag(ts) over w + interval 6 hours, true) as fresh from events window w as (partition by user_id order by ts)),
+s as (select user_id, ts, value, sum(fresh::int) over (partition by user_id order by ts) as session from e)
+select user_id, epoch_us(min(ts)) // 1000 as start_ms, epoch_us(max(ts)) // 1000 as end_ms, count(*) as n, round(sum(value), 4) as total from s group by user_id, session"""
+)
+def user_sessions(spark, sf_dir):
+    """Sessions of each user, six hours apart or more, by a stream with merging windows."""
+    found = _replayed(spark, sf_dir, ["value"], lambda s: jobs.sessions(s, "user_id", "ts", "6 hours", value="value"))
+    return found.filter("user_id >= 0").select("user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """with e as (select user_id, ts, event_type, epoch_us(ts) // 1000 as ms, coalesce(epoch_us(ts) // 1000 > lag(epoch_us(ts) // 1000) over w + 86400000, true) as fresh from events window w as (partition by user_id order by ts, event_type)),
+s as (select *, sum(fresh::int) over (partition by user_id order by ts, event_type) as run from e),
+l as (select *, row_number() over (partition by user_id, run order by ts desc, event_type desc) as back, count(*) over (partition by user_id, run) as n from s)
+select user_id, ms as last_ms, event_type, n, ms + 86400000 as expired_ms from l where back = 1"""
+)
+def user_expiries(spark, sf_dir):
+    """Each time a user did nothing for a day, with the last event before; by a stream whose state has a time to live."""
+    with jobs.rocksdb_state(spark):
+        found = _replayed(spark, sf_dir, ["event_type"], lambda s: jobs.expiries(s, "user_id", "ts", "event_type", "1 day"))
+    return found.filter("key <> '-1'").select(F.col("key").cast("long").alias("user_id"), "last_ms", F.col("value").alias("event_type"), "n", "expired_ms")
