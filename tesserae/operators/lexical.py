@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from tesserae.session import settled
 
 K1, B = 1.2, 0.75
+#: Impact levels of a term's postings, and the share of the floor that may be left unread.
+LEVELS, UNREAD = 32, 0.5
+#: What a sum may miss of a bound: scores are compared at 6 places.
+SLACK = 2e-6
 
 
 def postings(docs: DataFrame, tokens: str = "tokens", doc: str = "id", shard: str = "owner") -> DataFrame:
-    """shard, doc, term, tf, doc_len: one row for each distinct term of each document. Documents without terms have none."""
-    terms = docs.select(F.col(shard).alias("shard"), F.col(doc).alias("doc"), F.size(tokens).alias("doc_len"), F.explode(tokens).alias("term"))
-    return terms.groupBy("shard", "doc", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """shard, doc, term, tf, doc_len: one row for each distinct term of each document. Documents without terms have none.
+
+    Terms are counted within their document's row, by the ends of runs of equal ones in the sorted array; nothing is shuffled.
+    """
+    ends = F.expr("filter(sequence(1, size(sorted_)), i -> i = size(sorted_) or sorted_[i - 1] <> sorted_[i])")
+    counted = F.expr("transform(ends_, (e, i) -> struct(sorted_[e - 1] as term, cast(e - if(i = 0, 0, ends_[i - 1]) as bigint) as tf))")
+    own = docs.select(F.col(shard).alias("shard"), F.col(doc).alias("doc"), F.size(tokens).alias("doc_len"), F.sort_array(tokens).alias("sorted_")).filter("doc_len > 0")
+    return own.withColumn("ends_", ends).select("shard", "doc", "doc_len", F.inline(counted)).select("shard", "doc", "doc_len", "term", "tf")
 
 
 def corpus_stats(docs: DataFrame, tokens: str = "tokens", shard: str = "owner", active: str = "status = 'active'") -> DataFrame:
@@ -34,7 +43,8 @@ def search(posting: DataFrame, queries: DataFrame, stats: DataFrame, limit: int,
 
     Postings are first cut to the terms that are asked for; each posting's weight then depends on its
     term alone and is summed for each (query, document). Ties go by doc. ``allowed`` (doc) and ``min_score``
-    narrow what is returned; the statistics stay those of all.
+    narrow what is returned; the statistics stay those of all. Every posting of a query's terms is scored, which is
+    the shortest way for long queries, whose floors are low; ``search_by_impact`` skips what cannot matter.
     """
     asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
     hit = settled(posting.join(asked.select("term").distinct(), "term", "left_semi"))  # also gives df
@@ -51,3 +61,70 @@ def search(posting: DataFrame, queries: DataFrame, stats: DataFrame, limit: int,
     keys = ["query", "shard"] if per_shard else ["query"]
     order = Window.partitionBy(*keys).orderBy(F.round(F.col("raw"), 6).desc(), F.col("doc"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query", "shard", "doc", "score", "rank")
+
+
+def impacts(posting: DataFrame, terms: DataFrame, stats: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """shard, doc, term, w, level: the postings of ``terms`` (term) with their weights.
+
+    A term's postings are ordered by impact in LEVELS levels, for a weight is its idf times a share of K1 + 1
+    at most; the level needs no sort. Statistics are those of all postings; ``allowed`` (doc) then narrows them.
+    """
+    hit = settled(posting.join(terms.select("term").distinct(), "term", "left_semi"))  # also gives df
+    n, length = F.col("n_docs").cast("double"), F.col("total_len") / F.greatest(F.lit(1), F.col("n_docs"))
+    # A row for each term of a shard that is asked for, with what it weighs; only this small relation meets the statistics.
+    known = hit.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df")).join(stats.select(F.col("shard").alias("of_"), "n_docs", "total_len"), F.col("shard").eqNullSafe(F.col("of_")))
+    known = settled(known.select("shard", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), length.alias("mean_len")))
+    share = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
+    if allowed is not None:
+        hit = settled(hit.join(allowed.select("doc").distinct(), "doc", "left_semi"))
+    return hit.join(known, ["shard", "term"]).select("shard", "doc", "term", (F.col("idf") * (K1 + 1) * share).alias("w"), F.least(F.floor(share * LEVELS), F.lit(LEVELS - 1)).cast("int").alias("level"))
+
+
+def blocks_of(rated: DataFrame) -> DataFrame:
+    """shard, term, blocks: of each term the blocks (level, least, most, n) from the lowest to the highest: their least and greatest weights and their postings."""
+    blocks = rated.groupBy("shard", "term", "level").agg(F.min("w").alias("least"), F.max("w").alias("most"), F.count(F.lit(1)).alias("n"))
+    return blocks.groupBy("shard", "term").agg(F.array_sort(F.collect_list(F.struct("level", "least", "most", "n"))).alias("blocks"))  # LEVELS at most
+
+
+def blocks_to_read(blocks: DataFrame, asked: DataFrame, limit: int, keys: list[str]) -> DataFrame:
+    """query, shard, term, level, n, floor, missed: the blocks that each query (query, term) reads.
+
+    floor is a score that the query's ``limit``-th best document reaches, told by the blocks alone: where the
+    highest blocks of a term hold ``limit`` postings, so many documents have the least weight in them or
+    more, and the best of the terms counts. Of each term the blocks whose weights are no more than an equal part
+    of UNREAD times the floor are skipped. A document has one posting of a term, so what it can have in
+    skipped blocks, missed, is the sum of the terms' greatest weights there, which is below the floor. Without a floor all are read.
+    """
+    higher = "aggregate(slice(blocks, i + 1, size(blocks)), 0L, (a, b) -> a + b.n)"
+    reached = F.expr(f"filter(transform(blocks, (x, i) -> struct({higher} as held, x.least as least)), y -> y.held >= {limit})")
+    known = blocks.withColumn("sure", F.array_max(F.transform(reached, lambda y: y["least"])))
+    own = Window.partitionBy("query", "shard")
+    met = asked.join(known, "term").withColumns({"floor": F.max("sure").over(Window.partitionBy(*keys)) - SLACK, "n_terms": F.count(F.lit(1)).over(own)})
+    low = lambda b: F.coalesce(b["most"] * F.col("n_terms") <= UNREAD * F.col("floor"), F.lit(False))
+    met = met.withColumn("missed", F.sum(F.coalesce(F.array_max(F.transform(F.filter("blocks", low), lambda b: b["most"])), F.lit(0.0))).over(own))
+    return met.select("query", "shard", "term", "floor", "missed", F.inline(F.filter("blocks", lambda b: ~low(b)))).drop("least", "most")
+
+
+def search_by_impact(posting: DataFrame, queries: DataFrame, stats: DataFrame, limit: int, per_shard: bool = True, allowed: DataFrame | None = None, min_score: float = 0.0) -> DataFrame:
+    """As ``search``, row for row, for short queries over long postings: blocks that cannot bring a document among the best aren't read.
+
+    Postings are cut to the terms that are asked for and lie in blocks by impact (``impacts``). The blocks'
+    bounds give a floor under the score of the ``limit``-th best document; blocks so low that all of them
+    together stay below it are not read (``blocks_to_read``). What is read of a document bounds its score from both sides, and
+    only those whose upper bound reaches the ``limit``-th best lower one are scored whole.
+    """
+    asked = settled(queries.select("query", F.explode(F.array_distinct("terms")).alias("term")))
+    rated = impacts(posting, asked, stats, allowed)
+    keys = ["query", "shard"] if per_shard else ["query"]
+    wanted = blocks_to_read(settled(blocks_of(rated)), asked, limit, keys).drop("n")
+    read = rated.join(wanted, ["shard", "term", "level"]).groupBy("query", "shard", "doc").agg(F.sum("w").alias("seen"), F.first("missed").alias("missed"), F.first("floor").alias("floor"))
+    read = settled(read.filter(F.col("floor").isNull() | (F.col("seen") + F.col("missed") >= F.col("floor") - SLACK)).drop("floor"))
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("seen").desc()))
+    reached = read.select(*keys, "seen").withColumn("nth", best).filter(F.col("nth") <= limit).groupBy(*keys).agg(F.min("seen").alias("reached"))
+    likely = read.join(reached, keys).filter(F.col("seen") + F.col("missed") >= F.col("reached") - SLACK)
+    part = likely.filter("missed > 0").select("query", "shard", "doc")
+    whole = part.join(rated.select("shard", "doc", "term", "w"), ["shard", "doc"]).join(asked, ["query", "term"]).groupBy("query", "shard", "doc").agg(F.sum("w").alias("raw"))
+    scored = likely.filter("missed = 0").select("query", "shard", "doc", F.col("seen").alias("raw")).unionByName(whole)
+    scored = scored.withColumn("score", F.round(1 - F.exp(-F.col("raw")), 6)).filter(F.col("score") >= min_score)
+    order = Window.partitionBy(*keys).orderBy(F.round(F.col("raw"), 6).desc(), F.col("doc"))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query", "shard", "doc", "score", "rank")

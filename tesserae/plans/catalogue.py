@@ -112,10 +112,10 @@ def _holders(docs: DataFrame, items: DataFrame) -> DataFrame:
     return by_word.filter(F.contains("content", "item")).select("query", "id").unionByName(rest.select("query", "id"))
 
 
-def _search(spark, sf_dir, limit):
+def _search(spark, sf_dir, limit, search=lexical.search):
     docs = memories(spark, sf_dir).filter("status = 'active'").select("id", F.lit("all").alias("owner"), "status", t.bm25_tokens(F.col("content")).alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), t.bm25_tokens(F.col("text")).alias("terms"))
-    return lexical.search(lexical.postings(docs), asked, lexical.corpus_stats(docs), limit)
+    return search(lexical.postings(docs), asked, lexical.corpus_stats(docs), limit)
 
 
 _BM25 = f"""{_MEMORIES}, live as (select id, content, len({_TOKENS}) as doc_len, {_TOKENS} as tokens from memories where status = 'active'),
@@ -134,6 +134,12 @@ def bm25_topk(spark, sf_dir):
     return _search(spark, sf_dir, 10)
 
 
+@query(f"with {_BM25} select query, 'all' as shard, doc, score, rank from ranked where rank <= 3")
+def bm25_by_impact(spark, sf_dir):
+    """Three best documents for every benchmark item, by blocks of postings in order of impact."""
+    return _search(spark, sf_dir, 3, lexical.search_by_impact)
+
+
 @query(
     f"""with {_BM25}, pool as (select query, doc as id, rank from ranked where rank <= 10),
 rel as (select item_id as query, id from benchmark, live where contains(live.content, benchmark.text)),
