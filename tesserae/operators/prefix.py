@@ -26,3 +26,17 @@ def sums_before(ranged: DataFrame, by: list[str], order: list[Column], sums: dic
     inside = Window.partitionBy(*by, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = ranged.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in sums.items()}).join(offsets, [*by, PART])
     return rows.withColumns({n: F.col(n) + F.col(f"{n}_offset_") for n in sums}).drop(*[f"{n}_offset_" for n in sums])
+
+
+def last_before(ranged: DataFrame, by: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds to rows of ``by_ranges``, for each {name: value}, the last value that isn't null among the rows before it in its group.
+
+    As with ``sums_before`` no task holds a group; the group's columns hold no nulls. ``order`` is ascending.
+    """
+    held = ranged.withColumns({f"{n}_own_": v for n, v in values.items()})
+    ends = held.groupBy(*by, PART).agg(*[F.max_by(f"{n}_own_", F.when(F.col(f"{n}_own_").isNotNull(), F.struct(*order))).alias(f"{n}_end_") for n in values])
+    earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, PART, *[F.last(f"{n}_end_", ignorenulls=True).over(earlier).alias(f"{n}_carried_") for n in values])
+    inside = Window.partitionBy(*by, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = held.withColumns({n: F.last(f"{n}_own_", ignorenulls=True).over(inside) for n in values}).join(carried, [*by, PART])
+    return rows.withColumns({n: F.coalesce(n, f"{n}_carried_") for n in values}).drop(*[f"{n}{tail}" for n in values for tail in ("_own_", "_carried_")])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text
 from tesserae.operators import prefix
+from tesserae.session import settled
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -92,30 +93,72 @@ def effective_count(weight: str) -> Column:
     return F.least(F.count(F.lit(1)).cast("double"), F.sum(weight) * F.sum(weight) / F.sum(F.col(weight) * F.col(weight)))
 
 
+BLOCK = "key_ string, part_ int, low double, high double, positive double, total double, n long"
+
+
 def isotonic_blocks(rows: DataFrame, cohort: str, score: str, label: str, weight: str | None = None) -> DataFrame:
-    """cohort, low, high, positive, total, n: blocks of a rising step function, by pooling adjacent violators.
+    """cohort, low, high, positive, total, n: blocks of a rising step function, by pooling adjacent violators; equal means stay apart.
 
-    Ranges of scores are pooled first, each in its own task, and then the blocks that are left of a cohort:
-    pooling may take neighbours in any order.
+    Ranges of scores are pooled first, each in its own task. Then neighbours are merged in a tree: of two pooled ranges
+    a run at the end of the lower one and a run at the start of the upper one become one block, and the
+    means tell which (``_bridged``). So no task holds a cohort. A null cohort is one; rows without a score or a label count for nothing.
     """
     w = F.lit(1.0) if weight is None else F.greatest(F.lit(0.001), F.col(weight))
-    points = rows.groupBy(F.col(cohort).alias("cohort"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))).alias("s")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w).alias("tot"), F.count(F.lit(1)).alias("n"))
-    points = prefix.by_ranges(points.select("cohort", F.col("s").alias("low"), F.col("s").alias("high"), F.col("pos").alias("positive"), F.col("tot").alias("total"), "n"), ["cohort"], [F.col("low")])
+    key = F.coalesce(F.concat(F.lit("="), F.col(cohort).cast("string")), F.lit("")).alias("key_")  # no null: the key is joined
+    known = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score).cast("double")))
+    points = known.groupBy(key, at.alias("low")).agg(F.sum(w * F.col(label)).alias("positive"), F.sum(w).alias("total"), F.count(F.lit(1)).alias("n"))
+    points = prefix.by_ranges(points.select("key_", "low", F.col("low").alias("high"), "positive", "total", "n"), ["key_"], [F.col("low")])
 
     def pool(part: pd.DataFrame) -> pd.DataFrame:
         blocks: list[list] = []
         for block in part.sort_values("low")[["low", "high", "positive", "total", "n"]].itertuples(index=False):
             blocks.append(list(block))
-            while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] > blocks[-1][2] / blocks[-1][3]:
+            # Multiplied crosswise, so that counts compare exactly.
+            while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] > blocks[-1][2] * blocks[-2][3]:
                 last = blocks.pop()
                 blocks[-1][1] = last[1]
                 for k in (2, 3, 4):
                     blocks[-1][k] += last[k]
         out = pd.DataFrame(blocks, columns=["low", "high", "positive", "total", "n"])
-        return out.assign(cohort=part["cohort"].iloc[0])[["cohort", "low", "high", "positive", "total", "n"]]
+        return out.assign(key_=part["key_"].iloc[0], part_=part[prefix.PART].iloc[0])[["key_", "part_", "low", "high", "positive", "total", "n"]]
+
+    blocks = settled(points.groupBy("key_", prefix.PART).applyInPandas(pool, BLOCK))
+    last = blocks.agg(F.max("part_")).first()[0] or 0
+    width = 1
+    while width <= last:
+        blocks = settled(_bridged(blocks, width))
+        width *= 2
+    return blocks.select(F.when(F.col("key_") != "", F.expr("substring(key_, 2)")).alias("cohort"), "low", "high", "positive", "total", "n")
+
 
-    schema = "cohort string, low double, high double, positive double, total double, n long"
-    return points.groupBy("cohort", prefix.PART).applyInPandas(pool, schema).groupBy("cohort").applyInPandas(pool, schema)
+def _bridged(blocks: DataFrame, width: int) -> DataFrame:
+    """Pooled runs of ``width`` ranges (BLOCK) merged two by two.
+
+    Within a run means rise. The block that joins two runs pools the lower run's blocks with means above its own, and the upper
+    run's with means below it. For a mean v let P and T be the positives and totals of those it would
+    pool: P - vT falls as v grows, and the mean sought is where it crosses nought.
+    """
+    by = ["key_", "node_"]
+    upper = (F.floor(F.col("part_") / width) % 2) == 1
+    laid = blocks.withColumns({"node_": F.floor(F.col("part_") / (2 * width)), "upper_": upper, "mean_": F.col("positive") / F.col("total")})
+    ends = laid.groupBy(*by).agg(F.max(F.when(~upper, F.col("mean_"))).alias("top_"), F.min(F.when(upper, F.col("mean_"))).alias("least_")).filter("top_ > least_")
+    met = laid.join(ends, by).filter(F.expr("if(upper_, mean_ < top_, mean_ > least_)"))
+    side = lambda c, of: F.sum(F.when(F.col("upper_") == of, F.col(c)).otherwise(0.0))
+    means = met.groupBy(*by, "mean_").agg(
+        F.min(F.struct("total", "positive")).alias("one_"), side("positive", False).alias("pa"), side("total", False).alias("ta"), side("positive", True).alias("pb"), side("total", True).alias("tb")
+    )
+    ranged = prefix.by_ranges(means, by, [F.col("mean_")])
+    sums = ranged.groupBy(*by).agg(F.sum("pa").alias("all_pa"), F.sum("ta").alias("all_ta"))
+    before = prefix.sums_before(ranged, by, [F.col("mean_")], {f"{c}_": F.col(c) for c in ("pa", "ta", "pb", "tb")}).join(sums, by)
+    above = {c: F.col(f"all_{c}") - F.col(f"{c}_") - F.col(c) for c in ("pa", "ta")}
+    falls = (above["pa"] + F.col("pb_")) * F.col("one_.total") - F.col("one_.positive") * (above["ta"] + F.col("tb_"))
+    found = before.filter(falls >= 0).groupBy(*by).agg(F.max_by(F.struct((above["pa"] + F.col("pb_") + F.col("pb")).alias("p"), (above["ta"] + F.col("tb_") + F.col("tb")).alias("t")), "mean_").alias("at_"))
+    gap = F.col("positive") * F.col("at_.t") - F.col("at_.p") * F.col("total")
+    judged = laid.join(found, by, "left").withColumn("pooled_", F.coalesce(F.when(F.col("upper_"), gap < 0).otherwise(gap > 0), F.lit(False)))
+    columns = ["key_", "part_", "low", "high", "positive", "total", "n"]
+    pooled = judged.filter("pooled_").groupBy(*by).agg(F.min("part_").alias("part_"), F.min("low").alias("low"), F.max("high").alias("high"), *[F.sum(c).alias(c) for c in ("positive", "total", "n")])
+    return judged.filter(~F.col("pooled_")).select(*columns).unionByName(pooled.select(*columns))
 
 
 def nearest_rank(values: str, q: float) -> Column:
