@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scoring, vector
 from tesserae.functions import text as t
-from tesserae.operators import filters, ingest, integrity, lexical, ranking, rollups, state, stats, vectors
+from tesserae.operators import filters, ingest, integrity, lexical, ranking, retrievals, rollups, state, stats, upkeep, vectors
 from tesserae.plans import planner
 from tesserae.session import checkpoint_folder, settled, spread, table
 from tesserae.streaming import jobs
@@ -680,8 +680,17 @@ def adaptive_topk(spark, sf_dir):
     return ranking.adaptive_top(ranked, plans)
 
 
-@query()
+@query(
+    f"""with {_JUDGED}, p as (select lang as cohort, p as s, sum(quality)::bigint as y, count(*)::bigint as n from judged where quality is not null and p is not null group by 1, 2),
+c as (select *, row_number() over w as i, sum(y) over w as cy, sum(n) over w as cn from p window w as (partition by cohort order by s)),
+l as (select b.cohort, b.i, max((b.cy - a.cy + a.y) / (b.cn - a.cn + a.n)) as before from c b join c a on a.cohort = b.cohort and a.i <= b.i group by 1, 2),
+r as (select b.cohort, b.i, min((a.cy - b.cy) / (a.cn - b.cn)) as behind from c b join c a on a.cohort = b.cohort and a.i > b.i group by 1, 2),
+k as (select c.*, coalesce(sum((behind is null or before <= behind)::int) over (partition by c.cohort order by c.i rows between unbounded preceding and 1 preceding), 0) as block
+ from c join l on l.cohort = c.cohort and l.i = c.i left join r on r.cohort = c.cohort and r.i = c.i)
+select cohort, min(s) as low, max(s) as high, sum(y)::double as positive, sum(n)::double as total, sum(n)::bigint as n from k group by cohort, block"""
+)
 def isotonic_calibration(spark, sf_dir):
+    """Blocks of a rising step function for each language: cut wherever no mean up to there exceeds a mean from there on."""
     return stats.isotonic_blocks(_judged(spark, sf_dir), "lang", "p", "quality")
 
 
@@ -727,3 +736,86 @@ def user_expiries(spark, sf_dir):
     with jobs.rocksdb_state(spark):
         found = _replayed(spark, sf_dir, ["event_type"], lambda s: jobs.expiries(s, "user_id", "ts", "event_type", "1 day"))
     return found.filter("key <> '-1'").select(F.col("key").cast("long").alias("user_id"), "last_ms", F.col("value").alias("event_type"), "n", "expired_ms")
+
+
+# ---- stores kept up by batches ----
+
+#: Where the clicks are cut, by arrival, into the batches that a store gets.
+CUTS = ["2024-01-20 00:00:00", "2024-03-01 12:00:00", None]
+_SEEN = """seen as (select distinct click_id, ts, arrived_at, client_id, kind, case when json_valid(props) then json_extract_string(props, '$.k') end as k,
+ case when json_valid(props) then list_sort(list_distinct(list_filter(json_extract_string(props, '$.items[*].sku'), lambda x: x is not null))) end as skus from clicks)"""
+
+
+def _clicks(spark, sf_dir) -> DataFrame:
+    """Clicks with what their JSON tells of them (nothing where it is broken)."""
+    told = F.from_json("props", "k string, items array<struct<sku string>>")
+    return table(spark, sf_dir, "clicks").select("click_id", "ts", "arrived_at", "client_id", "kind", told["k"].alias("k"), told["items"]["sku"].alias("skus"))
+
+
+def _between(rows: DataFrame, low: str | None, high: str | None) -> DataFrame:
+    at = F.col("arrived_at").cast("timestamp_ntz")
+    kept = rows if low is None else rows.filter(at > F.lit(low).cast("timestamp_ntz"))
+    return kept if high is None else kept.filter(at <= F.lit(high).cast("timestamp_ntz"))
+
+
+@query(
+    f"""with {_SEEN}, v as (select click_id, client_id, k, arrived_at, skus from seen where kind = 'view' and client_id is not null and k is not null),
+r as (select click_id as report, client_id, k, arrived_at, kind, skus from seen where kind in ('purchase', 'signup', 'error') and client_id is not null and k is not null),
+u as (select client_id, k, arrived_at, click_id as id, click_id as view_id from v union all select client_id, k, arrived_at, report, null from r),
+f as (select id as report, arrived_at, last_value(view_id ignore nulls) over (partition by client_id, k order by arrived_at, id rows between unbounded preceding and current row) as event, view_id from u),
+m as (select f.event, r.* from f join r on r.report = f.report where f.view_id is null and f.event is not null qualify row_number() over (partition by f.event order by r.arrived_at desc, r.report desc) = 1)
+select v.click_id as id, v.client_id::varchar as scope, sha256(v.k) as query_hash, coalesce(array_to_string(v.skus, ','), '') as retrieved, m.report,
+ coalesce(case when m.kind = 'purchase' then array_to_string(m.skus, ',') end, '') as adopted, coalesce(case when m.kind = 'signup' then array_to_string(m.skus, ',') end, '') as corrected,
+ coalesce(case when m.kind = 'error' then array_to_string(m.skus, ',') end, '') as denied from v left join m on m.event = v.click_id"""
+)
+def retrieval_outcomes(spark, sf_dir):
+    """Views as retrievals with what the last report on each says; in batches by arrival, the second one delivered twice and the third with rows of the second."""
+    rows = _clicks(spark, sf_dir).filter("client_id is not null and k is not null")
+    common = ["click_id as id", "cast(client_id as string) as scope", "arrived_at as at"]
+    hashed = retrievals.query_hash(F.col("k")).alias("query_hash")
+    views = lambda df: df.filter("kind = 'view'").select(*map(F.expr, common), hashed, retrievals.fact_set(F.col("skus")).alias("retrieved"))
+    kinds = {"adopted": "purchase", "corrected": "signup", "denied": "error"}
+    told = lambda df: df.filter(F.col("kind").isin(list(kinds.values()))).select(*map(F.expr, common), hashed, *[F.when(F.col("kind") == k, F.col("skus")).alias(o) for o, k in kinds.items()])
+    folder = f"{checkpoint_folder(spark)}/retrievals-{uuid.uuid4().hex}"
+    for number, low, high in ((0, None, CUTS[0]), (1, CUTS[0], CUTS[1]), (1, CUTS[0], CUTS[1]), (2, "2024-02-28 00:00:00", None)):
+        part = _between(rows, low, high)
+        retrievals.deliver(spark, folder, number, views(part), told(part), slices=16)
+    joined = [F.array_join(c, ",").alias(c) for c in ("retrieved", *retrievals.OUTCOMES)]
+    return retrievals.stored(spark, folder).select("id", "scope", "query_hash", "report", *joined)
+
+
+def _kept_up(spark, sf_dir) -> str:
+    """The folder of a rollup of clicks by day that three increments and a run without news have kept up."""
+    rows = _clicks(spark, sf_dir).filter("ts is not null").select("click_id", "ts", "arrived_at", "k", F.date_format("ts", "yyyy-MM-dd").alias("bucket"))
+    folder = f"{checkpoint_folder(spark)}/upkeep-{uuid.uuid4().hex}"
+    build = lambda m: m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_episodes"), F.countDistinct("k").alias("n_facts"), F.min("ts").alias("first_recorded"), F.max("ts").alias("last_recorded"), *upkeep.digest("click_id"))
+    for cut in [*CUTS, None]:
+        upkeep.advance(spark, folder, _between(rows, None, cut), "click_id", "arrived_at", "bucket", build, slices=16)
+    return folder
+
+
+_RUNS = f"""runs as (select * from (values (0, timestamp '{CUTS[0]}'), (1, timestamp '{CUTS[1]}'), (2, timestamp '9999-01-01'), (3, timestamp '9999-01-01')) as t(run, cut)),
+marks as (select run, cut, (select max(arrived_at) from clicks where ts is not null and arrived_at <= cut) as mark from runs),
+spans as (select run, cut, coalesce(lag(mark) over (order by run), timestamp '1000-01-01') as low, mark from marks),
+reads as (select run, click_id, strftime(ts, '%Y-%m-%d') as bucket from spans join clicks on ts is not null and arrived_at >= low and arrived_at <= mark),
+firsts as (select click_id, bucket, min(run) as run from reads group by 1, 2)"""
+
+
+@query(
+    f"""with {_SEEN}, {_RUNS}, built as (select bucket, max(run)::int as run from firsts group by 1)
+select strftime(ts, '%Y-%m-%d') as bucket, count(*) as n_episodes, count(distinct k) as n_facts, min(ts) as first_recorded, max(ts) as last_recorded, any_value(run) as run
+from seen join built on bucket = strftime(ts, '%Y-%m-%d') where ts is not null group by 1"""
+)
+def kept_up_rollup(spark, sf_dir):
+    """Clicks by day, kept up over four runs: late rows build an older day again; ``run`` is the one that built a day last."""
+    return upkeep.artifacts(spark, _kept_up(spark, sf_dir), "bucket").drop("members_hash")
+
+
+@query(
+    f"""with {_RUNS}, t as (select distinct run, bucket from reads), b as (select distinct run, bucket from firsts)
+select run::int as run, (select count(*) from reads r where r.run = s.run) as rows_read, (select count(*) from t where t.run = s.run) as touched,
+ (select count(*) from firsts f join t on t.bucket = f.bucket and t.run = s.run where f.run <= s.run) as members, (select count(*) from b where b.run = s.run) as rebuilt, 0::bigint as waiting from spans s"""
+)
+def upkeep_runs(spark, sf_dir):
+    """What each of the four runs read and built: later ones only the days that new rows touch, the last one none."""
+    return upkeep.runs(spark, _kept_up(spark, sf_dir)).drop("mark")

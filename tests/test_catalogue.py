@@ -57,5 +57,5 @@ def test_isotonic_blocks_rise(spark):
 
 
 def test_queries_without_sql_are_known(spark):
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"planner_batch", "local_embeddings", "diverse_topk", "adaptive_topk", "isotonic_calibration", "extracted_facts"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"planner_batch", "local_embeddings", "diverse_topk", "adaptive_topk", "extracted_facts"}
     assert catalogue.QUERIES["extracted_facts"](spark, SF).count() > 0
