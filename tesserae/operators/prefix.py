@@ -28,15 +28,21 @@ def sums_before(ranged: DataFrame, by: list[str], order: list[Column], sums: dic
     return rows.withColumns({n: F.col(n) + F.col(f"{n}_offset_") for n in sums}).drop(*[f"{n}_offset_" for n in sums])
 
 
-def last_before(ranged: DataFrame, by: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
-    """Adds to rows of ``by_ranges``, for each {name: value}, the last value that isn't null among the rows before it in its group.
+def last_before(ranged: DataFrame, by: list[str], order: list[str], values: dict[str, Column], firsts: dict[str, Column] | None = None) -> DataFrame:
+    """Adds to rows of ``by_ranges``, for each {name: value}, the last value that isn't null among the rows before it in its group;
+    of ``firsts`` the first such value.
 
     As with ``sums_before`` no task holds a group; the group's columns hold no nulls. ``order`` is ascending.
     """
-    held = ranged.withColumns({f"{n}_own_": v for n, v in values.items()})
-    ends = held.groupBy(*by, PART).agg(*[F.max_by(f"{n}_own_", F.when(F.col(f"{n}_own_").isNotNull(), F.struct(*order))).alias(f"{n}_end_") for n in values])
+    firsts = firsts or {}
+    both = {**values, **firsts}
+    end = lambda n: F.min_by if n in firsts else F.max_by
+    over = lambda n, c, w: (F.first if n in firsts else F.last)(c, ignorenulls=True).over(w)
+    held = ranged.withColumns({f"{n}_own_": v for n, v in both.items()})
+    ends = held.groupBy(*by, PART).agg(*[end(n)(f"{n}_own_", F.when(F.col(f"{n}_own_").isNotNull(), F.struct(*order))).alias(f"{n}_end_") for n in both])
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*by, PART, *[F.last(f"{n}_end_", ignorenulls=True).over(earlier).alias(f"{n}_carried_") for n in values])
+    carried = ends.select(*by, PART, *[over(n, f"{n}_end_", earlier).alias(f"{n}_carried_") for n in both])
     inside = Window.partitionBy(*by, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = held.withColumns({n: F.last(f"{n}_own_", ignorenulls=True).over(inside) for n in values}).join(carried, [*by, PART])
-    return rows.withColumns({n: F.coalesce(n, f"{n}_carried_") for n in values}).drop(*[f"{n}{tail}" for n in values for tail in ("_own_", "_carried_")])
+    rows = held.withColumns({n: over(n, f"{n}_own_", inside) for n in both}).join(carried, [*by, PART])
+    found = {n: F.coalesce(f"{n}_carried_", n) if n in firsts else F.coalesce(n, f"{n}_carried_") for n in both}
+    return rows.withColumns(found).drop(*[f"{n}{tail}" for n in both for tail in ("_own_", "_carried_")])

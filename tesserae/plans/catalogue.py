@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scoring, vector
 from tesserae.functions import text as t
-from tesserae.operators import filters, ingest, integrity, lexical, ranking, retrievals, rollups, state, stats, upkeep, vectors
+from tesserae.operators import chains, filters, ingest, integrity, lexical, ranking, retrievals, rollups, state, stats, upkeep, vectors
 from tesserae.plans import planner
 from tesserae.session import checkpoint_folder, settled, spread, table
 from tesserae.streaming import jobs
@@ -229,6 +229,50 @@ def linear_fusion(spark, sf_dir):
     return m.select("id", F.round(score, 6).alias("score"))
 
 
+# ---- the write path of single-valued keys ----
+
+_CHAINS = """w as (select *, lower(content) as same from told),
+p as (select *, row_number() over o as nth, last_value(case when sure then same end ignore nulls) over b as set_, first_value(same) over o as first_ from w
+ window o as (partition by owner, key order by seq, id, same, begins, confidence, sure), b as (partition by owner, key order by seq, id, same, begins, confidence, sure rows between unbounded preceding and 1 preceding)),
+q as (select *, case when nth = 1 then null when set_ is null then first_ else set_ end as prior from p),
+r as (select *, case when prior is null then 'added' when prior = same then 'refreshed' when sure then 'replaced' else 'conflicted' end as outcome from q),
+s as (select *, last_value(case when outcome <> 'conflicted' then begins end ignore nulls) over (partition by owner, key order by nth rows between unbounded preceding and 1 preceding) as since from r),
+final as (select owner, key, arg_max(same, nth) as active from s where outcome <> 'conflicted' group by owner, key),
+own as (select owner, key, same, arg_min(id, nth) as id, arg_min(content, nth) as content, max(confidence) as confidence, arg_max(begins, nth) as start, arg_max(outcome, nth) as outcome,
+ arg_max(moment, nth) as written, arg_max(prior, nth) filter (where outcome = 'replaced') as ended, count(*) as n_writes from s group by owner, key, same),
+ends as (select owner, key, prior as same, arg_max(greatest(begins, since + 1), nth) as stop, arg_max(moment, nth) as ended_at from s where outcome = 'replaced' group by owner, key, prior),
+rows_ as (select own.*, stop, ended_at, case when own.same = active then 'active' when own.outcome = 'conflicted' then 'conflicted' else 'superseded' end as status
+ from own join final using (owner, key) left join ends using (owner, key, same))
+select r.owner, r.key, r.id, r.content, r.confidence, r.start, r.status, case when r.status <> 'active' then r.stop end as stop, e.id as supersedes,
+ case when r.status = 'superseded' then r.ended_at else r.written end as updated, r.n_writes from rows_ r left join own e on e.owner = r.owner and e.key = r.key and e.same = r.ended"""
+
+
+@query(
+    f"""with told as (select client_id as owner, key, seq, change_id as id, key || ': ' || value as content, confidence, confidence >= 0.8 as sure, coalesce(epoch_ms(valid_at), 0) as moment, coalesce(epoch_ms(valid_at), 0) as begins
+ from (select *, case source when 'crm' then 0.95 when 'store' then 0.9 when 'partner' then 0.7 else 0.5 end::double as confidence, unnest(['segment', 'city']) as key, unnest([segment, city]) as value from client_changes where op <> 'D')
+ where value is not null and client_id is not null and seq is not null and change_id is not null), {_CHAINS}"""
+)
+def client_facts(spark, sf_dir):
+    """What is held of each client's segment and city after all changes: a source that isn't sure doesn't replace what is held."""
+    source = F.when(F.col("source") == "crm", 0.95).when(F.col("source") == "store", 0.9).when(F.col("source") == "partner", 0.7).otherwise(0.5)
+    told = table(spark, sf_dir, "client_changes").filter("op <> 'D'").withColumn("confidence", source)
+    told = told.select("client_id", "seq", "change_id", "valid_at", "confidence", F.explode(F.create_map(F.lit("segment"), "segment", F.lit("city"), "city")).alias("key", "value"))
+    told = told.select(F.col("client_id").alias("owner"), F.lit("shop").alias("agent"), "key", "seq", F.col("change_id").alias("id"), F.concat("key", F.lit(": "), "value").alias("content"), "confidence", F.unix_millis(F.col("valid_at").cast("timestamp")).alias("at"))
+    return chains.state(chains.writes(told)).drop("agent")
+
+
+@query(
+    f"""with told as (select o_custkey as owner, 'order status' as key, epoch_ms(o_orderdate) as seq, o_orderkey as id, 'order status: ' || o_orderstatus as content, case when o_orderpriority < '4' then 0.9 else 0.4 end::double as confidence,
+ o_orderpriority < '4' as sure, epoch_ms(o_orderdate) as moment, epoch_ms(o_orderdate) as begins from orders where o_custkey is not null and o_orderstatus is not null and o_orderdate is not null and o_orderkey is not null), {_CHAINS}"""
+)
+def order_facts(spark, sf_dir):
+    """What is held of each customer's order status: urgent to medium orders are sure."""
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    confidence = F.when(F.col("o_orderpriority") < "4", 0.9).otherwise(0.4)
+    told = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.lit("shop").alias("agent"), F.lit("order status").alias("key"), at.alias("seq"), F.col("o_orderkey").alias("id"), F.concat(F.lit("order status: "), "o_orderstatus").alias("content"), confidence.alias("confidence"), at.alias("at"))
+    return chains.state(chains.writes(told)).drop("agent")
+
+
 # ---- duplicates ----
 
 
