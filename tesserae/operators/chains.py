@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
 from tesserae.operators import prefix
+from tesserae.session import settled
 
 #: Fixed value: the confidence from which a write replaces what is held without being told to.
 SURE = 0.8
@@ -56,14 +57,20 @@ def state(written: DataFrame) -> DataFrame:
     n_writes how many there were.
     """
     order = F.struct(*ORDER)
-    nothing = {"content": "string", "confidence": "double", "begins": "long", "outcome": "string", "ended": "string", "stop": "long"}
-    own = written.select(*BY, "same", order.alias("own"), F.lit(None).cast(_kind(written, order)).alias("end"), "id", "at", "content", "confidence", "begins", "outcome",
-                         F.when(F.col("outcome") == "replaced", F.col("prior")).alias("ended"), F.lit(None).cast("long").alias("stop"))
-    ends = written.filter("outcome = 'replaced'").select(*BY, F.col("prior").alias("same"), F.lit(None).cast(_kind(written, order)).alias("own"), order.alias("end"),
-        F.lit(None).cast(written.schema["id"].dataType).alias("id"), "at", *[F.lit(None).cast(k).alias(c) for c, k in nothing.items() if c != "stop"],
-        F.greatest(F.col("begins"), F.col("since") + 1).alias("stop"))
+    kinds = {"own": _kind(written, order), "end": _kind(written, order), "id": written.schema["id"].dataType, "at": "long", "content": "string", "confidence": "double",
+             "begins": "long", "outcome": "string", "ended": "string", "stop": "long"}
+
+    def act(same: str, **fields: Column) -> Column:
+        """What a write does to a memory; what it says nothing of is null."""
+        return F.struct(F.col(same).alias("same"), *[fields.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+    told = {c: F.col(c) for c in ("id", "at", "content", "confidence", "begins", "outcome")}
+    own = act("same", own=order, ended=F.when(F.col("outcome") == "replaced", F.col("prior")), **told)
+    end = F.when(F.col("outcome") == "replaced", act("prior", end=order, at=F.col("at"), stop=F.greatest(F.col("begins"), F.col("since") + 1)))
+    # Both in one pass, so that the scans behind ``written`` run once.
+    acts = written.select(*BY, F.explode(F.array_compact(F.array(own, end))).alias("act_")).select(*BY, "act_.*")
     first, last = (lambda c: F.min_by(c, "own")), (lambda c: F.max_by(c, "own"))
-    rows = own.unionByName(ends).groupBy(*BY, "same").agg(
+    rows = acts.groupBy(*BY, "same").agg(
         first("id").alias("id"), first("content").alias("content"), F.max("confidence").alias("confidence"), last("begins").alias("start"), last("outcome").alias("outcome"),
         F.max("own").alias("own"), F.max("end").alias("end"), last("at").alias("written"), F.max_by("at", "end").alias("ended_at"), F.max_by("stop", "end").alias("stop"),
         F.max_by("ended", F.when(F.col("ended").isNotNull(), F.col("own"))).alias("ended"), F.count("own").alias("n_writes"),
@@ -72,6 +79,7 @@ def state(written: DataFrame) -> DataFrame:
     status = F.when(over, "superseded").when(F.col("outcome") == "conflicted", "conflicted").otherwise("active")
     rows = rows.select(*BY, "same", "id", "content", "confidence", "start", status.alias("status"), F.when(status != "active", F.col("stop")).alias("stop"), "ended",
                        F.when(over, F.col("ended_at")).otherwise(F.col("written")).alias("updated"), "n_writes")
+    rows = settled(rows)
     # What was ended is named by its own row's id: the larger side stays on the left, where a hot key can be split.
     named = rows.select(*BY, F.col("same").alias("ended"), F.col("id").alias("supersedes"))
     return rows.join(named, [*BY, "ended"], "left").select(*BY, "id", "content", "confidence", "start", "status", "stop", "supersedes", "updated", "n_writes")
