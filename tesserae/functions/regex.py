@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _WORD = "[A-Za-z0-9_]"
 _BORDER = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
@@ -9,3 +16,42 @@ _BORDER = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 def ascii_borders(pattern: str) -> str:
     r"""``pattern`` with each ``\b`` spelled out for A-Z, a-z, 0-9 and _ only (valid for Java and Python)."""
     return pattern.replace(r"\b", _BORDER)
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The parts of ``pattern`` between the bars outside all groups and classes."""
+    parts, depth, in_class = [""], 0, False
+    for token in re.findall(r"\\.|.", pattern, re.S):
+        if token == "|" and not depth and not in_class:
+            parts.append("")
+            continue
+        in_class = token == "[" or (in_class and token != "]")
+        depth += 0 if in_class else (token == "(") - (token == ")")
+        parts[-1] += token
+    return parts
+
+
+def needed(part: str) -> str:
+    """The longest text that every match of ``part``, which has no bar outside groups, holds; maybe an empty one."""
+    runs, depth, in_class = [""], 0, False
+    for token in re.findall(r"\\.|\{[^}]*\}|.", part, re.S):
+        plain = not depth and not in_class and token not in "()[].^$+*?" and len(token) == 1
+        if token in ("?", "*") or token.startswith("{"):  # what stands before may be missing
+            runs[-1] = runs[-1][:-1]
+        in_class = token == "[" or (in_class and token != "]")
+        depth += 0 if in_class else (token == "(") - (token == ")")
+        runs[-1:] = [runs[-1] + token] if plain else [runs[-1], ""]
+    return max(runs, key=len)
+
+
+def shows(text: Column, pattern: str) -> Column:
+    """Whether ``pattern`` (with the borders of ASCII) is found in ``text``: a part that is plain text is looked for as such,
+    and another one only where the text has what all its matches hold. So most texts meet no pattern."""
+    tests = []
+    for part in alternatives(pattern):
+        held = needed(part)
+        if part and held == part:
+            tests.append(text.contains(held))
+        else:
+            tests.append((text.contains(held) & text.rlike(ascii_borders(part))) if held else text.rlike(ascii_borders(part)))
+    return functools.reduce(operator.or_, tests)

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.functions.regex import ascii_borders
+from tesserae.functions.regex import ascii_borders, shows
 
 HAN = r"[㐀-鿿]"
 
@@ -35,6 +35,10 @@ def normalize_content(text: Column, already_nfkc: bool = False) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f\x7f]+", " "), r"[\s 　]+", " ")), 1, 1000)
 
 
+#: Fixed value: white space beyond ASCII's, as in a class of a pattern.
+SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
@@ -118,11 +122,10 @@ def polarity(text: Column) -> Column:
 
 
 def escaped(text: Column) -> Column:
-    """For use within markup: & < > escaped, control characters dropped, at most 1000 characters."""
-    text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    """For use within markup: & < > escaped, runs of control characters and white space as one space, at most 1000 characters."""
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(raw), F.lit(entity))
-    return F.substring(text, 1, 1000)
+    return F.substring(F.trim(F.regexp_replace(text, f"[\\x00-\\x1f\\x7f{SPACES}]+", " ")), 1, 1000)
 
 
 def citations(text: Column) -> Column:
@@ -256,5 +259,6 @@ CONCEPTS: tuple[tuple[str, str], ...] = (
 
 def concepts(text: Column) -> Column:
     """The names of the concepts that the text shows, in the order of CONCEPTS."""
-    tested = F.lower(text)
-    return F.filter(F.array(*[F.when(tested.rlike(ascii_borders(p)), F.lit(c)) for c, p in CONCEPTS]), lambda c: c.isNotNull())
+    shown = lambda tested: F.filter(F.array(*[F.when(shows(tested, p), F.lit(c)) for c, p in CONCEPTS]), lambda c: c.isNotNull())
+    # As a lambda's argument the text is lowered once, not for each pattern.
+    return F.get(F.transform(F.array(F.lower(text)), shown), 0)

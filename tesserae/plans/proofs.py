@@ -1,6 +1,6 @@
 """One registered query for each operator that no query over the driver tables shows, named by the operator's id.
 
-The rows are small fixtures, written as VALUES that Spark and DuckDB read alike, or driver tables. The SQL
+The text queries read all documents; the rows of others are small fixtures, written as VALUES that Spark and DuckDB read alike, or driver tables. The SQL
 says what an operator means without its code; where SQL can't (planning, extraction, ranking as a whole), it
 holds the rows expected by the specification.
 """
@@ -71,12 +71,15 @@ TEXTS = rows_of(
     ],
 )
 _WORDS, _HAN = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')", "regexp_extract_all(coalesce(text, ''), '[㐀-鿿]')"
-_TEXT_SQL = f"""x as ({TEXTS}), words as (select id, text, {_WORDS} as w, {_HAN} as h from x),
+_TEXT_ROWS = f"select doc_id as id, text from documents union all select -id as id, text from ({TEXTS}) f"
+_TEXT_SQL = f"""x as ({_TEXT_ROWS}), words as (select id, text, {_WORDS} as w, {_HAN} as h from x),
 p as (select *, [h[i] || h[i + 1] for i in range(1, len(h))] as b from words)"""
 
 
-def _texts(spark) -> DataFrame:
-    return spark.sql(TEXTS)
+def _texts(spark, sf_dir) -> DataFrame:
+    """All documents, and below zero the texts above, for what no document holds."""
+    rare = spark.sql(TEXTS).select((-F.col("id")).cast("long").alias("id"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(rare)
 
 
 def _joined(c) -> F.Column:
@@ -87,7 +90,7 @@ def _per_text(name: str, sql: str, column) -> None:
     """A query with one column over the texts."""
 
     def run(spark, sf_dir):
-        return _texts(spark).select("id", column().alias("value"))
+        return _texts(spark, sf_dir).select("id", column().alias("value"))
 
     run.__name__ = name
     proof(f"with {_TEXT_SQL} select id, {sql} as value from p")(run)
@@ -124,7 +127,7 @@ _per_text(
 _per_text("T13_clean_value", r"""trim(regexp_replace(regexp_replace(trim(text), '^[“”"‘’]+|[“”"‘’]+$', '', 'g'), '\s+', ' ', 'g'))""", lambda: t.clean_value(F.col("text")))
 _per_text("T16_fact_key", r"lower(regexp_replace(regexp_replace(text, '\s+', '', 'g'), '[，。！？,.!?]', '', 'g'))", lambda: t.fact_key(F.col("text")))
 _per_text("T19_character_cost", r"least(1000, length(trim(regexp_replace(text, '\s+', ' ', 'g'))))::int", lambda: t.character_cost(F.col("text")))
-_per_text("T20_escaped", "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')", lambda: t.escaped(F.col("text")))
+_per_text("T20_escaped", r"left(trim(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[\x00-\x20\x7f\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')), 1000)", lambda: t.escaped(F.col("text")))
 _per_text("T21_citations", r"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '(?i)\[(M\d{1,3})\]', 1), lambda v: upper(v)))), ' ')", lambda: _joined(F.array_sort(t.citations(_some()))))
 _per_text("T23_stable_id", "sha256(concat('fact', chr(0), coalesce(text, '')))", lambda: t.stable_id(F.lit("fact"), _some()))
 _INJECTION = r"ignore\s+(all\s+)?(previous\s+)?instructions?|system\s*prompt|developer\s+message|忽略.{0,12}(规则|指令|提示词|系统)|(执行|运行).{0,12}(命令|脚本)"
