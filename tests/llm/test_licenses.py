@@ -134,3 +134,30 @@ def test_ten_thousand_notices_of_one_text(line):
     assert time.time() - began < 15
     assert len({e["license"] for e in found}) == 1 and found[0]["license"]
     assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_compression_chooses_what_is_compared_and_loses_nothing_confirmed(monkeypatch):
+    scanner, rng = licenses.Scanner(licenses.TEMPLATES), random.Random(17)
+    prose = [f"{a}{b}" for a in ("on", "er", "the", "in") for b in ("tion", "ble", "shire", "and")]
+    for k, own in enumerate(scanner.words):
+        for _ in range(60):
+            out = set(rng.sample(range(len(own)), rng.randint(0, len(own) // 10)))
+            body = [w for j, w in enumerate(own) if j not in out]
+            for _ in range(rng.randint(0, licenses.spare(own))):
+                body.insert(rng.randint(1, max(1, len(body) - 1)), rng.choice(prose))
+            around = [rng.choice([prose, scanner.words[rng.randrange(len(scanner.words))]]) for _ in range(2)]
+            window = [rng.choice(around[0]) for _ in range(rng.randint(0, scanner.reach[k]))] + body * rng.randint(1, 2) + [rng.choice(around[1]) for _ in range(rng.randint(0, len(own)))]
+            if scanner.compare(window, k)[0] >= licenses.COVER:
+                assert scanner.saved(window, k) >= licenses.LEAST_SAVED, (k, window)
+
+    text = "The license talk.\nReleased under the MIT License.\nWhoever has permission may go on.\n"
+    seen, compare = [], scanner.compare
+    monkeypatch.setattr(scanner, "compare", lambda window, k: seen.append((tuple(window), k)) or compare(window, k))
+    assert [e["license"] for e in scanner.entries(text)] == ["MIT"]
+    assert seen and all(scanner.saved(list(w), k) >= licenses.LEAST_SAVED for w, k in seen)
+    # Where nothing saves enough, nothing is compared, whatever words there are.
+    seen.clear()
+    monkeypatch.setattr(licenses, "LEAST_SAVED", 2.0)
+    other = licenses.Scanner(licenses.TEMPLATES)
+    monkeypatch.setattr(other, "compare", lambda window, k: seen.append(k) or compare(window, k))
+    assert [e["license"] for e in other.entries(text)] == [None] and not seen
