@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from tesserae.session import settled
 
 BLOCK_ROWS = 4096
-
+#: Queries that a task multiplies at a time, and rows of (query, cell, vector) that it hands on at once; they bound a task's memory, not the result.
+STEP = 256
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.combine_chunks()
@@ -42,11 +43,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
         out: list[tuple[int, int, float]] = []
         if q.num_rows and r.num_rows:
             ids, q_ids = r.column("id").to_numpy(), q.column("id").to_numpy()
-            similar = np.round(_matrix(q.column("v")) @ _matrix(r.column("v")).T, 6)
-            for i, own in enumerate(q_ids.tolist()):
-                order = np.lexsort((ids, -similar[i]))
-                order = order[ids[order] != own][:k]
-                out += [(own, int(ids[j]), float(similar[i, j])) for j in order]
+            asked_units, held_units = _matrix(q.column("v")), _matrix(r.column("v"))
+            for first in range(0, len(q_ids), STEP):
+                similar = np.round(asked_units[first : first + STEP] @ held_units.T, 6)
+                for i, own in enumerate(q_ids[first : first + STEP].tolist()):
+                    order = np.lexsort((ids, -similar[i]))
+                    order = order[ids[order] != own][:k]
+                    out += [(own, int(ids[j]), float(similar[i, j])) for j in order]
         return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["query", "id", "similarity"])
 
     best = held.unionByName(asked).groupBy("block", "q_block").applyInArrow(product, "query long, id long, similarity double")
@@ -64,6 +67,13 @@ def _units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return _matrix(column if isinstance(column, pa.ChunkedArray) else pa.chunked_array([column]))
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of STEP rows at most, an empty one as it is."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), STEP):
+            yield batch.slice(at, STEP)
+
+
 def in_cells(vectors: DataFrame, vector_col: str = "v", cells: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """(rows with cell and far, pivots): each row in the cell of its nearest pivot, far away from it (Euclidean, of unit vectors).
 
@@ -78,7 +88,7 @@ def in_cells(vectors: DataFrame, vector_col: str = "v", cells: int | None = None
     schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             unit = _units(batch.column(vector_col)) if batch.num_rows else np.zeros((0, pivots.shape[1]))
             cell, far = np.full(len(unit), -1, np.int32), np.zeros(len(unit))
             some = (unit != 0).any(axis=1)
@@ -90,6 +100,18 @@ def in_cells(vectors: DataFrame, vector_col: str = "v", cells: int | None = None
     return settled(vectors.mapInArrow(assign, schema)), pivots
 
 
+def _first(similar: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's ``k`` greatest values, the greatest first, of equals the first: only what reaches the k-th is sorted."""
+    n = similar.shape[1]
+    if n <= 4 * k:
+        return np.argsort(-similar, axis=1, kind="stable")[:, :k]
+    least = np.partition(similar, n - k, axis=1)[:, n - k]
+    row, place = np.nonzero(similar >= least[:, None])
+    order = np.lexsort((place, -similar[row, place], row))
+    starts = np.searchsorted(row, np.arange(len(similar)))
+    return place[order][starts[:, None] + np.arange(k)]
+
+
 def _best_of_cells(held: DataFrame, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
     """query, id, similarity: of each query (query, v, cell) and each of its cells the ``k`` best rows (id, v, cell) in each block of the cell."""
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))  # noqa: E731  a row for each cell
@@ -108,9 +130,14 @@ def _best_of_cells(held: DataFrame, asked: DataFrame, k: int, block_rows: int) -
             ids = r.column("of").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            s = np.round(_matrix(q.column("v")) @ _matrix(r.column("v"))[order].T, 6)
-            first = np.argsort(-s, axis=1, kind="stable")[:, :k]  # of equals the least id
-            query, found, similar = np.repeat(q.column("of").to_numpy(), first.shape[1]), ids[first].ravel(), np.take_along_axis(s, first, 1).ravel()
+            asked_units, held_units = _matrix(q.column("v")), _matrix(r.column("v"))[order]
+            places, values = [], []
+            for at in range(0, len(asked_units), STEP):
+                s = np.round(asked_units[at : at + STEP] @ held_units.T, 6)
+                places.append(_first(s, k))  # of equals the least id
+                values.append(np.take_along_axis(s, places[-1], 1))
+            first = np.concatenate(places)
+            query, found, similar = np.repeat(q.column("of").to_numpy(), first.shape[1]), ids[first].ravel(), np.concatenate(values).ravel()
         return pa.table([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(similar, pa.float64())], names=["query", "id", "similarity"])
 
     return held.unionByName(asked).groupBy("cell", "block", "q_block").applyInArrow(product, "query long, id long, similarity double")
@@ -130,7 +157,7 @@ def cells_to_read(asked: DataFrame, floors: DataFrame, sizes: list, pivots: np.n
     schema = T.StructType([T.StructField("query", T.LongType()), asked.schema["v"], T.StructField("cell", T.IntegerType())])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches):
             if not batch.num_rows:
                 continue
             unit = _units(batch.column("v"))
@@ -143,7 +170,9 @@ def cells_to_read(asked: DataFrame, floors: DataFrame, sizes: list, pivots: np.n
             names = np.array([*cells, *([-1] if zero else [])], np.int32)
             reads = (bound >= floor[:, None] - _SLACK) & (names != batch.column("cell").to_numpy()[:, None])
             row, which = np.nonzero(reads)
-            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(names[which])], names=schema.names)
+            for at in range(0, len(row), 16 * STEP):  # a query may read all cells, each time with its vector
+                of = pa.array(row[at : at + 16 * STEP])
+                yield pa.RecordBatch.from_arrays([batch.column("query").take(of), batch.column("v").take(of), pa.array(names[which[at : at + 16 * STEP]])], names=schema.names)
 
     return asked.join(floors, "query", "left").select("query", "v", "cell", "floor").mapInArrow(choose, schema)
 

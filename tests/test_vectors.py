@@ -65,3 +65,24 @@ def test_far_cells_are_skipped(spark):
     floors = asked.select("query", F.lit(0.95).alias("floor"))
     read = vectors.cells_to_read(asked, floors, sizes, pivots).count()
     assert read < 0.4 * len(rows) * (len(sizes) - 1)
+
+
+def test_what_a_task_holds_does_not_follow_its_batch(monkeypatch):
+    """Products, and the rows handed on, are made in steps; ties by place as in a stable sort."""
+    rng = np.random.default_rng(4)
+    similar = np.round(rng.normal(size=(40, 300)), 1)
+    assert np.array_equal(vectors._first(similar, 7), np.argsort(-similar, axis=1, kind="stable")[:, :7])
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["id"])
+    parts = list(vectors._steps(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= vectors.STEP and sum(p.num_rows for p in parts) == 1000
+
+
+@pytest.mark.parametrize("step", [1, 7])
+def test_steps_change_nothing(spark, monkeypatch, step):
+    monkeypatch.setattr(vectors, "STEP", step)
+    rows = made(np.random.default_rng(8), 300)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    same(found(vectors.nearest_by_cells(df, F.col("vec_id") % 3 == 0, 5, cells=6, block_rows=40)), brute(rows, lambda i: i % 3 == 0, 5))
+    same(found(vectors.nearest(df, F.col("vec_id") % 30 == 0, 5, block_rows=40)), brute(rows, lambda i: i % 30 == 0, 5))
