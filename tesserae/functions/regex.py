@@ -6,6 +6,8 @@ import functools
 import operator
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,20 @@ def shows(text: Column, pattern: str) -> Column:
         else:
             tests.append((text.contains(held) & text.rlike(ascii_borders(part))) if held else text.rlike(ascii_borders(part)))
     return functools.reduce(operator.or_, tests)
+
+
+def finder(patterns: tuple[tuple[str, str], ...]) -> Callable[[str], list[str]]:
+    """What gives the names of those ``patterns`` (name, pattern in lower case) that are found in a text in lower case, whatever case the pattern would
+    have passed over: as in ``shows`` plain text is looked for as such, and other parts only where the text has what their matches hold."""
+    rules = []
+    for name, pattern in patterns:
+        parts = [p for p in alternatives(pattern) if p]
+        plain = [p for p in parts if needed(p) == p]
+        rules.append((name, plain, [(needed(p), re.compile(ascii_borders(p))) for p in parts if p not in plain], re.compile(ascii_borders(pattern), re.I)))
+
+    def found(text: str) -> list[str]:
+        if "\u0131" in text or "\u017f" in text:  # other forms of i and s, which a pattern that passes over case takes for them
+            return [name for name, _, _, whole in rules if whole.search(text)]
+        return [name for name, plain, others, _ in rules if any(p in text for p in plain) or any(held in text and p.search(text) for held, p in others)]
+
+    return found

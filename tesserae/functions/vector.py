@@ -5,14 +5,16 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.functions.regex import ascii_borders
+from tesserae.functions.regex import finder
 from tesserae.functions.text import CONCEPTS
 
 DIMENSIONS = 384
@@ -51,7 +53,9 @@ def fnv1a(value: Column) -> Column:
 
 
 _WORD, _HAN = re.compile("[a-z0-9]+"), re.compile("[㐀-鿿]")
-_RULES = [(name, re.compile(ascii_borders(pattern), re.I)) for name, pattern in CONCEPTS]
+_SHOWN = finder(CONCEPTS)
+#: Tokens whose hashes a task remembers, and texts that it embeds at a time; they bound its memory, not the result.
+MOST_HASHES, STEP = 50_000, 256
 
 
 def embedding_tokens(text: str) -> list[str]:
@@ -60,7 +64,7 @@ def embedding_tokens(text: str) -> list[str]:
     words, han = _WORD.findall(text), _HAN.findall(text)
     tokens = [f"w:{w}" for w in words] + [f"g:{w[i : i + 3]}" for w in words if len(w) >= 4 for i in range(len(w) - 2)]
     tokens += [f"c:{c}" for c in han] + [f"b:{a}{b}" for a, b in itertools.pairwise(han)]
-    return tokens + [f"s:{name}" for name, p in _RULES if p.search(text) for _ in range(CONCEPT_WEIGHT)]
+    return tokens + [f"s:{name}" for name in _SHOWN(text) for _ in range(CONCEPT_WEIGHT)]
 
 
 def _fnv1a(token: str) -> int:
@@ -73,12 +77,19 @@ def _fnv1a(token: str) -> int:
 def embed_text(text: str | None, dimensions: int = DIMENSIONS, hashes: dict[str, int] | None = None) -> np.ndarray:
     """A signed feature hash of the text's tokens, of length one (zero without tokens); ``hashes`` keeps what was hashed before."""
     hashes = {} if hashes is None else hashes
-    v = np.zeros(dimensions)
-    for token in embedding_tokens(text or ""):
+    counted = Counter(embedding_tokens(text or ""))
+    if not counted:
+        return np.zeros(dimensions)
+    held = np.empty(len(counted), np.int64)
+    for i, token in enumerate(counted):
         h = hashes.get(token)
         if h is None:
+            if len(hashes) >= MOST_HASHES:
+                hashes.clear()
             h = hashes[token] = _fnv1a(token)
-        v[h % dimensions] += -1.0 if h >> 31 else 1.0
+        held[i] = h
+    times = np.fromiter(counted.values(), np.float64, len(counted))
+    v = np.bincount(held % dimensions, np.where(held >> 31, -times, times), dimensions)
     n = np.sqrt((v * v).sum())
     return v / n if n else v
 
@@ -86,8 +97,12 @@ def embed_text(text: str | None, dimensions: int = DIMENSIONS, hashes: dict[str,
 def local_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """``embed_text`` of a column: no model and no network."""
 
-    def embed(texts: pd.Series) -> pd.Series:
-        hashes: dict[str, int] = {}  # of one batch
-        return pd.Series([embed_text(t, dimensions, hashes) for t in texts])
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes: dict[str, int] = {}
+        for texts in batches:
+            for at in range(0, max(1, len(texts)), STEP):
+                rows = [embed_text(t, dimensions, hashes) for t in texts[at : at + STEP].to_pylist()]
+                flat = np.concatenate(rows) if rows else np.zeros(0)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dimensions, pa.int32()), pa.array(flat))
 
-    return F.pandas_udf(embed, T.ArrayType(T.DoubleType()))(text)
+    return F.arrow_udf(embed, T.ArrayType(T.DoubleType()))(text)

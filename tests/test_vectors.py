@@ -86,3 +86,28 @@ def test_steps_change_nothing(spark, monkeypatch, step):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     same(found(vectors.nearest_by_cells(df, F.col("vec_id") % 3 == 0, 5, cells=6, block_rows=40)), brute(rows, lambda i: i % 3 == 0, 5))
     same(found(vectors.nearest(df, F.col("vec_id") % 30 == 0, 5, block_rows=40)), brute(rows, lambda i: i % 30 == 0, 5))
+
+
+def test_embedding_remembers_few_hashes_and_finds_concepts_as_their_patterns_do(spark, monkeypatch):
+    import random
+    import re
+
+    from tesserae.functions import text, vector
+    from tesserae.functions.regex import ascii_borders, finder
+
+    monkeypatch.setattr(vector, "MOST_HASHES", 10)
+    hashes = {}
+    words = [f"word{i} cat{i}" for i in range(300)]
+    a = vector.embed_text(" ".join(words), hashes=hashes)
+    assert len(hashes) <= 10 and np.array_equal(a, vector.embed_text(" ".join(words)))
+
+    rng, found = random.Random(2), finder(text.CONCEPTS)
+    whole = [(name, re.compile(ascii_borders(p), re.I)) for name, p in text.CONCEPTS]
+    bits = [b for _, p in text.CONCEPTS for b in re.findall(r"\w+", p)] + [" ", "-", "\n", "s", "ı"]
+    for _ in range(800):
+        told = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25))).lower()
+        assert found(told) == [name for name, p in whole if p.search(told)], told
+
+    rows = [(i, None if i == 3 else f"text {i} my dog {i}") for i in range(600)]
+    got = spark.createDataFrame(rows, "i long, t string").select("i", vector.local_embedding(F.col("t")).alias("e")).collect()
+    assert len(got) == 600 and all(np.array_equal(r.e, vector.embed_text(rows[r.i][1])) for r in got)
