@@ -46,17 +46,46 @@ def needed(part: str) -> str:
     return max(runs, key=len)
 
 
-def shows(text: Column, pattern: str) -> Column:
+_HAN = re.compile("[㐀-鿿]")
+
+
+def held_by(part: str) -> list[str]:
+    """Texts of which every match of ``part`` holds one; none where no such texts are known."""
+    if held := needed(part):
+        return [held]
+    first = re.match(r"\(\?:([^()\[\]\\.^$+*?{}]+)\)(?![?*{])", part)  # a group of plain texts that must be there
+    return first[1].split("|") if first and all(first[1].split("|")) else []
+
+
+def quick(part: str) -> str:
+    """``part`` with the borders of ASCII; a plain word between borders is looked for before its borders are."""
+    word = re.fullmatch(r"\\b([a-z0-9_]+)\\b", part)
+    return f"{word[1]}(?<!{_WORD}{word[1]})(?!{_WORD})" if word else ascii_borders(part)
+
+
+def shows(text: Column, pattern: str, han: Column | None = None) -> Column:
     """Whether ``pattern`` (with the borders of ASCII) is found in ``text``: a part that is plain text is looked for as such,
-    and another one only where the text has what all its matches hold. So most texts meet no pattern."""
-    tests = []
-    for part in alternatives(pattern):
-        held = needed(part)
-        if part and held == part:
-            tests.append(text.contains(held))
+    and another one only where the text has what all its matches hold. So most texts meet no pattern. ``han`` says whether the
+    text has Han characters; without any, parts that need some are left out."""
+    plain, with_han = [], []
+    for part in filter(None, alternatives(pattern)):
+        held = held_by(part)
+        if held == [part]:
+            test = text.contains(part)
+        elif held:
+            test = functools.reduce(operator.or_, map(text.contains, held)) & text.rlike(quick(part))
         else:
-            tests.append((text.contains(held) & text.rlike(ascii_borders(part))) if held else text.rlike(ascii_borders(part)))
-    return functools.reduce(operator.or_, tests)
+            test = text.rlike(quick(part))
+        (with_han if held and all(map(_HAN.search, held)) else plain).append(test)
+    if han is None or not with_han:
+        return functools.reduce(operator.or_, plain + with_han)
+    return functools.reduce(operator.or_, [*plain, han & functools.reduce(operator.or_, with_han)])
+
+
+def lowered(text: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """``test(the text in lower case, whether it has Han characters)``; both are made once, however often the test names them."""
+    both = F.struct(F.lower(text).alias("low"), text.rlike(_HAN.pattern).alias("han"))
+    return F.get(F.transform(F.array(both), lambda b: test(b["low"], b["han"])), 0)
 
 
 def finder(patterns: tuple[tuple[str, str], ...]) -> Callable[[str], list[str]]:

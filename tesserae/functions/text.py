@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.functions.regex import ascii_borders, shows
+from tesserae.functions.regex import ascii_borders, lowered, shows
 
 HAN = r"[㐀-鿿]"
 
@@ -259,6 +259,4 @@ CONCEPTS: tuple[tuple[str, str], ...] = (
 
 def concepts(text: Column) -> Column:
     """The names of the concepts that the text shows, in the order of CONCEPTS."""
-    shown = lambda tested: F.filter(F.array(*[F.when(shows(tested, p), F.lit(c)) for c, p in CONCEPTS]), lambda c: c.isNotNull())
-    # As a lambda's argument the text is lowered once, not for each pattern.
-    return F.get(F.transform(F.array(F.lower(text)), shown), 0)
+    return lowered(text, lambda low, han: F.filter(F.array(*[F.when(shows(low, p, han), F.lit(c)) for c, p in CONCEPTS]), lambda c: c.isNotNull()))

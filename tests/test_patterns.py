@@ -37,3 +37,25 @@ def test_escaped(spark):
     """Entities first, then white space and controls to one space, then the cut."""
     rows = spark.createDataFrame([(" a<b&\x00\x01 c>\n\n d ",), ("　x  y﻿",), (None,), ("",), ("&" * 400,), ("é" * 5000,)], "text string")
     assert [r[0] for r in rows.select(t.escaped(F.col("text"))).collect()] == ["a&lt;b&amp; c&gt; d", "x y", None, "", "&amp;" * 200, "é" * 1000]
+
+
+def _wordings(patterns, n, seed):
+    """Texts made of the patterns' own words, in whatever case, with Han characters or without."""
+    import random
+
+    rng = random.Random(seed)
+    bits = [b for p in patterns for b in re.findall(r"\w+|[㐀-鿿]", p)] + [" ", " ", "_", "\n", "@", ".", "a@b.io", "13912345678", "1" * 18, "İ", "my", "12", "X"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 18))) for _ in range(n)]
+
+
+def test_parts_are_tried_only_where_a_text_holds_what_they_need(spark):
+    """concepts: Han parts are left out of texts without Han characters, plain words are found before their borders."""
+    from tesserae.functions import regex
+    from tesserae.functions import text as t
+
+    assert regex.held_by(r"(?:food|drug).{0,20}avoid") == ["avoid"] and regex.held_by(r"(?:food|medicine|drug).{0,20}(?:avoid|cannot\s+use)") == ["food", "medicine", "drug"]
+    assert regex.held_by(r"(?:a|b)?(?:c|d)") == [] and regex.quick(r"\bcat\b").startswith("cat")
+    texts = _wordings([p for _, p in t.CONCEPTS], 500, 3)
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", t.concepts(F.col("t")).alias("c")).collect()
+    for r in got:
+        assert r.c == [n for n, p in t.CONCEPTS if re.search(regex.ascii_borders(p), texts[r.i].lower())], texts[r.i]
