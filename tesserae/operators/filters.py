@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesserae.functions.regex import ascii_borders
+from tesserae.functions.regex import ascii_borders, lowered, shows
 
 
 def in_scope(owner: str, agent: str | None = "default", session: str | None = None) -> Column:
@@ -98,7 +98,9 @@ PRIVATE = (
 
 
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
-    return text.rlike("(?i)" + "|".join(f"(?:{ascii_borders(p)})" for p in patterns))
+    """Whether one of the patterns, which are in lower case, is found in whatever case; a text whose lower case is longer than itself meets them as it is."""
+    whole = text.rlike("(?i)" + "|".join(f"(?:{ascii_borders(p)})" for p in patterns))
+    return F.when(text.contains("İ"), whole).otherwise(lowered(text, lambda low, han: shows(low, "|".join(patterns), han)))
 
 
 def safe_content(text: Column) -> Column:

@@ -59,3 +59,16 @@ def test_parts_are_tried_only_where_a_text_holds_what_they_need(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", t.concepts(F.col("t")).alias("c")).collect()
     for r in got:
         assert r.c == [n for n, p in t.CONCEPTS if re.search(regex.ascii_borders(p), texts[r.i].lower())], texts[r.i]
+
+
+def test_privacy_wordings_are_tried_only_where_a_text_holds_what_they_need(spark):
+    from tesserae.functions import regex
+    from tesserae.operators import filters
+
+    for patterns in (filters.PRIVATE, filters.SECRET, filters.INJECTION, (filters.IMAGE_MEMORY,)):
+        whole = re.compile("|".join(regex.ascii_borders(p) for p in patterns), re.I | re.A)
+        texts = _wordings(patterns, 300, 5)
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", filters._any(F.col("t"), patterns).alias("found"))
+        assert "contains" in df._jdf.queryExecution().analyzed().toString().lower()
+        for r in df.collect():
+            assert r.found == bool(whole.search(texts[r.i])), (texts[r.i], patterns)
