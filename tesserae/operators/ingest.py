@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scoring
 from tesserae.functions import text as t
-from tesserae.functions.regex import ascii_borders
+from tesserae.functions.regex import ascii_borders, held_by
 from tesserae.operators import filters
 
 #: Extraction rules as (kind, label, key, cardinality, pattern with one group). _V: a value up to the next punctuation.
@@ -122,8 +122,11 @@ _UNSAFE, _SECRET = _compiled(*filters.INJECTION), _compiled(*filters.SECRET)
 _IGNORED_TEXT, _IGNORED_UNLESS_CORRECTED = _compiled(*ABOUT_TEXT), _compiled(*NON_FACTUAL, DENIED)
 _IGNORED_CLAUSE, _ASKED = _compiled(*NON_FACTUAL, *TRANSIENT, ASKING), _compiled(QUESTION_END)
 _RENAMED, _MOVED, _SETTLED, _REMEMBER, _ENDS, _COMMAS = (re.compile(ascii_borders(p), re.I) for p in (RENAMED, MOVED, SETTLED, EXPLICIT, CLAUSE_END, CLAUSE_COMMA))
-_COMPILED = [(kind, label, key, card, re.compile(ascii_borders(p), re.I), "{0}") for kind, label, key, card, p in RULES]
-_COMPILED += [(kind, label, key, card, re.compile(p), form) for kind, label, key, card, p, form in COMPOSED]
+#: Each rule with texts of which every match of it holds one (in lower case), if any are known.
+_COMPILED = [(kind, label, key, card, re.compile(ascii_borders(p), re.I), "{0}", held_by(p)) for kind, label, key, card, p in RULES]
+_COMPILED += [(kind, label, key, card, re.compile(p), form, held_by(p)) for kind, label, key, card, p, form in COMPOSED]
+#: Other forms of i and s, which a pattern that passes over case takes for them.
+_FORMS = str.maketrans("İıſ", "iis")
 
 
 def _clean(value: str | None) -> str:
@@ -166,9 +169,9 @@ def _corrections(text: str, now: int) -> Iterator[Fact]:
 
 def _told(clause: str) -> Iterator[Fact]:
     """What the rules find in a clause; where none does, what it expressly asks to remember."""
-    hit = False
-    for kind, label, key, card, pattern, form in _COMPILED:
-        if m := pattern.search(clause):
+    hit, low = False, clause.translate(_FORMS).lower()
+    for kind, label, key, card, pattern, form, held in _COMPILED:
+        if (not held or any(h in low for h in held)) and (m := pattern.search(clause)):
             groups = [_clean(g) for g in m.groups()]
             if all(groups) and not _UNSAFE.search(groups[-1]):
                 hit = True

@@ -72,3 +72,13 @@ def test_privacy_wordings_are_tried_only_where_a_text_holds_what_they_need(spark
         assert "contains" in df._jdf.queryExecution().analyzed().toString().lower()
         for r in df.collect():
             assert r.found == bool(whole.search(texts[r.i])), (texts[r.i], patterns)
+
+
+def test_rules_are_tried_only_where_a_clause_holds_what_they_need():
+    from tesserae.operators import ingest
+
+    for *_, pattern, form, held in ingest._COMPILED:
+        for text in _wordings([pattern.pattern], 150, 7):
+            if pattern.search(text):
+                assert not held or any(h in text.translate(ingest._FORMS).lower() for h in held), (pattern.pattern, text)
+    assert [f.content for f in ingest.facts_of("my name İs Zed. I work as a cook")] == ["User name：Zed", "User occupation：cook"]
