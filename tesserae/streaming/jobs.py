@@ -74,23 +74,28 @@ class Expiry(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "at long, value string, n long")
 
-    def _told(self, key: str, held: tuple) -> pd.DataFrame:
-        at, value, n = held
-        return pd.DataFrame({"key": [key], "last_ms": [at], "value": [value], "n": [n], "expired_ms": [at + self.ttl_ms]})
+    def _told(self, key: str, ended: list[tuple]) -> pd.DataFrame:
+        """The runs of a key that have ended, as one frame, however many there are."""
+        last, values, counts = zip(*ended, strict=True)
+        return pd.DataFrame({"key": [key] * len(ended), "last_ms": last, "value": values, "n": counts, "expired_ms": [at + self.ttl_ms for at in last]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = before = self.held.get() if self.held.exists() else None
+        held = before = self.held.get()  # none where nothing is held
+        ended: list[tuple] = []
         for part in rows:
-            part = part.sort_values([self.time, self.value], kind="stable")
+            if len(part) > 1:
+                part = part.sort_values([self.time, self.value], kind="stable")
             for at, value in zip(part["at_ms"].tolist(), part[self.value].tolist(), strict=True):
                 value = None if value is None or pd.isna(value) else str(value)
                 if held is not None and at > held[0] + self.ttl_ms:  # it had expired before this row came
-                    yield self._told(str(key[0]), held)
+                    ended.append(held)
                     held = None
                 if held is None:
                     held = (at, value, 1)
                 elif at + self.ttl_ms >= held[0]:
                     held = (at, value, held[2] + 1) if at >= held[0] else (held[0], held[1], held[2] + 1)
+        if ended:
+            yield self._told(str(key[0]), ended)
         if held is not None and held != before:
             if before is not None:
                 self.handle.deleteTimer(before[0] + self.ttl_ms)
@@ -98,10 +103,9 @@ class Expiry(StatefulProcessor):
             self.handle.registerTimer(held[0] + self.ttl_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists():
-            held = self.held.get()
+        if (held := self.held.get()) is not None:
             self.held.clear()
-            yield self._told(str(key[0]), held)
+            yield self._told(str(key[0]), [held])
 
     def close(self) -> None:
         pass

@@ -61,3 +61,39 @@ def test_state_expires_and_is_forgotten(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     job = lambda s: jobs.sessions(s, "user", "ts", "30 minutes")
     assert jobs.replayed(spark, rows_at(spark, []), "ts", 2, job, str(tmp_path), {"user": "~"}).count() == 0
+
+
+def test_runs_of_a_key_that_have_ended_are_told_in_one_frame():
+    """However many of a key's runs end with a batch, its task makes one frame of them and asks for its state once."""
+    import pandas as pd
+
+    class Value:
+        held, asked = (0, "a", 1), 0
+
+        def get(self):
+            self.asked += 1
+            return self.held
+
+        def exists(self):
+            self.asked += 1
+            return self.held is not None
+
+        def update(self, held):
+            self.held = held
+
+    class Handle:
+        timers = {10}
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    job = jobs.Expiry("ts", "what", 10)
+    job.held, job.handle = Value(), Handle()
+    part = pd.DataFrame({"ts": [400, 100, 200, 205], "at_ms": [400, 100, 200, 205], "what": ["e", "b", "c", "d"]})
+    frames = list(job.handleInputRows(("k",), iter([part]), None))
+    assert len(frames) == 1 and job.held.asked == 1
+    assert frames[0].to_dict("list") == {"key": ["k"] * 3, "last_ms": [0, 100, 205], "value": ["a", "b", "d"], "n": [1, 1, 2], "expired_ms": [10, 110, 215]}
+    assert job.held.held == (400, "e", 1) and job.handle.timers == {410}
