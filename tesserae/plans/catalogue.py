@@ -115,7 +115,8 @@ def _holders(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _search(spark, sf_dir, limit, search=lexical.search):
     docs = memories(spark, sf_dir).filter("status = 'active'").select("id", F.lit("all").alias("owner"), "status", t.bm25_tokens(F.col("content")).alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), t.bm25_tokens(F.col("text")).alias("terms"))
-    return search(lexical.postings(docs), asked, lexical.corpus_stats(docs), limit)
+    posting, known = lexical.asked_postings(docs, asked.select(F.explode("terms").alias("term")))
+    return search(posting, asked, known, limit, gathered=True)
 
 
 _BM25 = f"""{_MEMORIES}, live as (select id, content, len({_TOKENS}) as doc_len, {_TOKENS} as tokens from memories where status = 'active'),

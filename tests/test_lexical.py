@@ -65,3 +65,30 @@ def test_low_blocks_are_not_read(spark):
     read = lexical.blocks_to_read(blocks, asked, 5, ["query", "shard"]).collect()
     assert {r.term for r in read} == {f"rare{q}" for q in range(4)} and sum(r.n for r in read) < 200
     assert all(0 < r.missed < r.floor for r in read)
+
+
+def test_documents_are_scored_whole_over_small_batches(spark):
+    """Documents go on from batch to batch, copies are many, shards change within a part; what a part hands on stays small."""
+    rng = random.Random(13)
+    docs = [(i, rng.choice("uv"), "active", [f"t{rng.randrange(12)}" for _ in range(rng.randrange(0, 30))]) for i in range(200)]
+    docs += [(1000 + i, "u", "active", ["t1", "t2", "t2", "t3"]) for i in range(300)]
+    queries = [(q, rng.sample([f"t{k}" for k in range(12)], rng.randrange(1, 6))) for q in range(20)] + [(90, ["nowhere"]), (91, [""])]
+    df, asked = spark.createDataFrame(docs, DOC), spark.createDataFrame(queries, "query long, terms array<string>")
+    posting, stats = lexical.asked_postings(df, asked.select(F.explode("terms").alias("term")))
+    want_stats = lexical.corpus_stats(df).select("shard", "n_docs", "total_len")
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, want_stats.collect()))
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    assert sorted(map(tuple, posting.collect())) == sorted(map(tuple, lexical.postings(df).join(terms, "term", "left_semi").select(*posting.columns).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("3", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for per_shard in (True, False):
+                got = lexical.search(posting, asked, stats, 4, per_shard, gathered=True)
+                assert sorted((r["query"], r.shard, r.doc, round(r.score, 5), r["rank"]) for r in got.collect()) == brute(docs, queries, 4, per_shard)
+        rated = posting.filter("shard = 'u'").withColumn("w", F.col("tf").cast("double")).coalesce(1).sortWithinPartitions("shard", "doc", "term")
+        some = asked.select("query", F.explode("terms").alias("term"))
+        handed = lexical.best_of_parts(rated, some, 4).groupBy("query").count().collect()
+        assert handed and all(r["count"] < 12 for r in handed)  # of some 400 documents
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
