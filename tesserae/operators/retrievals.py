@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import prefix
+from tesserae.session import settled
 
 OUTCOMES = ["adopted", "corrected", "denied"]
 #: Rows of the log and of the changes; facts are arrays without repeats, in order.
@@ -19,7 +20,8 @@ def query_hash(query: Column) -> Column:
 
 def fact_set(facts: Column) -> Column:
     """Facts once each, in order, without nulls; of null none."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(facts.cast("array<string>"), F.array().cast("array<string>")))))
+    none = F.array().cast("array<string>")
+    return F.sort_array(F.array_except(F.coalesce(facts.cast("array<string>"), none), F.array(F.lit(None).cast("string"))))
 
 
 def matched(log: DataFrame, reports: DataFrame) -> DataFrame:
@@ -30,13 +32,15 @@ def matched(log: DataFrame, reports: DataFrame) -> DataFrame:
     third of all rows is split between tasks.
     """
     by, order = ["scope", "query_hash"], ["at", "id"]
+    hashed = ["hash_", *by]
     payload = [c for c in reports.columns if c not in (*by, *order)]
     told = reports.select(*by, *order, F.lit(None).cast("long").alias("event_"), F.struct(F.lit(True).alias("is_report_"), *payload).alias("r_"))
     empty = F.lit(None).cast(told.schema["r_"].dataType)
     rows = log.select(*by, *order, F.col("id").cast("long").alias("event_"), empty.alias("r_")).unionByName(told)
-    rows = rows.filter(" and ".join(f"{c} is not null" for c in (*by, *order)))
-    ranged = prefix.by_ranges(rows, by, [F.col(c) for c in order])
-    found = prefix.last_before(ranged, by, order, {"event": F.col("event_")})
+    # A number before the texts: sorting seldom has to compare them.
+    rows = rows.filter(" and ".join(f"{c} is not null" for c in (*by, *order))).withColumn("hash_", F.xxhash64(*by))
+    ranged = prefix.by_ranges(rows, hashed, [F.col(c) for c in order])
+    found = prefix.last_before(ranged, hashed, order, {"event": F.col("event_")})
     return found.filter("r_ is not null and event is not null").select(*by, *order, "event", *[F.col(f"r_.{c}").alias(c) for c in payload])
 
 
@@ -58,22 +62,28 @@ def deliver(spark: SparkSession, folder: str, number: int, events: DataFrame, re
     An event or a report that an earlier batch brought is not written again. Both tables lie in slices of (scope, query); a
     batch reads the slices that it touches. As in a stream, batches come in order, and a report's event with it or before it.
     """
-    slice_ = F.pmod(F.xxhash64("scope", "query_hash"), F.lit(slices)).cast("int").alias("slice_")
-    logged = events.select(*[c.split()[0] for c in EVENT.split(", ")], slice_).dropDuplicates(["id"])
-    told = reports.select("id", "scope", "query_hash", "at", *OUTCOMES, slice_).dropDuplicates(["id"])
+    hash_ = F.xxhash64("scope", "query_hash")
+    slice_ = F.pmod(hash_, F.lit(slices)).cast("int").alias("slice_")
+    logged = events.select(*[c.split()[0] for c in EVENT.split(", ")], slice_)
+    told = settled(reports.select("id", "scope", "query_hash", "at", *OUTCOMES, slice_).dropDuplicates(["id"]))
     touched = [r.slice_ for r in logged.select("slice_").unionByName(told.select("slice_")).distinct().collect()]  # at most ``slices`` numbers
 
     def stored_rows(name: str, schema: str) -> DataFrame:
         return _read(spark, f"{folder}/{name}", schema).filter(F.col("slice_").isin(touched))
 
-    def write(rows: DataFrame, name: str, schema: str, key: str) -> None:
-        if number:
-            rows = rows.join(stored_rows(name, schema).filter(F.col("batch") < number).select(key), key, "left_anti")
+    def new(rows: DataFrame, name: str, schema: str, key: str) -> DataFrame:
+        if not number:
+            return rows
+        return rows.join(stored_rows(name, schema).filter(F.col("batch") < number).select(F.col(key).alias("id")), "id", "left_anti")
+
+    def write(rows: DataFrame, name: str) -> None:
         rows.hint("rebalance", "slice_").write.mode("overwrite").partitionBy("slice_").parquet(f"{folder}/{name}/batch={number}")
 
-    write(logged, "log", EVENT, "id")
-    held = stored_rows("log", EVENT).filter(F.col("batch") <= number).join(told.select("scope", "query_hash").distinct(), ["scope", "query_hash"], "left_semi")
-    write(changes(held, told.drop("slice_")).withColumn("slice_", slice_), "changes", CHANGE, "report")
+    write(new(logged.dropDuplicates(["id"]), "log", EVENT, "id"), "log")
+    told = new(told, "changes", CHANGE, "report").drop("slice_")
+    # The entries that a report may be on, and few others with their hash; the match itself is by scope and query.
+    held = stored_rows("log", EVENT).filter(F.col("batch") <= number).withColumn("hash_", hash_).join(told.select(hash_.alias("hash_")).distinct(), "hash_", "left_semi")
+    write(changes(held, told).withColumn("slice_", slice_), "changes")
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tesserae.functions import scoring, vector
 from tesserae.functions import text as t
 from tesserae.operators import chains, filters, ingest, integrity, lexical, ranking, retrievals, rollups, state, stats, upkeep, vectors
 from tesserae.plans import planner
-from tesserae.session import checkpoint_folder, settled, spread, table
+from tesserae.session import checkpoint_folder, settled, spread, stored_once, table
 from tesserae.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -791,10 +791,11 @@ _SEEN = """seen as (select distinct click_id, ts, arrived_at, client_id, kind, c
  case when json_valid(props) then list_sort(list_distinct(list_filter(json_extract_string(props, '$.items[*].sku'), lambda x: x is not null))) end as skus from clicks)"""
 
 
-def _clicks(spark, sf_dir) -> DataFrame:
-    """Clicks with what their JSON tells of them (nothing where it is broken)."""
-    told = F.from_json("props", "k string, items array<struct<sku string>>")
-    return table(spark, sf_dir, "clicks").select("click_id", "ts", "arrived_at", "client_id", "kind", told["k"].alias("k"), told["items"]["sku"].alias("skus"))
+def _clicks(spark, sf_dir, kept: str) -> DataFrame:
+    """The clicks that a condition keeps, with what their JSON tells of them (nothing where it is broken). It is parsed here, once for all batches that read them."""
+    told = F.from_json("props", "k string, items array<struct<sku string>>").alias("told")
+    parsed = stored_once(table(spark, sf_dir, "clicks").filter(kept).select("click_id", "ts", "arrived_at", "client_id", "kind", told), "clicks")
+    return parsed.select("click_id", "ts", "arrived_at", "client_id", "kind", "told.k", F.col("told.items.sku").alias("skus"))
 
 
 def _between(rows: DataFrame, low: str | None, high: str | None) -> DataFrame:
@@ -815,7 +816,7 @@ select v.click_id as id, v.client_id::varchar as scope, sha256(v.k) as query_has
 )
 def retrieval_outcomes(spark, sf_dir):
     """Views as retrievals with what the last report on each says; in batches by arrival, the second one delivered twice and the third with rows of the second."""
-    rows = _clicks(spark, sf_dir).filter("client_id is not null and k is not null")
+    rows = _clicks(spark, sf_dir, "client_id is not null and kind in ('view', 'purchase', 'signup', 'error')").filter("k is not null")
     common = ["click_id as id", "cast(client_id as string) as scope", "arrived_at as at"]
     hashed = retrievals.query_hash(F.col("k")).alias("query_hash")
     views = lambda df: df.filter("kind = 'view'").select(*map(F.expr, common), hashed, retrievals.fact_set(F.col("skus")).alias("retrieved"))
@@ -831,7 +832,7 @@ def retrieval_outcomes(spark, sf_dir):
 
 def _kept_up(spark, sf_dir) -> str:
     """The folder of a rollup of clicks by day that three increments and a run without news have kept up."""
-    rows = _clicks(spark, sf_dir).filter("ts is not null").select("click_id", "ts", "arrived_at", "k", F.date_format("ts", "yyyy-MM-dd").alias("bucket"))
+    rows = _clicks(spark, sf_dir, "ts is not null").select("click_id", "ts", "arrived_at", "k", F.date_format("ts", "yyyy-MM-dd").alias("bucket"))
     folder = f"{checkpoint_folder(spark)}/upkeep-{uuid.uuid4().hex}"
     build = lambda m: m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_episodes"), F.countDistinct("k").alias("n_facts"), F.min("ts").alias("first_recorded"), F.max("ts").alias("last_recorded"), *upkeep.digest("click_id"))
     for cut in [*CUTS, None]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, into a Parquet table in the session's checkpoint folder: readers take the columns and row groups they need."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out to all cores where its files have fewer splits than that; as it is otherwise, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.plans import catalogue, planner, proofs
 from tesserae.session import table
@@ -59,3 +60,17 @@ def test_isotonic_blocks_rise(spark):
 def test_queries_without_sql_are_known(spark):
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"planner_batch", "local_embeddings", "diverse_topk", "adaptive_topk", "extracted_facts"}
     assert catalogue.QUERIES["extracted_facts"](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["retrieval_outcomes", "kept_up_rollup", "upkeep_runs"])
+def test_clicks_are_parsed_once_for_all_batches(spark, monkeypatch, name):
+    seen, plain = spark.sparkContext.accumulator(0), catalogue.table
+
+    @F.udf("string")
+    def counted(props):
+        seen.add(1)
+        return props
+
+    monkeypatch.setattr(catalogue, "table", lambda *a: plain(*a).withColumn("props", counted("props")))
+    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    assert 0 < seen.value <= plain(spark, SF, "clicks").count()

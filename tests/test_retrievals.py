@@ -89,3 +89,21 @@ def test_a_failed_batch_of_a_stream_is_taken_once(spark, tmp_path):
     stream().awaitTermination()
     assert failed == [0]
     assert found(retrievals.stored(spark, f"{tmp_path}/store")) == plain(log, reports)
+
+
+def test_a_batch_reads_its_reports_once_and_its_entries_twice(spark, tmp_path):
+    log, reports = made(5)
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("log", "reports")}
+
+    def counted(df, name):
+        def count(scope, n=seen[name]):
+            n.add(1)
+            return scope
+
+        return df.withColumn("scope", F.udf(count, "string")("scope"))
+
+    events, told = frames(spark, log, reports)
+    for number in (0, 1):
+        retrievals.deliver(spark, str(tmp_path), number, counted(events, "log"), counted(told, "reports"), slices=4)
+    assert seen["reports"].value == 2 * len(reports) and seen["log"].value <= 4 * len(log)
+    assert found(retrievals.stored(spark, str(tmp_path))) == plain(log, reports)
