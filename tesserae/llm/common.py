@@ -40,12 +40,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    Its size is that of its files. A checkpoint keeps an estimate, and that of a join is the product of its sides'; where a
+    round of a loop joins what the one before made, the digits of this number double each round and fill the driver's memory.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -281,7 +281,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = stars.groupBy("b").agg(F.max(F.struct("equal", F.negative("a").alias("a"))).alias("best")).select(F.negative("best.a").alias("a"), "b")
     sets = _members(stars.select(F.explode(F.array("a", "b")).alias("id")), docs, shingle)
     links = checkpointed(_confirmed(checkpointed(best), sets, percent))
-    found = components(links)
+    found = components(links).hint("merge")  # as many rows as linked documents: never broadcast
 
     apart = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
     for side in ("a", "b"):
@@ -291,7 +291,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = checkpointed(more)
         if not more.isEmpty():
             links = links.unionByName(more)
-            found = components(links)
+            found = components(links).hint("merge")
     placed = classes.select("sig", "id").join(found, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
     return scanned.select("id", "n_shingles", "sig").join(placed, "sig", "left").select(
         F.col("id").alias(id_col),

@@ -220,10 +220,10 @@ def near_words(words: DataFrame, min_length: int = MIN_LENGTH, most: int = BLOCK
 
 def roots(forms: DataFrame) -> DataFrame:
     """word, root: the last word that is reached from each word of (word, form); a chain has no cycle, since n grows along it."""
-    up = checkpointed(forms.select("word", F.col("form").alias("up")))
+    up = written(forms.select("word", F.col("form").alias("up")), "pointers")
     while True:  # follow forms, twice as far each time
         far = up.select(F.col("word").alias("up"), F.col("up").alias("far"))
-        longer = checkpointed(up.join(far, "up", "left").select("word", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")))
+        longer = written(up.join(far.hint("merge"), "up", "left").select("word", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")), "pointers")
         up = longer.select("word", "up")
         if longer.filter("moved").isEmpty():
             return up.select("word", F.col("up").alias("root"))

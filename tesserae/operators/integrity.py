@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.session import settled
+from tesserae.session import stored_once
 
 
 def violations(checks: dict[str, DataFrame]) -> DataFrame:
@@ -63,11 +63,12 @@ def cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
     Pointers are doubled: after k rounds each node knows where 2^k steps lead, and one that leaves the
     graph is dropped. Once 2^k is the number of nodes or more, only nodes that lead into a cycle are
     left, and where they lead to is on it; each node of a cycle is led to, as steps permute the cycle.
+    Steps are stored tables: a checkpoint's estimate of its size would be squared in each round.
     """
-    step = settled(edges.select(F.col(src).alias("node"), F.col(dst).alias("at")))
+    step = stored_once(edges.select(F.col(src).alias("node"), F.col(dst).alias("at")), "steps")
     n, length = step.count(), 1
     while length < n:
-        step = settled(step.join(step.select(F.col("node").alias("at"), F.col("at").alias("far")), "at").select("node", F.col("far").alias("at")))
+        step = stored_once(step.join(step.select(F.col("node").alias("at"), F.col("at").alias("far")).hint("merge"), "at").select("node", F.col("far").alias("at")), "steps")
         length *= 2
         n = min(n, step.count())  # what leads into no cycle doesn't lengthen a walk
     return step.select("at").join(step.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node")).distinct()

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tesserae.llm import minhash
+from tesserae.llm import minhash, spelling
 from tesserae.llm.components import components
 from tests.llm.conftest import odd_rows, words
 
@@ -88,6 +88,19 @@ def test_components_of_chains(spark):
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
 
 
+def test_estimates_of_size_do_not_multiply_over_the_rounds(spark):
+    """Each round joined what the one before had made, and squared its estimated size: a number of thousands of digits."""
+    rng = random.Random(9)
+    names = rng.sample(range(1000), 200)
+    got = components(spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a long, b long"))
+    chain = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(40)], "word string, form string")
+    ends = spelling.roots(chain)
+    assert {(r.id, r.component) for r in got.collect()} == {(i, min(names)) for i in names}
+    assert {(r.word, r.root) for r in ends.collect()} == {(f"w{i}", "w40") for i in range(40)}
+    for df in (got, ends):
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 30
+
+
 def test_ids_of_several_texts_have_one_result(spark, docs_of):
     texts = [" ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))]
     rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1])]
