@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
 
 #: Cells at most, however many rows there are; pivots are collected and sent to all tasks.
 MOST_CELLS = 512
+#: Queries of one partition, about, and shares in which each partition is shown all rows.
+QUERY_ROWS, SHARES = 2048, 2
 #: What a similarity of 6 places may miss of its bound.
 _SLACK = 2e-6
 
@@ -112,35 +114,134 @@ def _first(similar: np.ndarray, k: int) -> np.ndarray:
     return place[order][starts[:, None] + np.arange(k)]
 
 
-def _best_of_cells(held: DataFrame, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """query, id, similarity: of each query (query, v, cell) and each of its cells the ``k`` best rows (id, v, cell) in each block of the cell."""
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))  # noqa: E731  a row for each cell
-    held = held.join(F.broadcast(blocks(asked, "q_blocks")), "cell").select(F.col("id").alias("of"), "v", "cell", F.lit(False).alias("asks"), F.xxhash64("id").alias("hash"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)).alias("q_block"))
-    sizes = F.broadcast(blocks(held.filter("q_block = 0"), "n_blocks"))
-    held = held.join(sizes, "cell").select("of", "v", "cell", "asks", F.pmod("hash", "n_blocks").alias("block"), "q_block")
-    asked = asked.join(sizes, "cell").join(F.broadcast(blocks(asked, "q_blocks")), "cell")
-    asked = asked.select(F.col("query").alias("of"), "v", "cell", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), "q_blocks").alias("q_block"))
+def _bounds(unit: np.ndarray, pivots: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The greatest similarity that a row of each cell (columns) can have with each unit vector (rows), by the triangle of it, the pivot and the row."""
+    away = np.sqrt(np.maximum(0, 2 - 2 * unit @ pivots.T))
+    least = np.maximum(0, np.maximum(away - far, near - away))
+    return np.where((unit != 0).any(axis=1)[:, None], 1 - least**2 / 2, 0.0)
 
-    def product(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        q, r = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
-        none = np.zeros(0, np.int64)
-        query, found, similar = none, none, np.zeros(0)
-        if q.num_rows and r.num_rows:
-            ids = r.column("of").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            asked_units, held_units = _matrix(q.column("v")), _matrix(r.column("v"))[order]
-            places, values = [], []
-            for at in range(0, len(asked_units), STEP):
-                s = np.round(asked_units[at : at + STEP] @ held_units.T, 6)
-                places.append(_first(s, k))  # of equals the least id
-                values.append(np.take_along_axis(s, places[-1], 1))
-            first = np.concatenate(places)
-            query, found, similar = np.repeat(q.column("of").to_numpy(), first.shape[1]), ids[first].ravel(), np.concatenate(values).ravel()
-        return pa.table([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(similar, pa.float64())], names=["query", "id", "similarity"])
-
-    return held.unionByName(asked).groupBy("cell", "block", "q_block").applyInArrow(product, "query long, id long, similarity double")
+
+def in_blocks(held: DataFrame, sizes: list, pivots: np.ndarray, k: int, block_rows: int) -> DataFrame:
+    """cell, block, ids, v, floors, reads: the rows (id, v, asks, cell) of a cell in blocks of about ``block_rows``, a block in one row.
+
+    ids ascend. floors has what the ``k``-th best row of a query's own block reaches (-2 where it holds fewer), null for rows
+    that don't ask; reads the cells that one of the block's queries must read, its own among them.
+    """
+    cells = np.array([r.cell for r in sizes if r.cell >= 0], int)
+    near, far = (np.array([r[c] for r in sizes if r.cell >= 0]) for c in ("near", "far"))
+    zero = any(r.cell < 0 for r in sizes)
+    total = sum(r.n for r in sizes)
+    if not sizes:
+        sizes = [Row(cell=-1, n=0)]
+    of = F.create_map(*[F.lit(x) for r in sizes for x in (r.cell, -(-r.n // block_rows) or 1)])  # an entry for each cell
+    dealt = held.select("id", "v", "asks", "cell", F.pmod(F.xxhash64("id"), of[F.col("cell")]).alias("block"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        cell, asks = table.column("cell")[0].as_py(), table.column("asks").to_numpy()
+        unit = _matrix(table.column("v"))
+        floors, reads = np.full(len(unit), np.nan), np.zeros(len(cells) + zero, bool)
+        for at in range(0, len(unit), STEP):
+            own = np.flatnonzero(asks[at : at + STEP]) + at
+            floors[own] = np.partition(np.round(unit[own] @ unit.T, 6), len(unit) - k, axis=1)[:, len(unit) - k] if len(unit) >= k else -2.0
+            bound = _bounds(unit[own], pivots[cells], near, far) if len(cells) else np.zeros((len(own), 0))
+            reads |= (np.hstack([bound, np.zeros((len(own), int(zero)))]) >= floors[own][:, None] - _SLACK).any(axis=0)
+        found = {*np.append(cells, [-1] * zero)[reads].tolist(), *([cell] if asks.any() else [])}
+        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        one = {"cell": cell, "block": table.column("block")[0].as_py(), "ids": table.column("id").to_numpy().tobytes(), "v": flat.astype(kind).tobytes(), "floors": floors.tobytes(), "reads": sorted(found)}
+        return pa.Table.from_pylist([one], pa.schema([("cell", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("v", pa.binary()), ("floors", pa.binary()), ("reads", pa.list_(pa.int32()))]))
+
+    kind = _kind(held)
+    packed = dealt.repartition(-(-total // QUERY_ROWS) or 1, "cell", "block").groupBy("cell", "block").applyInArrow(pack, "cell int, block long, ids binary, v binary, floors binary, reads array<int>")
+    return settled(packed)
+
+
+def _kind(rows: DataFrame) -> type:
+    """The numpy type that holds the elements of ``v`` exactly."""
+    return np.float32 if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else np.float64
+
+
+class _Best:
+    """The ``k`` best rows seen so far of each query of a block; what is below ``floors`` can't be among a query's best of all."""
+
+    def __init__(self, ids: bytes, v: bytes, floors: bytes, kind: type, k: int) -> None:
+        floors = np.frombuffer(floors, np.float64)
+        asks = ~np.isnan(floors)
+        self.ids, self.floors, self.k = np.frombuffer(ids, np.int64)[asks], floors[asks], k
+        self.unit = unpacked(v, kind, len(floors))[asks]
+        self.similar = np.full((len(self.ids), k), -3.0)
+        self.found = np.full((len(self.ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, unit: np.ndarray, rows: np.ndarray) -> None:
+        """Compares the queries ``rows`` with a block of rows, whose ids ascend."""
+        for at in range(0, len(rows), STEP):
+            of = rows[at : at + STEP]
+            s = self.unit[of] @ unit.T
+            hit = np.flatnonzero(s >= self.floors[of][:, None] - _SLACK)
+            if len(hit) > 4 * self.k * len(of):
+                s = np.round(s, 6)
+                place = _first(s, self.k)
+                row, value = np.repeat(of, place.shape[1]), np.take_along_axis(s, place, 1).ravel()
+                place = place.ravel()
+            else:
+                row, place = np.divmod(hit, s.shape[1])
+                value = np.round(s[row, place], 6)
+                row = of[row]
+            if not len(row):
+                continue
+            touched = np.unique(row)
+            owner = np.concatenate([np.repeat(touched, self.k), row])
+            value = np.concatenate([self.similar[touched].ravel(), value])
+            name = np.concatenate([self.found[touched].ravel(), ids[place]])
+            order = np.lexsort((name, -value, owner))
+            best = order[np.searchsorted(owner[order], touched)[:, None] + np.arange(self.k)]
+            self.similar[touched], self.found[touched] = value[best], name[best]
+            self.floors[touched] = np.maximum(self.floors[touched], self.similar[touched, -1])
+
+
+def unpacked(v: bytes, kind: type, n: int) -> np.ndarray:
+    m = np.frombuffer(v, kind).astype(np.float64).reshape(n, -1)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def best_of_blocks(blocks: DataFrame, sizes: list, pivots: np.ndarray, k: int, kind: type) -> DataFrame:
+    """query, id, similarity: of each query (``in_blocks``) its ``k`` best rows in each of SHARES shares of the blocks, perhaps without such as others surpass.
+
+    A task has the queries of one partition and is shown the blocks of one share, one after another; all are read where they
+    are stored. Nothing is shuffled but the rows found, which are SHARES times ``k`` for a query at most.
+    """
+    by_cell = {r.cell: (r.near, r.far) for r in sizes}
+    shown = blocks.select("cell", "block", "ids", "v").coalesce(SHARES)
+    asking = blocks.filter(F.size("reads") > 0).select("reads", *(F.col(c).alias(f"q_{c}") for c in ("cell", "block", "ids", "v", "floors")))
+    pairs = shown.hint("shuffle_replicate_nl").join(asking, F.array_contains("reads", F.col("cell"))).drop("reads")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict[tuple, _Best] = {}
+        last, ids, unit = None, None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell, block, q_cell, q_block = (batch.column(c)[i].as_py() for c in ("cell", "block", "q_cell", "q_block"))
+                if (cell, block) != last:
+                    ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                    last, unit = (cell, block), unpacked(batch.column("v")[i].as_buffer(), kind, len(ids))
+                best = queries.get((q_cell, q_block))
+                if best is None:
+                    best = queries[q_cell, q_block] = _Best(*(batch.column(c)[i].as_py() for c in ("q_ids", "q_v", "q_floors")), kind, k)
+                reads = np.ones(len(best.ids), bool)
+                if cell != q_cell:
+                    near, far = by_cell[cell]
+                    bound = _bounds(best.unit, pivots[[cell]], near, far)[:, 0] if cell >= 0 else np.zeros(len(reads))
+                    reads = bound >= best.floors - _SLACK
+                best.meet(ids, unit, np.flatnonzero(reads))
+        for best in queries.values():
+            some = best.similar.ravel() > -3
+            for at in range(0, len(some), 16 * STEP):
+                part = slice(at, at + 16 * STEP)
+                columns = (np.repeat(best.ids, k)[part], best.found.ravel()[part], best.similar.ravel()[part])
+                yield pa.RecordBatch.from_arrays([pa.array(c[some[part]]) for c in columns], names=["query", "id", "similarity"])
+
+    return pairs.mapInArrow(meet, "query long, id long, similarity double")
 
 
 def cells_to_read(asked: DataFrame, floors: DataFrame, sizes: list, pivots: np.ndarray) -> DataFrame:
@@ -162,9 +263,7 @@ def cells_to_read(asked: DataFrame, floors: DataFrame, sizes: list, pivots: np.n
                 continue
             unit = _units(batch.column("v"))
             floor = batch.column("floor").fill_null(-2.0).to_numpy(zero_copy_only=False)
-            away = np.sqrt(np.maximum(0, 2 - 2 * unit @ pivots[cells].T)) if cells else np.zeros((len(unit), 0))
-            least = np.maximum(0, np.maximum(away - outer, inner - away))
-            bound = np.where((unit != 0).any(axis=1)[:, None], 1 - least**2 / 2, 0.0)
+            bound = _bounds(unit, pivots[cells], inner, outer) if cells else np.zeros((len(unit), 0))
             if zero:
                 bound = np.hstack([bound, np.zeros((len(unit), 1))])
             names = np.array([*cells, *([-1] if zero else [])], np.int32)
@@ -181,20 +280,18 @@ def nearest_by_cells(vectors: DataFrame, is_query: Column, k: int, id_col: str =
     """As ``nearest``, exact too, for very many queries: a query reads only the cells that can hold one of its ``k`` nearest.
 
     Equal vectors are searched once, by the least of their ids, and each gives its k + 1 least ids; so a vector
-    that a third of the rows has is one row of its cell. A query's own cell is read first. Large cells, and many
-    queries of one, are dealt to blocks of ``block_rows``. Rows with a null id or without a vector are left out; ids are distinct.
+    that a third of the rows has is one row of its cell. A query's own block is read first. Cells are held in blocks of
+    ``block_rows``, which meet where they are stored: neither rows nor queries are shuffled once for each cell. Rows with a null id
+    or without a vector are left out; ids are distinct.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q")).filter((F.size("v") > 0) & F.col("id").isNotNull())
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "v")).alias("r"), F.bool_or("q").alias("asks"))
     held, pivots = in_cells(classes.select(F.col("r.id").alias("id"), F.col("r.v").alias("v"), "asks", "h1", "h2"), cells=cells)
-    asked = held.filter("asks").select(F.col("id").alias("query"), "v", "cell")
-    sizes = held.groupBy("cell").agg(F.min("far").alias("near"), F.max("far").alias("far")).collect()  # a row for each cell
-    own = settled(_best_of_cells(held, asked, k + 1, block_rows))
+    sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect()  # a row for each cell
     best = lambda df, n: df.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))).filter(F.col("nth") <= n)
-    floors = best(own, k + 1).filter(F.col("nth") == k + 1).select("query", F.col("similarity").alias("floor"))
-    others = settled(cells_to_read(asked, floors, sizes, pivots))
-    found = best(own.unionByName(_best_of_cells(held, others, k + 1, block_rows)), k + 1).drop("nth")
+    blocks = in_blocks(held, sizes, pivots, k + 1, block_rows)
+    found = best(settled(best_of_blocks(blocks, sizes, pivots, k + 1, _kind(held))), k + 1).drop("nth")
 
     names = held.select(F.col("id").alias("least"), "h1", "h2")
     members = rows.join(names, ["h1", "h2"]).select("least", "id", "q")

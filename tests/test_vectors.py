@@ -88,6 +88,18 @@ def test_steps_change_nothing(spark, monkeypatch, step):
     same(found(vectors.nearest(df, F.col("vec_id") % 30 == 0, 5, block_rows=40)), brute(rows, lambda i: i % 30 == 0, 5))
 
 
+def test_no_row_is_stored_once_for_each_cell(spark, monkeypatch):
+    """Vectors without clusters: every query reads nearly all cells, and was stored with its vector once for each."""
+    stored = []
+    kept = vectors.settled
+    monkeypatch.setattr(vectors, "settled", lambda df: stored.append(kept(df)) or stored[-1])
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 16)).astype(np.float32))]
+    got = found(vectors.nearest_by_cells(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True), 3, cells=40))
+    same(got, brute(rows, lambda i: True, 3))
+    assert max(df.count() for df in stored) <= vectors.SHARES * 4 * len(rows)
+
+
 def test_embedding_remembers_few_hashes_and_finds_concepts_as_their_patterns_do(spark, monkeypatch):
     import random
     import re
